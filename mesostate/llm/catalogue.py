@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mesostate.llm import quality, sharding
+from mesostate.llm import pii, quality, sharding
 
-MODULES = (quality, sharding)
+MODULES = (pii, quality, sharding)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
