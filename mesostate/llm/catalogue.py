@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mesostate.llm import decontamination, pii, quality, sharding
+from mesostate.llm import decontamination, pii, quality, sharding, simhash
 
-MODULES = (pii, quality, sharding, decontamination)
+MODULES = (pii, quality, sharding, decontamination, simhash)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
