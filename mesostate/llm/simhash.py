@@ -203,12 +203,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row of each group of near-duplicates: that of the least id, null ids last."""
-    marked = with_fingerprint(df, text, "_fp")
-    fps = checkpoint(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min(F.struct(F.col(key).isNull().alias("unknown"), F.col(key).alias("id"))).alias("first")))
+    row_key = F.struct(F.col(key).isNull().alias("unknown"), F.col(key).alias("id"))  # never null itself
+    marked = with_fingerprint(df, text, "_fp").withColumn("_key", row_key)
+    fps = checkpoint(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_key").alias("first")))
     winner = F.min(F.struct("first", "fp")).alias("w")
-    kept = clusters(fps).join(fps, "fp").groupBy("root").agg(winner).select(F.col("w.first.id").alias("_id"), F.col("w.fp").alias("_kept"))
-    same = (F.col("_fp") == F.col("_kept")) & F.col(key).eqNullSafe(F.col("_id"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["_fp"]).drop("_fp")
+    kept = clusters(fps).join(fps, "fp").groupBy("root").agg(winner).select(F.col("w.first").alias("_key"), F.col("w.fp").alias("_fp"))
+    # repeated rows share both keys, so they meet without a further shuffle
+    return marked.join(kept, ["_fp", "_key"], "left_semi").dropDuplicates(["_fp", "_key"]).select(*df.columns)
 
 
 QUERIES = {"op3_simhash": op3_simhash}
