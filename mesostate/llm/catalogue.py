@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mesostate.llm import bpe, decontamination, langid, pii, quality, records, sharding, simhash
+from mesostate.llm import bpe, decontamination, langid, licenses, passages, pii, quality, records, sharding, simhash
 
-MODULES = (pii, quality, sharding, decontamination, simhash, records, bpe, langid)
+MODULES = (licenses, pii, quality, sharding, decontamination, simhash, records, bpe, langid, passages)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
