@@ -37,9 +37,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids; ``intact`` says that the ids decode to the text."""
-    coded = bpe.decoded(bpe.encoded(docs))
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select(*docs.columns, F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("intact"))
+    return bpe.coded(docs)
 
 
 STAGES = [

@@ -36,7 +36,9 @@ from mesostate.llm.textops import buffers, runs
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LONG_WORD = 256
 #: Rows that one recursive query may make; more words take more queries.
-STEP_ROWS = 2_000_000
+STEP_ROWS = 1_000_000
+#: Bytes of text that a worker encodes at once.
+RUN_BYTES = 1 << 20
 
 _ENCODE = """
 WITH RECURSIVE step AS (
@@ -62,16 +64,16 @@ class Bpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.merges = {}
+        merges = {}
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
                 left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if left is not None and right is not None:
-                    self.merges[left, right] = rank
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
-        left, right = zip(*self.merges, strict=True)
+                    merges[left, right] = rank
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "160MB"})
+        left, right = zip(*merges, strict=True)
         for name, table in (
-            ("merges", pa.table({"a": pa.array(left, pa.int32()), "b": pa.array(right, pa.int32()), "rank": pa.array(self.merges.values(), pa.int32())})),
+            ("merges", pa.table({"a": pa.array(left, pa.int32()), "b": pa.array(right, pa.int32()), "rank": pa.array(merges.values(), pa.int32())})),
             ("vocabulary", pa.table({"id": pa.array(self.tokens, pa.int32()), "hex": [t.hex() for t in self.tokens.values()]})),
         ):
             self.db.register("given", table)
@@ -105,22 +107,25 @@ class Bpe:
         for word, ids in zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True):
             out[word] = ids
 
+    def merged(self, left: int, right: int) -> int | None:
+        return self.ranks.get(self.tokens[left] + self.tokens[right])
+
     def by_heap(self, word: bytes) -> list[int]:
         """The same contractions for a long word: neighbours wait in a heap by (rank, position)."""
         ids = [int(self.bytes[b]) for b in word]
         after, before, gone = [*range(1, len(ids)), -1], list(range(-1, len(ids) - 1)), [False] * len(ids)
-        heap = [(r, k) for k in range(len(ids) - 1) if (r := self.merges.get((ids[k], ids[k + 1]))) is not None]
+        heap = [(r, k) for k in range(len(ids) - 1) if (r := self.merged(ids[k], ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, k = heapq.heappop(heap)
-            if gone[k] or after[k] < 0 or self.merges.get((ids[k], ids[after[k]])) != rank:
+            if gone[k] or after[k] < 0 or self.merged(ids[k], ids[after[k]]) != rank:
                 continue
             right = after[k]
             ids[k], gone[right], after[k] = rank, True, after[right]
             if after[k] >= 0:
                 before[after[k]] = k
             for left in (before[k], k):
-                if left >= 0 and after[left] >= 0 and (r := self.merges.get((ids[left], ids[after[left]]))) is not None:
+                if left >= 0 and after[left] >= 0 and (r := self.merged(ids[left], ids[after[left]])) is not None:
                     heapq.heappush(heap, (r, left))
         return [i for i, g in zip(ids, gone, strict=True) if not g]
 
@@ -149,7 +154,7 @@ def encoded(df: DataFrame, text: str = "text", path: str = RANKS, into: str = "i
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(path)
         for batch in batches:
-            for run in runs(batch, text):
+            for run in runs(batch, text, RUN_BYTES):
                 data, offsets = buffers(run.column(text))
                 starts, ends, first = split(data, offsets)
                 ids, counts = bpe.encoder(data, starts, ends)
@@ -178,6 +183,25 @@ def decoded(df: DataFrame, ids: str = "ids", path: str = RANKS, into: str = "dec
     return df.mapInArrow(add, schema)
 
 
+def coded(df: DataFrame, text: str = "text", path: str = RANKS) -> DataFrame:
+    """``df`` with ``n_tokens``, ``ids`` and ``intact``: the ids decode to the text.  One worker does both ways."""
+    schema = df.withColumns({"n_tokens": F.lit(0).cast("long"), "ids": F.array().cast("array<int>"), "intact": F.lit(True)}).schema
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = bpe_of(path)
+        for batch in batches:
+            for run in runs(batch, text, RUN_BYTES):
+                data, offsets = buffers(run.column(text))
+                starts, ends, first = split(data, offsets)
+                ids, counts = bpe.encoder(data, starts, ends)
+                at = per_text(counts, first)
+                intact = [d == data[a:b].tobytes() for d, a, b in zip(bpe.decode(ids, at[1:]), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*run.columns, pa.array(np.diff(at)), lists, pa.array(intact, pa.bool_())], [*run.schema.names, "n_tokens", "ids", "intact"])
+
+    return df.mapInArrow(both, schema)
+
+
 def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = RANKS) -> DataFrame:
     """Digests of each text's ids and of the bytes they decode to."""
     schema = f"{key} {df.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -185,7 +209,7 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(path)
         for batch in batches:
-            for run in runs(batch, text):
+            for run in runs(batch, text, RUN_BYTES):
                 data, offsets = buffers(run.column(text))
                 starts, ends, first = split(data, offsets)
                 ids, counts = bpe.encoder(data, starts, ends)

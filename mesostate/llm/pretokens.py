@@ -17,8 +17,8 @@ import pandas as pd
 from mesostate.llm.textops import ragged, range_hashes
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
-#: Distinct pre-tokens that a worker keeps before it starts anew.
-KEPT = 800_000
+#: Distinct pre-tokens that a worker keeps before it forgets those met least often.
+KEPT = 400_000
 _CHUNK = 1 << 16
 
 
@@ -71,12 +71,23 @@ class WordEncoder:
 
     def __init__(self, encode: Callable[[list[bytes]], list[Sequence[int]]]):
         self.encode = encode
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[int, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
+        self.met = np.zeros(0, np.int32)  # runs that held the pre-token
+
+    def forget(self) -> None:
+        """Keeps at most half of what is known: what was met in most runs."""
+        least = 2
+        while (self.met >= least).sum() > KEPT // 2:
+            least += 1
+        keep = np.flatnonzero(self.met >= least)
+        keys = np.fromiter(self.known, np.uint64, len(self.known))[keep]  # in order of their slots
+        lengths = self.ends[keep + 1] - self.ends[keep]
+        self.ids = self.ids[ragged(self.ends[keep], lengths)]
+        self.ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        self.met = self.met[keep] // 2
+        self.known = dict(zip(keys.tolist(), range(len(keys)), strict=True))
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, pre-token after pre-token, and how many each has."""
@@ -84,7 +95,7 @@ class WordEncoder:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         codes, distinct = pd.factorize(range_hashes(data, starts, ends))
         if len(self.known) > KEPT:
-            self.clear()
+            self.forget()
         keys = distinct.tolist()
         slot = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
         if len(new := np.flatnonzero(slot < 0)):
@@ -97,6 +108,8 @@ class WordEncoder:
             self.known.update(zip((keys[k] for k in new.tolist()), slot[new].tolist(), strict=True))
             self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(lengths.sum()))])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
+        self.met[slot] += 1
         mine = slot[codes]
         counts = self.ends[mine + 1] - self.ends[mine]
         return self.ids[ragged(self.ends[mine], counts)], counts
