@@ -42,7 +42,7 @@ SEED = 42
 #: Fingerprints of the sample that the partitions are fitted on.
 SAMPLE = 2048
 #: Cost of comparing a candidate pair, in costs of making and shuffling a probe.
-PAIR_COST = 0.1
+PAIR_COST = 0.01
 #: Thresholds that need more probes of a partition than this are not considered.
 MOST_PROBES = 1024
 
