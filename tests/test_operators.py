@@ -3,28 +3,30 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from mesostate.operators import signals, states
-from mesostate.plans import catalogue
+from mesostate.operators import models, signals, states
+from mesostate.plans import catalogue, extended
 
 SF = "/root/testdata/sf0.001"
+QUERIES, SQL = catalogue.QUERIES | extended.QUERIES, catalogue.SQL | extended.SQL
 
 
 def plain(rows):
     return sorted(repr(tuple(round(v, 5) if isinstance(v, float) else v for v in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "customer", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    found = catalogue.QUERIES[name](spark, SF)
+    found = QUERIES[name](spark, SF)
     columns = sorted(found.columns)
-    assert plain(map(tuple, found.select(columns).collect())) == plain(con.sql(f"SELECT {', '.join(columns)} FROM ({catalogue.SQL[name]}) q").fetchall())
+    assert plain(map(tuple, found.select(columns).collect())) == plain(con.sql(f"SELECT {', '.join(columns)} FROM ({SQL[name]}) q").fetchall())
 
 
 def test_runs_by_hand(spark):
@@ -50,3 +52,38 @@ def test_degenerate_features(spark):
     found = rows.select(signals.hjorth(F.col("samples")).alias("h"), signals.histogram_entropy(F.col("samples")).alias("e")).collect()
     assert found[0]["h"]["mobility"] == 0 and found[0]["e"] == 0
     assert found[1]["h"]["mobility"] < 1e-6 and math.isclose(found[1]["e"], math.log2(10))
+
+
+def test_components_agree_with_a_full_decomposition(spark):
+    x = np.random.default_rng(3).normal(size=(60, 5)) * [5, 3, 1, 0.5, 0.1]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id int, x array<double>")
+    fitted = models.principal_components(rows, 0.9)
+    sizes = np.linalg.svd(x - x.mean(axis=0))[1] ** 2
+    assert np.allclose(fitted.ratio, (sizes / sizes.sum())[: len(fitted.ratio)]) and fitted.ratio.sum() > 0.9
+    found = np.array([r["pc"] for r in fitted.transform(rows).orderBy("id").collect()])
+    assert np.allclose(found, (x - x.mean(axis=0)) @ fitted.loadings.T)
+
+
+def test_hmm_against_all_paths(spark):
+    rng = np.random.default_rng(5)
+    model = models.Hmm(np.array([0.6, 0.4]), np.array([[0.8, 0.2], [0.3, 0.7]]), np.array([[0.0], [2.0]]), np.ones((2, 1)))
+    obs = rng.normal(size=(6, 1)) + 1
+    dens, weight = model.log_density(obs), {}
+    for code in range(2**6):
+        p = [(code >> t) & 1 for t in range(6)]
+        weight[tuple(p)] = np.log(model.start[p[0]]) + sum(np.log(model.step[a, b]) for a, b in zip(p, p[1:], strict=False)) + sum(dens[t, s] for t, s in enumerate(p))
+    assert tuple(model.viterbi(obs)) == max(weight, key=weight.get)
+    ll, posterior, counts = model.forward_backward(obs)
+    assert np.isclose(ll, np.logaddexp.reduce(list(weight.values())))
+    assert np.isclose(posterior[2, 1], sum(np.exp(w - ll) for p, w in weight.items() if p[2])) and np.isclose(counts.sum(), 5)
+
+
+def test_hmm_fit_finds_two_levels(spark):
+    rng = np.random.default_rng(9)
+    data = [(s, t, [float(rng.normal() * 0.3 + (4 if (t // 10) % 2 else 0))]) for s in range(6) for t in range(40)]
+    rows = spark.createDataFrame(data, "s int, t int, x array<double>")
+    model = models.fit_hmm(rows, ["s"], "t", 2, n_iter=12)
+    assert np.allclose(sorted(model.mean.ravel()), [0, 4], atol=0.2)
+    assert all(b >= a - 1e-6 for a, b in zip(model.history, model.history[1:], strict=False))
+    found = model.decode(rows, ["s"], "t").where("s = 0").orderBy("t").collect()
+    assert [(r["t"] // 10) % 2 for r in found] == [r["state"] if model.mean[1] > model.mean[0] else 1 - r["state"] for r in found]
