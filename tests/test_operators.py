@@ -8,11 +8,11 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from mesostate.operators import models, signals, states
-from mesostate.plans import catalogue, extended
+from mesostate.operators import kernels, models, signals, states
+from mesostate.plans import catalogue, comparing, extended
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = catalogue.QUERIES | extended.QUERIES, catalogue.SQL | extended.SQL
+QUERIES, SQL = catalogue.QUERIES | extended.QUERIES | comparing.QUERIES, catalogue.SQL | extended.SQL | comparing.SQL
 
 
 def plain(rows):
@@ -87,3 +87,33 @@ def test_hmm_fit_finds_two_levels(spark):
     assert all(b >= a - 1e-6 for a, b in zip(model.history, model.history[1:], strict=False))
     found = model.decode(rows, ["s"], "t").where("s = 0").orderBy("t").collect()
     assert [(r["t"] // 10) % 2 for r in found] == [r["state"] if model.mean[1] > model.mean[0] else 1 - r["state"] for r in found]
+
+
+def test_band_pass_response():
+    b, a = kernels.band_pass(250.0, 8.0, 13.0)
+    at = lambda f: abs(np.polyval(b, np.exp(2j * np.pi * f / 250)) / np.polyval(a, np.exp(2j * np.pi * f / 250)))
+    w = lambda f: np.tan(np.pi * f / 250)
+    closed = lambda f: (1 + ((w(f) ** 2 - w(8) * w(13)) / (w(f) * (w(13) - w(8)))) ** 8) ** -0.5
+    for f in (2.0, 5.0, 8.0, 10.2, 13.0, 30.0, 90.0):
+        assert np.isclose(at(f), closed(f), rtol=1e-5, atol=1e-9)
+
+
+def test_kernels_on_a_sinusoid(spark):
+    t = np.arange(750) / 250
+    wave = np.sin(2 * np.pi * 10 * t)
+    rows = spark.createDataFrame([(1, wave.tolist()), (2, None), (3, (wave + np.sin(2 * np.pi * 80 * t)).tolist())], "id int, samples array<double>")
+    bands = {k: kernels.envelope("samples", 250.0, *b).alias(k) for k, b in {"theta": (4, 8), "alpha": (8, 13), "beta": (13, 30)}.items()}
+    found = {r["id"]: r for r in rows.select("id", *bands.values()).collect()}
+    assert abs(found[1]["alpha"] - np.log(2)) < 0.05 and found[1]["alpha"] > 4 * found[1]["theta"] and found[1]["alpha"] > 4 * found[1]["beta"]
+    assert found[2]["alpha"] is None or np.isnan(found[2]["alpha"])
+    low = {r["id"]: r[1] for r in rows.select("id", kernels.low_pass("samples", 250.0, 30.0)).collect()}
+    assert low[2] is None and np.abs(np.array(low[3])[60:-60] - wave[60:-60]).max() < 0.02
+    half = {r["id"]: r[1] for r in rows.select("id", kernels.resample("samples", 250.0, 125.0)).collect()}
+    assert np.allclose(half[1], wave[::2], atol=1e-9)
+    psd = {r["id"]: r[1] for r in rows.select("id", kernels.welch("samples", 250.0)).collect()}
+    assert abs(max(psd[1], key=lambda r: r["p"])["f"] - 10) < 1 and abs(sum(r["p"] for r in psd[1]) * 250 / 256 - 0.5) < 0.02
+
+
+def test_short_signal_raises():
+    with pytest.raises(ValueError):
+        kernels.both_ways(*kernels.band_pass(250.0, 8.0, 13.0), np.zeros((1, 20)))
