@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from mesostate.operators import kernels, models, signals, states
+from mesostate.operators import comparison, kernels, models, signals, states
 from mesostate.plans import catalogue, comparing, extended
 
 SF = "/root/testdata/sf0.001"
@@ -117,3 +117,14 @@ def test_kernels_on_a_sinusoid(spark):
 def test_short_signal_raises():
     with pytest.raises(ValueError):
         kernels.both_ways(*kernels.band_pass(250.0, 8.0, 13.0), np.zeros((1, 20)))
+
+
+def test_effective_rank(spark):
+    x = np.random.default_rng(0).normal(size=(50, 4))
+    x[:, 1] = x[:, 0] + 0.1 * x[:, 1]
+    long = spark.createDataFrame([(r, d, float(x[r, d])) for r in range(50) for d in range(4)], "row int, dim int, x double")
+    corr = np.corrcoef(x.T)
+    share = np.linalg.eigvalsh(corr) / 4
+    found = comparison.effective_rank(long).first()
+    assert math.isclose(found["rank"], np.exp(-(share * np.log(share)).sum()), rel_tol=1e-9) and math.isclose(found["dominance"], share.max(), rel_tol=1e-9)
+    assert math.isclose(found["max_r"], np.abs(corr[0, 1]), rel_tol=1e-9)
