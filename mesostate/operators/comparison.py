@@ -97,7 +97,7 @@ def effective_rank(long: DataFrame) -> DataFrame:
     share = np.clip(np.linalg.eigvalsh(full), 1e-12, None)
     share /= share.sum()
     rank, upper = float(np.exp(-(share * np.log(share)).sum())), np.abs(full[np.triu_indices(size, 1)])
-    name = "low" if rank / size > 0.85 else "moderate" if rank / size > 0.60 else "high"
+    name = "low_redundancy" if rank / size > 0.85 else "moderate_redundancy" if rank / size > 0.60 else "high_redundancy"
     row = (rank, float(share.max()), float(upper.mean()) if size > 1 else 0.0, float(upper.max()) if size > 1 else 0.0, name)
     return long.sparkSession.createDataFrame([row], "rank double, dominance double, mean_r double, max_r double, redundancy string")
 
