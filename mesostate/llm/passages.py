@@ -7,13 +7,18 @@ minimum, if that has at least ``LENGTH`` positions (``LENGTH + 4`` words).  All
 passages inside a window that hold ``c`` share the signature value of ``c``, so
 about ``2 n / LENGTH`` windows stand for all passages of a text of ``n``.
 
-Documents with equal texts are one before the search (the least id).  Windows of
-different documents with equal values are joined to one leader of
-the value, the least id, so a passage shared by many documents makes one link a
-document.  Pairs of documents whose intervals meet under at least ``AGREE`` hash
-functions are verified: the windows' surroundings are cut from the texts, and
-some run of ``LENGTH`` shingles around ``c`` must find at least 0.8 of them in the
-other text's surroundings.
+Documents with equal texts are one before the search (the least id).  A window is
+searched if one of another hash function (``AGREE`` = 2) overlaps it by ``LENGTH``
+and both values are held by several documents.  Holders of a value are compared
+with its leader, the least id, at each of the leader's places, so a passage shared
+by many documents makes one link a document: some run of ``LENGTH`` shingles around
+``c`` must find at least 0.8 of them in the other text's surroundings.  Places are
+blocks of ``LENGTH`` positions, so what several hash functions meet is compared once.
+
+Runs that the leader does not hold go on under new values, the least hash values
+among their shingles that no leader so far has, with a new leader each, until no
+value has two holders; each round takes shingles from a run, and runs of which none
+is left meet by the hash of the whole run.
 
 Null texts, texts of fewer than ``LENGTH + 4`` words and rows with a null id
 take part in no pair; repeated rows of an id are one document; a passage
@@ -23,7 +28,9 @@ empty result.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -116,18 +123,23 @@ def windows(docs: DataFrame) -> DataFrame:
 
 
 def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc_id, c, around`` for ``wanted(doc_id, at array<int>)``: 32 bits of each shingle hash within LENGTH of c."""
+    """``doc_id, code, first, around`` for ``wanted(doc_id, at array<int>)``: 32 bits of each shingle hash near a block.
+
+    A code is twice the number of a block of LENGTH positions; cut are all runs of LENGTH that touch the block.  An
+    odd code asks for LENGTH - 1 more on either side, so all that lies opposite such runs is there.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in runs(batch):
-                ids, cs, starts, lengths, values = [], [], [], [], []
+                ids, codes, starts, lengths, values = [], [], [], [], []
                 for doc, at, own in zip(run.column("doc_id").to_pylist(), run.column("at").to_pylist(), text_shingles(run.column("text")), strict=True):
-                    c = np.array([x for x in at if x < len(own)], np.int64)
-                    left = np.maximum(c - LENGTH + 1, 0)
-                    n = np.minimum(c + LENGTH, len(own)) - left
-                    ids.append(np.full(len(c), doc, np.int64))
-                    cs.append(c)
+                    code = np.array([x for x in at if (x >> 1) * LENGTH < len(own)], np.int64)
+                    start, margin = (code >> 1) * LENGTH, (LENGTH - 1) * (1 + (code & 1))
+                    left = np.maximum(start - margin, 0)
+                    n = np.minimum(start + LENGTH + margin, len(own)) - left
+                    ids.append(np.full(len(code), doc, np.int64))
+                    codes.append(code)
                     starts.append(left)
                     lengths.append(n)
                     values.append((own[ragged(left, n)] >> np.uint64(32)).astype(np.uint32).view(np.int32))
@@ -135,39 +147,81 @@ def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate(lengths))])
                     lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(values)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(ids)), pa.array(np.concatenate(cs).astype(np.int32)), pa.array(np.concatenate(starts).astype(np.int32)), lists], ["doc_id", "c", "first", "around"]
+                        [pa.array(np.concatenate(ids)), pa.array(np.concatenate(codes).astype(np.int32)), pa.array(np.concatenate(starts).astype(np.int32)), lists], ["doc_id", "code", "first", "around"]
                     )
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(cut, "doc_id long, c int, first int, around array<int>")
+    return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(cut, "doc_id long, code int, first int, around array<int>")
 
 
-def verified(pairs: DataFrame) -> DataFrame:
-    """Pairs with a run of LENGTH shingles of which 0.8 stand near the leader's window."""
-    kinds = "doc_id long, rep_doc_id long, first_shingle int, last_shingle int, rep_c int"
+def unmet(own: np.ndarray, met: np.ndarray, rest: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Starts of the runs of ``own`` of which LEAST are ``met``, and new values ``(key, position)`` for the other runs that touch ``lo .. hi``.
+
+    A new value is the least hash of a run among the shingles ``rest`` that no leader so far has, so whoever holds
+    the same run and met the same leaders has the same value; a run of which no such shingle is left has the hash of
+    all its shingles.
+    """
+    hit = np.concatenate([np.zeros(1, np.int64), np.cumsum(met)])
+    good = hit[LENGTH:] - hit[:-LENGTH] >= LEAST * LENGTH
+    start = np.arange(len(good))
+    bad = np.flatnonzero(~good & (start <= hi) & (start + LENGTH > lo))
+    keys: dict[int, int] = {}
+    if len(bad):
+        wide = own.view(np.uint32).astype(np.uint64)
+        for mask in _MASKS[:AGREE]:
+            values = np.where(rest, mix(wide ^ mask), _TOP)
+            seen = np.lib.stride_tricks.sliding_window_view(values, LENGTH)[bad]
+            place = seen.argmin(axis=1)
+            low = seen[np.arange(len(bad)), place]
+            value, at = np.unique(low, return_index=True)
+            keys |= {v: p for v, p in zip(value.tolist(), (bad + place)[at].tolist(), strict=True) if v != int(_TOP)}
+        none = bad[low == _TOP]
+        if len(none):
+            weights = mix(np.arange(1, LENGTH + 1, dtype=np.uint64)) | np.uint64(1)
+            whole = (np.lib.stride_tricks.sliding_window_view(mix(wide), LENGTH)[none] * weights).sum(axis=1, dtype=np.uint64)
+            keys |= dict(zip(whole.tolist(), none.tolist(), strict=True))
+    return np.flatnonzero(good), list(keys.items())
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """Places with a run of LENGTH shingles of which 0.8 stand near the leader's (``key`` is null), and the new values of runs without (``first_shingle`` is null)."""
+    kinds = "doc_id long, rep_doc_id long, block int, first_shingle int, last_shingle int, key long, c int, rest binary"
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    names = [k.split()[0] for k in kinds.split(", ")]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             mine, theirs = batch.column("around"), batch.column("rep_around")
-            first, c = batch.column("first").to_pylist(), batch.column("rep_c").to_pylist()
-            doc, rep = batch.column("doc_id").to_pylist(), batch.column("rep_doc_id").to_pylist()
             a_all, b_all = np.asarray(mine.flatten()), np.asarray(theirs.flatten())
             a_end, b_end = np.cumsum(np.asarray(mine.value_lengths())), np.cumsum(np.asarray(theirs.value_lengths()))
-            for k in range(batch.num_rows):
+            columns = [batch.column(x).to_pylist() for x in ("doc_id", "rep_doc_id", "block", "first", "lo", "hi", "rest")]
+            for k, (doc, rep, block, first, lo, hi, packed) in enumerate(zip(*columns, strict=True)):
                 own = a_all[a_end[k - 1] if k else 0 : a_end[k]]
-                other = b_all[b_end[k - 1] if k else 0 : b_end[k]]
-                hit = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.isin(own, other))])
-                good = np.flatnonzero(hit[LENGTH:] - hit[:-LENGTH] >= LEAST * LENGTH)
+                if len(own) < LENGTH:
+                    continue
+                met = np.isin(own, b_all[b_end[k - 1] if k else 0 : b_end[k]])
+                rest = ~met if packed is None else ~met & np.unpackbits(np.frombuffer(packed, np.uint8), count=len(own)).astype(bool)
+                good, keys = unmet(own, met, rest, lo - first, hi - first)
                 if len(good):
-                    out.append((doc[k], rep[k], first[k] + int(good[0]), first[k] + int(good[-1]) + LENGTH - 1, c[k]))
+                    out.append((doc, rep, block, first + int(good[0]), first + int(good[-1]) + LENGTH - 1, None, None, None))
+                if keys:
+                    left = np.packbits(rest).tobytes()
+                    out += [(doc, rep, block, None, None, v - (1 << 64) if v >> 63 else v, first + at, left) for v, at in keys]
             if out:
-                names = ["doc_id", "rep_doc_id", "first_shingle", "last_shingle", "rep_c"]
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return pairs.mapInArrow(check, kinds)
 
 
+def led(held: DataFrame) -> DataFrame:
+    """``doc_id, block, rest, rep_doc_id, rep_block, lo, hi``: holders of a value and each place of its leader, the least id among them."""
+    lead = held.groupBy("key").agg(F.min("doc_id").alias("rep_doc_id"), F.max("doc_id").alias("last")).where("rep_doc_id != last").drop("last")
+    met = held.join(lead, "key")
+    places = met.where("doc_id = rep_doc_id").select("key", F.col("block").alias("rep_block")).distinct()
+    pairs = met.where("doc_id != rep_doc_id").join(places, "key")
+    return pairs.groupBy("doc_id", "block", "rest", "rep_doc_id", "rep_block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """``df`` (checkpointed, a few numbers a row), marked for broadcast if it has at most ``rows`` rows; else left to a shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -180,6 +234,12 @@ def equal_texts(docs: DataFrame) -> DataFrame:
     return texts.join(small_side(least, MOST_BROADCAST // 5), "same").where("doc_id != rep_doc_id").groupBy("doc_id", "rep_doc_id", "u").agg(F.max("n_words").cast("long").alias("n_words"))
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of what is checkpointed and no longer referred to; else they stay until the driver happens to collect garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def find(docs: DataFrame) -> DataFrame:
     """``doc_id, rep_doc_id, first_word, last_word, n_windows``: documents that share passages with a document of lesser id.
 
@@ -191,22 +251,31 @@ def find(docs: DataFrame) -> DataFrame:
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("u"))
     distinct = marked.join(small_side(copies.select("doc_id", "u"), MOST_BROADCAST), ["doc_id", "u"], "left_anti").drop("u")
     cut = windows(distinct)
-    ends = [F.min("doc_id").alias("rep_doc_id"), F.max("doc_id").alias("last"), F.min_by("c", "doc_id").alias("rep_c")]
-    shared = cut.groupBy("key").agg(*ends).where("rep_doc_id != last").drop("last")
-    met = cut.join(shared, "key").where("doc_id != rep_doc_id")
-    # intervals of one pair of documents: those under the first hash function that is met, where others meet them too
-    spans = F.array_sort(F.collect_list(F.struct("k", "c", "l", "r", "rep_c")))
-    pair = met.groupBy("doc_id", "rep_doc_id").agg(spans.alias("w")).where(F.size(F.array_distinct("w.k")) >= AGREE)
-    first_k = F.col("w")[0]["k"]
-    meets = F.filter("w", lambda x: (x["k"] == first_k) & F.exists("w", lambda y: (y["k"] != first_k) & (F.least(x["r"], y["r"]) - F.greatest(x["l"], y["l"]) + 1 >= LENGTH)))
-    pair = checkpoint(pair.select("doc_id", "rep_doc_id", F.explode(meets).alias("x")).select("doc_id", "rep_doc_id", F.col("x.c").alias("c"), F.col("x.rep_c").alias("rep_c")))
-    both = pair.select("doc_id", "c").unionByName(pair.select(F.col("rep_doc_id").alias("doc_id"), F.col("rep_c").alias("c"))).distinct()
-    wanted = both.groupBy("doc_id").agg(F.collect_list("c").alias("at"))
-    around = checkpoint(surroundings(distinct, wanted))
-    rep = around.select(F.col("doc_id").alias("rep_doc_id"), F.col("c").alias("rep_c"), F.col("around").alias("rep_around"))
-    found = verified(pair.join(around, ["doc_id", "c"]).join(rep, ["rep_doc_id", "rep_c"]).select("doc_id", "rep_doc_id", "first", "rep_c", "around", "rep_around"))
-    passages = found.groupBy("doc_id", "rep_doc_id").agg(
-        F.min("first_shingle").cast("long").alias("first_word"), (F.max("last_shingle") + SHINGLE).cast("long").alias("last_word"), F.count(F.lit(1)).alias("n_windows")
+    shared = cut.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least != last").select("key")
+    # a document's windows of shared values, where another hash function has one too
+    spans = F.collect_list(F.struct("k", "key", "c", "l", "r"))
+    meets = F.filter("w", lambda x: F.exists("w", lambda y: (y["k"] != x["k"]) & (F.least(x["r"], y["r"]) - F.greatest(x["l"], y["l"]) + 1 >= LENGTH)))
+    held = cut.join(shared, "key").groupBy("doc_id").agg(spans.alias("w")).select("doc_id", F.explode(meets).alias("x"))
+    held = checkpoint(held.select(F.col("x.key").alias("key"), "doc_id", F.col("x.c").alias("c"), F.floor(F.col("x.c") / LENGTH).cast("int").alias("block"), F.lit(None).cast("binary").alias("rest")))
+    del cut, shared
+    release(held)
+    pairs = checkpoint(led(held))
+    both = pairs.select("doc_id", (F.col("block") * 2).alias("code")).unionByName(pairs.select(F.col("rep_doc_id").alias("doc_id"), (F.col("rep_block") * 2 + 1).alias("code"))).distinct()
+    around = checkpoint(surroundings(distinct, both.groupBy("doc_id").agg(F.collect_list("code").alias("at"))))
+    own = around.where("code % 2 = 0").select("doc_id", F.expr("code div 2").cast("int").alias("block"), "first", "around")
+    wide, found = 1, []
+    while True:
+        # holders that their leader does not explain go on among themselves, under values that it does not have
+        rep = around.where(f"code % 2 = {wide}").select(F.col("doc_id").alias("rep_doc_id"), F.expr("code div 2").cast("int").alias("rep_block"), F.col("around").alias("rep_around"))
+        known = checkpoint(compared(pairs.join(own, ["doc_id", "block"]).join(rep, ["rep_doc_id", "rep_block"])))
+        found.append(known.where("key is null").select("doc_id", "rep_doc_id", "block", "first_shingle", "last_shingle"))
+        pairs = checkpoint(led(known.where("key is not null").select("key", "doc_id", "block", "c", "rest")))
+        if pairs.isEmpty():
+            break
+        wide = 0
+        release(pairs)
+    passages = reduce(DataFrame.unionByName, found).groupBy("doc_id", "rep_doc_id").agg(
+        F.min("first_shingle").cast("long").alias("first_word"), (F.max("last_shingle") + SHINGLE).cast("long").alias("last_word"), F.countDistinct("block").alias("n_windows")
     )
     whole = copies.select("doc_id", "rep_doc_id", F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("last_word"), F.lit(0).cast("long").alias("n_windows"))
     return passages.unionByName(whole)

@@ -118,6 +118,23 @@ def test_shared_passage_is_found(spark):
     assert [(r["doc_id"], r["rep_doc_id"]) for r in found] == [(2, 1)]
 
 
+def passage_pairs(spark, docs):
+    return {(r["doc_id"], r["rep_doc_id"]) for r in passages.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+
+def test_passage_with_frequent_lines_is_found(spark):
+    words = lambda tag, n: " ".join(f"{tag}x{k}" for k in range(n))
+    docs, want = [], set()
+    for t in range(30):
+        lines = [words(f"a{t}", 20), words(f"b{t}", 20)]
+        passage = f"{words(f'p{t}', 7)} {lines[0]} {words(f'q{t}', 6)} {lines[1]} {words(f'r{t}', 7)}"
+        for k in range(12):
+            docs.append((1000 * t + k, f"{words(f'c{t}y{k}', 70)} {lines[k % 2]} {words(f'd{t}y{k}', 70)}"))
+        docs += [(1000 * t + k, f"{words(f'e{t}y{k}', 60)} {passage} {words(f'f{t}y{k}', 60)}") for k in (90, 91)]
+        want.add((1000 * t + 91, 1000 * t + 90))
+    assert passage_pairs(spark, docs) == want
+
+
 def test_bpe_agrees_with_the_library(spark):
     coder = bpe.bpe_of(bpe.RANKS)
     import public_tokenizers
