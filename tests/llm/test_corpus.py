@@ -135,6 +135,19 @@ def test_passage_with_frequent_lines_is_found(spark):
     assert passage_pairs(spark, docs) == want
 
 
+def test_passage_at_any_place_of_a_repeated_line_is_found(spark):
+    words = lambda tag, n: " ".join(f"{tag}x{k}" for k in range(n))
+    docs = []
+    for t in range(60):
+        line = words(f"a{t}", 30)
+        passage = f"{words(f'p{t}', 15)} {line} {words(f'q{t}', 15)}"
+        places = [line, line, line]
+        places[t % 3] = passage
+        docs.append((2 * t, " ".join(x for k in range(3) for x in (words(f"c{t}y{k}", 80), places[k])) + " " + words(f"d{t}", 80)))
+        docs.append((2 * t + 1, f"{words(f'g{t}', 80)} {passage} {words(f'h{t}', 80)}"))
+    assert passage_pairs(spark, docs) == {(2 * t + 1, 2 * t) for t in range(60)}
+
+
 def test_bpe_agrees_with_the_library(spark):
     coder = bpe.bpe_of(bpe.RANKS)
     import public_tokenizers
