@@ -148,6 +148,18 @@ def test_passage_at_any_place_of_a_repeated_line_is_found(spark):
     assert passage_pairs(spark, docs) == {(2 * t + 1, 2 * t) for t in range(60)}
 
 
+def test_passage_met_by_later_hash_functions_is_found(spark):
+    words = lambda tag, n: " ".join(f"{tag}x{k}" for k in range(n))
+    docs = []
+    for t in range(100):
+        lines = [words(f"a{t}y{k}", 12) for k in range(6)]
+        passage = words(f"p{t}", 60)
+        for side, text in enumerate((passage, passage.replace(f"p{t}x30", f"changed{t}"))):
+            parts = [x for k in range(6) for x in (words(f"c{t}y{k}z{side}", 40), lines[k])]
+            docs.append((2 * t + side, f"{' '.join(parts)} {words(f'd{t}z{side}', 60)} {text} {words(f'e{t}z{side}', 60)}"))
+    assert passage_pairs(spark, docs) == {(2 * t + 1, 2 * t) for t in range(100)}
+
+
 def test_bpe_agrees_with_the_library(spark):
     coder = bpe.bpe_of(bpe.RANKS)
     import public_tokenizers
