@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mesostate.llm.common import checkpoint
+
 TINY = 1e-300
 
 
@@ -68,13 +70,14 @@ def principal_components(rows: DataFrame, share: float = 0.9, x: str = "x") -> C
 
 @dataclass
 class Hmm:
-    """Start and transition probabilities, means and diagonal variances of ``K`` states; log-likelihoods of the fit."""
+    """Start and transition probabilities, means and diagonal variances of ``K`` states; log-likelihood of each step of the fit, and whether it converged."""
 
     start: np.ndarray
     step: np.ndarray
     mean: np.ndarray
     var: np.ndarray
     history: tuple[float, ...] = ()
+    converged: bool = False
 
     def log_density(self, obs: np.ndarray) -> np.ndarray:
         gap = (obs[:, None] - self.mean) ** 2 / self.var
@@ -124,13 +127,18 @@ class Hmm:
         return rows.select(*sequence, order, x).groupBy(*sequence).applyInPandas(one, kinds)
 
 
-def _expectation(model: Hmm, order: str, x: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def expect(group: pd.DataFrame) -> pd.DataFrame:
-        """Log-likelihood, start, transition counts, weights, sums and sums of squares of one sequence, in a row each."""
-        obs = np.stack(group.sort_values(order)[x].to_numpy())
-        ll, post, counts = model.forward_backward(obs)
-        parts = np.concatenate([[ll], post[0], counts.ravel(), post.sum(axis=0), (post.T @ obs).ravel(), (post.T @ obs**2).ravel()])
-        return pd.DataFrame({"at": np.arange(len(parts)), "v": parts})
+def _expectation(model: Hmm) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Log-likelihood, start, transition counts, weights, sums and sums of squares of a partition's sequences, in a row each."""
+        total = None
+        for batch in batches:
+            for sequence in batch["obs"]:
+                obs = np.stack(sequence)
+                ll, post, counts = model.forward_backward(obs)
+                parts = np.concatenate([[ll], post[0], counts.ravel(), post.sum(axis=0), (post.T @ obs).ravel(), (post.T @ obs**2).ravel()])
+                total = parts if total is None else total + parts
+        if total is not None:
+            yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
 
     return expect
 
@@ -138,8 +146,9 @@ def _expectation(model: Hmm, order: str, x: str) -> Callable[[pd.DataFrame], pd.
 def fit_hmm(rows: DataFrame, sequence: list[str], order: str, k: int, n_iter: int = 500, tol: float = 1e-3, x: str = "x", floor: float = 1e-3) -> Hmm:
     """Expectation maximisation with diagonal covariances (M4, M7).
 
-    States start evenly spread along the first principal axis.  Each step maps over sequences and adds up
-    expected counts on the executors; it ends when the log-likelihood gains less than ``tol``.
+    States start evenly spread along the first principal axis.  Sequences are grouped and checkpointed once; each
+    step maps over them and adds up expected counts on the executors.  The fit has converged when the log-likelihood
+    gains less than ``tol``; the model keeps its history.
     """
     n, total, cross = gramian(rows, x)
     mean = total / n
@@ -149,8 +158,10 @@ def fit_hmm(rows: DataFrame, sequence: list[str], order: str, k: int, n_iter: in
     spread = np.sqrt(max(values[-1], 0)) * (2 * (np.arange(k) + 0.5) / k - 1) * 1.5
     model = Hmm(np.full(k, 1 / k), np.full((k, k), 1 / k), mean + spread[:, None] * axis, np.tile(np.maximum(np.diag(cov), floor), (k, 1)))
     history: list[float] = []
+    grouped = rows.groupBy(*sequence).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).alias("x")))).alias("w"))
+    sequences = checkpoint(grouped.select(F.col("w.x").alias("obs")))
     for _ in range(n_iter):
-        stats = rows.select(*sequence, order, x).groupBy(*sequence).applyInPandas(_expectation(model, order, x), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+        stats = sequences.mapInPandas(_expectation(model), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
         v, d = stats.sort_values("at")["v"].to_numpy(), len(mean)
         ll, start, counts, weight, first, second = np.split(v, np.cumsum([1, k, k * k, k, k * d]))
         weight = np.maximum(weight, TINY)[:, None]
@@ -161,6 +172,7 @@ def fit_hmm(rows: DataFrame, sequence: list[str], order: str, k: int, n_iter: in
         history.append(float(ll[0]))
         model = Hmm(start / start.sum(), step, mu, np.maximum(second.reshape(k, d) / weight - mu**2, floor), tuple(history))
         if len(history) > 1 and history[-1] - history[-2] < tol:
+            model.converged = True
             break
     return model
 

@@ -40,8 +40,8 @@ def _psd(s, d) -> DataFrame:
 
 
 def _rows(s, d) -> DataFrame:
-    """Windows of four features; 32 neighbouring ones of a label are a sequence."""
-    return epochs(s, d).select("session", F.floor(F.col("vec_id") / 32).alias("trial"), "vec_id", F.slice("samples", 1, 4).alias("x"))
+    """Windows of all features; 32 neighbouring ones of a label are a sequence."""
+    return epochs(s, d).select("session", F.floor(F.col("vec_id") / 32).alias("trial"), "vec_id", F.col("samples").alias("x"))
 
 
 def _pca(s, d) -> DataFrame:
@@ -51,7 +51,7 @@ def _pca(s, d) -> DataFrame:
 
 def _hmm(s, d) -> DataFrame:
     rows = _rows(s, d)
-    return models.fit_hmm(rows, ["session", "trial"], "vec_id", 3, n_iter=5).decode(rows, ["session", "trial"], "vec_id")
+    return models.fit_hmm(rows, ["session", "trial"], "vec_id", 3).decode(rows, ["session", "trial"], "vec_id")
 
 
 QUERIES = {

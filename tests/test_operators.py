@@ -89,6 +89,18 @@ def test_hmm_fit_finds_two_levels(spark):
     assert [(r["t"] // 10) % 2 for r in found] == [r["state"] if model.mean[1] > model.mean[0] else 1 - r["state"] for r in found]
 
 
+def test_registered_hmm_is_fitted_to_the_end(spark, monkeypatch):
+    from mesostate.plans import extended
+
+    fit, seen = models.fit_hmm, []
+    monkeypatch.setattr(models, "fit_hmm", lambda *a, **b: seen.append(fit(*a, **b)) or seen[-1])
+    rows = extended.QUERIES["m5_hmm_states"](spark, "/root/testdata/sf0.001")
+    (model,) = seen
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    assert model.mean.shape == (3, 64) and (model.converged or len(model.history) == 500)
+    assert not model.converged or model.history[-1] - model.history[-2] < 1e-3
+
+
 def test_band_pass_response():
     b, a = kernels.band_pass(250.0, 8.0, 13.0)
     at = lambda f: abs(np.polyval(b, np.exp(2j * np.pi * f / 250)) / np.polyval(a, np.exp(2j * np.pi * f / 250)))
