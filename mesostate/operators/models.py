@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mesostate.llm.common import checkpoint
+from mesostate.storage import checkpoint
 
 TINY = 1e-300
 
