@@ -7,11 +7,16 @@ word's leftmost pair of least rank, and goes on with the words that changed
 until none does.  Decoding joins ids to the vocabulary and concatenates in
 order.  Nothing is shuffled.
 
-A pre-token that is itself a vocabulary entry is that entry.  The recursion
-keeps a row for each position and step, so pre-tokens of more than
-``LONG_WORD`` bytes are contracted by a heap over the same merge table instead.
+A pre-token that is itself a vocabulary entry is that entry.  In the recursion a
+later row takes the place of an earlier one of the same position, so it holds no
+more rows than bytes; as each step goes over all positions of a word, pre-tokens
+of more than ``LONG_WORD`` bytes are contracted by a heap over the same merge
+table instead.  Texts of any length are decoded in pieces of ``PIECE`` ids, and
+DuckDB may not spill to the worker's disk.
+
 A null text is empty and has no ids; repeated rows and further columns pass
-through; an empty table gives an empty result.
+through; where a column has the name of an added one, the added one takes its
+place; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,34 +31,56 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mesostate.llm.common import read
-from mesostate.llm.pretokens import WordEncoder, per_text, split
+from mesostate.llm.common import new_columns, read
+from mesostate.llm.pretokens import DIGIT, LETTER, OTHER, WordEncoder, per_text, split
 from mesostate.llm.textops import buffers, runs
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-LONG_WORD = 256
-#: Rows that one recursive query may make; more words take more queries.
-STEP_ROWS = 1_000_000
+LONG_WORD = 1024
+#: Positions of words that one recursive query gets; more words take more queries.
+POSITIONS = 200_000
+#: Ids that one query decodes.
+PIECE = 200_000
 #: Bytes of text that a worker encodes at once.
 RUN_BYTES = 1 << 20
 
+#: A row is a token at a byte position ``k`` (word, then place) that spans so many bytes; a contracted right neighbour has id -1.
 _ENCODE = """
-WITH RECURSIVE step AS (
-    SELECT word, pos, id, 0 AS depth FROM symbols
+WITH RECURSIVE step(k, id, span) USING KEY (k) AS (
+    SELECT k, id, 1::BIGINT FROM symbols
     UNION ALL (
-        WITH pair AS (SELECT *, lead(id) OVER w AS right_id, lag(pos) OVER w AS left_pos FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)),
-             best AS (SELECT word, min(merges.rank::BIGINT << 20 | pos) AS b FROM pair JOIN merges ON id = merges.a AND right_id = merges.b GROUP BY word)
-        SELECT pair.word, pair.pos, CASE WHEN pair.pos = b & 1048575 THEN (b >> 20)::INT ELSE id END AS id, depth + 1
-        FROM pair JOIN best USING (word) WHERE left_pos IS NULL OR left_pos <> b & 1048575
+        WITH pair AS (SELECT a.k AS k, b.k AS right_k, b.k + b.span AS stop, (rank << 20) | (a.k & 1048575) AS p
+                      FROM step a JOIN step b ON b.k = a.k + a.span JOIN merges ON ab = ((a.id << 32) | b.id) WHERE a.id >= 0 AND b.id >= 0),
+             best AS (SELECT k >> 20 AS word, min(p) AS p, arg_min(k, p) AS left_k, arg_min(right_k, p) AS right_k, arg_min(stop, p) AS stop FROM pair GROUP BY 1)
+        SELECT step.k, CASE step.k WHEN left_k THEN p >> 20 WHEN right_k THEN -1 ELSE id END, CASE step.k WHEN left_k THEN stop - left_k ELSE span END
+        FROM step JOIN best ON (step.k >> 20) = word WHERE id >= 0
     )
 )
-SELECT word, list(id ORDER BY pos) AS ids FROM (SELECT * FROM step QUALIFY depth = max(depth) OVER (PARTITION BY word)) GROUP BY word ORDER BY word
+SELECT k >> 20 AS word, list(id ORDER BY k) AS ids FROM step WHERE id >= 0 GROUP BY 1
 """
 
-_DECODE = "SELECT word, string_agg(hex, '' ORDER BY pos) AS hex FROM tokens JOIN vocabulary USING (id) GROUP BY word"
+_DECODE = "SELECT word, string_agg(hex, '' ORDER BY pos) AS hex FROM tokens JOIN vocabulary USING (id) GROUP BY word ORDER BY word"
+
+
+@lru_cache(maxsize=1)
+def _prober() -> tiktoken.Encoding:
+    """An encoding in which ``a`` and ``0`` merge with what follows them in one match of the pattern."""
+    ranks = {bytes([b]): b for b in range(256)}
+    for one in (b"a", b"0"):
+        for first in range(0xC2, 0xF5):
+            ranks[one + bytes([first])] = len(ranks)
+    return tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def probe(char: str) -> int:
+    for one, kind in (("a", LETTER), ("0", DIGIT)):
+        if len(_prober().encode_ordinary(one + char)) == len(char.encode()):
+            return kind
+    return OTHER
 
 
 class Bpe:
@@ -70,10 +97,10 @@ class Bpe:
                 left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if left is not None and right is not None:
                     merges[left, right] = rank
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "160MB"})
-        left, right = zip(*merges, strict=True)
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "160MB", "temp_directory": "", "max_temp_directory_size": "0KB"})
+        both = pa.array([a << 32 | b for a, b in merges], pa.int64())
         for name, table in (
-            ("merges", pa.table({"a": pa.array(left, pa.int32()), "b": pa.array(right, pa.int32()), "rank": pa.array(merges.values(), pa.int32())})),
+            ("merges", pa.table({"ab": both, "rank": pa.array(merges.values(), pa.int64())})),
             ("vocabulary", pa.table({"id": pa.array(self.tokens, pa.int32()), "hex": [t.hex() for t in self.tokens.values()]})),
         ):
             self.db.register("given", table)
@@ -87,11 +114,11 @@ class Bpe:
         todo, rows = [], 0
         for k, found in enumerate(out):
             if found is None:
-                if todo and rows + len(words[k]) ** 2 > STEP_ROWS:
+                if todo and rows + len(words[k]) > POSITIONS:
                     self._contract(words, todo, out)
                     todo, rows = [], 0
                 todo.append(k)
-                rows += len(words[k]) ** 2
+                rows += len(words[k])
         if todo:
             self._contract(words, todo, out)
         return out
@@ -99,9 +126,8 @@ class Bpe:
     def _contract(self, words: list[bytes], todo: list[int], out: list) -> None:
         lengths = np.array([len(words[k]) for k in todo])
         data = np.frombuffer(b"".join(words[k] for k in todo), np.uint8)
-        pos = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        symbols = pa.table({"word": np.repeat(np.array(todo, np.int32), lengths), "pos": pos.astype(np.int32), "id": self.bytes[data]})
-        self.db.register("symbols", symbols)
+        place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.db.register("symbols", pa.table({"k": np.repeat(np.array(todo, np.int64), lengths) << 20 | place, "id": self.bytes[data].astype(np.int64)}))
         found = self.db.sql(_ENCODE).to_arrow_table()
         self.db.unregister("symbols")
         for word, ids in zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True):
@@ -132,14 +158,14 @@ class Bpe:
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """Bytes of each run of ids; run ``k`` ends before ``ends[k]``."""
         lengths = np.diff(np.concatenate([np.zeros(1, np.int64), ends]))
-        word = np.repeat(np.arange(len(ends)), lengths)
-        tokens = pa.table({"word": word, "pos": np.arange(len(ids)), "id": ids.astype(np.int32)})
-        self.db.register("tokens", tokens)
-        out = [b""] * len(ends)
-        for k, hexes in self.db.execute(_DECODE).fetchall():
-            out[k] = bytes.fromhex(hexes)
-        self.db.unregister("tokens")
-        return out
+        word, parts = np.repeat(np.arange(len(ends)), lengths), [[] for _ in ends]
+        for at in range(0, len(ids), PIECE):
+            piece = slice(at, at + PIECE)
+            self.db.register("tokens", pa.table({"word": word[piece], "pos": np.arange(len(word[piece])), "id": ids[piece].astype(np.int32)}))
+            for k, hexes in self.db.execute(_DECODE).fetchall():
+                parts[k].append(bytes.fromhex(hexes))
+            self.db.unregister("tokens")
+        return [b"".join(p) for p in parts]
 
 
 @lru_cache(maxsize=2)
@@ -147,57 +173,60 @@ def bpe_of(path: str) -> Bpe:
     return Bpe(path)
 
 
+def _encode(bpe: Bpe, run: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts of a run, ids of all of them, and where each text's ids start (one more at the end)."""
+    data, offsets = buffers(run.column(text))
+    starts, ends, first = split(data, offsets, probe)
+    ids, counts = bpe.encoder(data, starts, ends)
+    return data, offsets, ids, per_text(counts, first)
+
+
+def _lists(ids: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+
 def encoded(df: DataFrame, text: str = "text", path: str = RANKS, into: str = "ids") -> DataFrame:
     """``df`` with ``array<int>`` ids of its texts; null texts have none."""
+    df = new_columns(df, into)
     schema = df.withColumn(into, F.array().cast("array<int>")).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(path)
         for batch in batches:
             for run in runs(batch, text, RUN_BYTES):
-                data, offsets = buffers(run.column(text))
-                starts, ends, first = split(data, offsets)
-                ids, counts = bpe.encoder(data, starts, ends)
-                lists = pa.ListArray.from_arrays(pa.array(per_text(counts, first).astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*run.columns, lists], [*run.schema.names, into])
+                _, _, ids, at = _encode(bpe, run, text)
+                yield pa.RecordBatch.from_arrays([*run.columns, _lists(ids, at)], [*run.schema.names, into])
 
     return df.mapInArrow(add, schema)
 
 
 def decoded(df: DataFrame, ids: str = "ids", path: str = RANKS, into: str = "decoded") -> DataFrame:
-    """``df`` with the bytes of its ids, by ordered aggregation in DuckDB."""
+    """``df`` with the bytes of its ids, by ordered aggregation in DuckDB; null ids give no bytes."""
+    df = new_columns(df, into)
     schema = df.withColumn(into, F.lit(b"")).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(path)
         for batch in batches:
-            ends, at = np.cumsum(np.asarray(batch.column(ids).value_lengths().fill_null(0), np.int64)), 0
-            while at < batch.num_rows:
-                base = ends[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, base + STEP_ROWS // 4, "right")))
-                run = batch.slice(at, to - at)
-                flat = np.asarray(run.column(ids).flatten())
-                yield pa.RecordBatch.from_arrays([*run.columns, pa.array(bpe.decode(flat, ends[at:to] - base), pa.binary())], [*run.schema.names, into])
-                at = to
+            ends = np.cumsum(np.asarray(batch.column(ids).value_lengths().fill_null(0), np.int64))
+            texts = bpe.decode(np.asarray(batch.column(ids).flatten()), ends)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, into])
 
     return df.mapInArrow(add, schema)
 
 
 def coded(df: DataFrame, text: str = "text", path: str = RANKS) -> DataFrame:
     """``df`` with ``n_tokens``, ``ids`` and ``intact``: the ids decode to the text.  One worker does both ways."""
+    df = new_columns(df, "n_tokens", "ids", "intact")
     schema = df.withColumns({"n_tokens": F.lit(0).cast("long"), "ids": F.array().cast("array<int>"), "intact": F.lit(True)}).schema
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(path)
         for batch in batches:
             for run in runs(batch, text, RUN_BYTES):
-                data, offsets = buffers(run.column(text))
-                starts, ends, first = split(data, offsets)
-                ids, counts = bpe.encoder(data, starts, ends)
-                at = per_text(counts, first)
+                data, offsets, ids, at = _encode(bpe, run, text)
                 intact = [d == data[a:b].tobytes() for d, a, b in zip(bpe.decode(ids, at[1:]), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*run.columns, pa.array(np.diff(at)), lists, pa.array(intact, pa.bool_())], [*run.schema.names, "n_tokens", "ids", "intact"])
+                yield pa.RecordBatch.from_arrays([*run.columns, pa.array(np.diff(at)), _lists(ids, at), pa.array(intact, pa.bool_())], [*run.schema.names, "n_tokens", "ids", "intact"])
 
     return df.mapInArrow(both, schema)
 
@@ -210,10 +239,7 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
         bpe = bpe_of(path)
         for batch in batches:
             for run in runs(batch, text, RUN_BYTES):
-                data, offsets = buffers(run.column(text))
-                starts, ends, first = split(data, offsets)
-                ids, counts = bpe.encoder(data, starts, ends)
-                at = per_text(counts, first)
+                _, _, ids, at = _encode(bpe, run, text)
                 raw = ids.astype("<u4").tobytes()
                 texts = bpe.decode(ids, at[1:])
                 yield pa.RecordBatch.from_arrays(

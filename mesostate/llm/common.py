@@ -1,14 +1,16 @@
-"""What the corpus operators share: reading tables, let-expressions, shared scratch folders."""
+"""What the corpus operators share: reading tables, let-expressions, names that cannot clash."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mesostate.storage import checkpoint, checkpoint_root, scratch
+
+__all__ = ["checkpoint", "checkpoint_root", "free_name", "let", "new_columns", "read", "scratch", "words_of"]
+
 #: Separator of words, for Java's and RE2's regular expressions.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
@@ -27,29 +29,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of this cluster; a new local one only where none is set, as in tests."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    context = spark.sparkContext
-    set_already = context._jsc.sc().getCheckpointDir()
-    if set_already.isDefined():
-        return set_already.get().rstrip("/")
-    folder = "file://" + tempfile.mkdtemp(prefix="spark-mesostate-")
-    context.setCheckpointDir(folder)
-    return folder
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, with its lineage cut."""
-    spark = df.sparkSession
-    root = checkpoint_root(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+def new_columns(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns that an operator is about to add: what it adds takes their place."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

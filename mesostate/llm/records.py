@@ -16,8 +16,14 @@ range, so files are in ascending key order.  A task writes under a name of its
 own and renames when done; the index, which Spark commits, names the files that
 count, so a lost or repeated task leaves nothing that is read.
 
+Ids are those of the tokenizers library without added special tokens: a text that
+holds the string of a special token goes to the library whole (it gives that
+token's id), any other text pre-token by pre-token, each distinct one once.
+
 A null text has only the end id.  Null keys come first; repeated rows are
-records of their own; an empty table gives no file and an empty index.
+records of their own; texts of any length are one record; only key and text are
+read, so further columns do not matter; an empty table gives no file and an
+empty index.
 """
 
 from __future__ import annotations
@@ -36,14 +42,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mesostate.llm.common import read, scratch
-from mesostate.llm.pretokens import WordEncoder, per_text, split
+from mesostate.llm.common import checkpoint, read, scratch
+from mesostate.llm.pretokens import DIGIT, LETTER, OTHER, WordEncoder, per_text, split
 from mesostate.llm.textops import buffers, runs
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 #: A file is closed and the next one begun at about so many bytes.
 FILE_BYTES = 32 << 20
+#: File names that a broadcast may have.
+MOST_FILES = 100_000
 
 INDEX = "file string, part int, seq int, doc_id long, offset long, length long, n_tokens long, before long"
 
@@ -70,18 +78,47 @@ def unframe(data: memoryview, at: int) -> tuple[int | None, np.ndarray, int]:
     return None if unknown else key, np.frombuffer(payload[10:], f"<u{width}"), at + 16 + size
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str) -> tuple[WordEncoder, int]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+class Encoder:
+    """Ids of texts by one tokenizer file."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.cut = ByteLevel(add_prefix_space=False)
+        self.words = WordEncoder(lambda words: [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)])
+
+    def probe(self, char: str) -> int:
+        for one, kind in (("a", LETTER), ("0", DIGIT)):
+            if len(self.cut.pre_tokenize_str(one + char)) == 1:
+                return kind
+        return OTHER
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text."""
+        data, offsets = buffers(column)
+        starts, ends, first = split(data, offsets, self.probe)
+        ids, counts = self.words(data, starts, ends)
+        at = per_text(counts, first).tolist()
+        out, whole = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], data.tobytes()
+        for token in self.special:
+            here = whole.find(token)
+            while here >= 0:
+                k = int(np.searchsorted(offsets, here, "right")) - 1
+                if here + len(token) <= offsets[k + 1]:
+                    out[k] = np.array(self.library.encode(whole[offsets[k] : offsets[k + 1]].decode(), add_special_tokens=False).ids, np.uint32)
+                    here = int(offsets[k + 1]) - 1
+                here = whole.find(token, here + 1)
+        return out
 
-    def encode(words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    return WordEncoder(encode), 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", path: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
@@ -94,23 +131,19 @@ def write(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", p
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, width = _tokenizer(path)
+        encoder = encoder_of(path)
         part = TaskContext.get().partitionId()
         store_at, root = fs.FileSystem.from_uri(f"{folder}/data")
         out, name, offset, seq, before = None, "", 0, 0, 0
         for batch in batches:
             for run in runs(batch):
-                data, offsets = buffers(run.column("text"))
-                starts, ends, first = split(data, offsets)
-                ids, counts = encoder(data, starts, ends)
-                at = per_text(counts, first).tolist()
                 rows = []
-                for k, doc in enumerate(run.column("key").to_pylist()):
+                for doc, ids in zip(run.column("key").to_pylist(), encoder(run.column("text")), strict=True):
                     if out is None:
                         name = f"{part:06d}-{seq:09d}-{uuid.uuid4().hex}.records"
                         out, offset = store_at.open_output_stream(f"{root}/.{name}"), 0
-                    own = np.append(ids[at[k] : at[k + 1]], np.uint32(end_id))
-                    raw = frame(doc, own, width)
+                    own = np.append(ids, np.uint32(end_id))
+                    raw = frame(doc, own, encoder.width)
                     out.write(raw)
                     rows.append((name, part, seq, doc, offset, len(raw), len(own), before))
                     offset, seq, before = offset + len(raw), seq + 1, before + len(own)
@@ -135,11 +168,13 @@ def _index_schema() -> pa.Schema:
 def scan(spark: SparkSession, folder: str, index: DataFrame, schema: str, digest) -> DataFrame:
     """``digest(key, ids)`` of every record of the files that the index names, with the file and its place there.
 
-    Each task reads whole files of bounded size and checks every frame.
+    Each task reads whole files of bounded size and checks every frame.  The list of files that count is broadcast
+    while it has at most ``MOST_FILES`` names (8 MB); beyond that, files are joined to it by a shuffle.
     """
-    files = index.select("file").distinct()
+    files = checkpoint(index.select("file").distinct())
+    few = files.count() <= MOST_FILES
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.records").load(f"{folder}/data")
-    mine = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(files, "file", "left_semi")
+    mine = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(F.broadcast(files) if few else files, "file", "left_semi")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in schema.split(", ")]

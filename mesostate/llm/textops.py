@@ -19,10 +19,7 @@ RUN_BYTES = 1 << 21
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_BASE = np.uint64(0x5851F42D4C957F2D)  # odd, so it has an inverse modulo 2**64
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+_BASE = np.uint64(0x5851F42D4C957F2D)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,18 +29,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SYMBOL = mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, RUN_BYTES)
-        _powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, _BASE)]))
-        _inverses = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, _BASE_INVERSE)]))
-    return _powers, _inverses
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts of a string column, and where each text starts and ends in them."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
@@ -82,11 +67,19 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range, equal for equal bytes wherever they stand."""
-    powers, inverses = _tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_SYMBOL[data] * powers[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64) * _GOLDEN)
+    """64-bit hash of each byte range, equal for equal bytes wherever they stand; ranges ascend and do not overlap.
+
+    Each byte gives a number that depends on it and on its place in the range, without any pattern from one place to
+    the next; a hash is their sum.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    base = int(starts[0])
+    place = np.arange(base, len(data), dtype=np.int64)
+    place -= np.repeat(starts, np.diff(np.append(starts, len(data))))
+    sums = np.zeros(len(data) - base + 1, np.uint64)
+    np.cumsum(mix(((place.view(np.uint64) << np.uint64(8)) | data[base:]) * _GOLDEN + _BASE), out=sums[1:])
+    return mix(sums[ends - base] - sums[starts - base] + (ends - starts).astype(np.uint64) * _GOLDEN)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
