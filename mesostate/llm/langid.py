@@ -3,13 +3,20 @@
 For each language a suffix automaton of a bounded sample of labelled text is
 built.  A document is parsed against each automaton into the longest pieces that
 occur in the sample; the language that needs fewest phrases, normalised by
-``log2`` of the sample's length and the document's length, wins.  Letters count
-in lower case and everything else as one symbol.  Documents are parsed whole, in
-segments of ``SEGMENT`` symbols side by side, a new phrase at each segment.
+``log2`` of the sample's length and the document's length, wins.  Symbols are the
+UTF-8 bytes of letters in lower case, and one symbol for everything else, so any
+script fits and each language has the alphabet of its own sample.  Documents are
+parsed whole, in segments of ``SEGMENT`` symbols side by side, a new phrase at
+each segment.
+
+The sample has at most ``DOCS`` labelled documents a language and ends with the
+one that reaches ``SAMPLE_CHARS`` characters.  They are taken in order of a hash
+of their ids, those of more than ``LONG_TEXT`` characters last, and whole.
 
 Texts that are null or hold no letter are ``und`` with score 0, and so is every
 text if nothing is labelled; a null id counts as held out; repeated rows are
-predicted one by one; ties go to the first language in order; an empty table
+predicted one by one; ties go to the first language in order; columns named
+``lang_pred`` or ``score`` are replaced, others pass through; an empty table
 gives an empty result.
 """
 
@@ -17,20 +24,43 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mesostate.llm.common import read
+from mesostate.llm.common import new_columns, read
 from mesostate.llm.pretokens import LETTER, _classes
 from mesostate.llm.textops import buffers, ragged, runs
 
-#: The sample: documents a language, characters of each, symbols a language.
-DOCS, CHARS, SYMBOLS = 48, 600, 12_000
-LETTERS = 60
+#: The sample: documents a language, characters at which it ends, length from which a document comes last.
+DOCS, SAMPLE_CHARS, LONG_TEXT = 48, 48_000, 4096
 SEGMENT = 256
+#: Byte that stands for everything that is no letter.
+NO_LETTER = 0x20
+
+
+@lru_cache(maxsize=1)
+def _lowered() -> np.ndarray:
+    """Each code point in lower case where that is one code point; ``NO_LETTER`` where it is no letter."""
+    out = np.full(0x110000, NO_LETTER, "<u4")
+    for c in np.flatnonzero(_classes() == LETTER).tolist():
+        low = chr(c).lower()
+        out[c] = ord(low) if len(low) == 1 else c
+    return out
+
+
+def symbols_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all texts, where each text starts in them (one more at the end), and whether it has a letter."""
+    data, offsets = buffers(column)
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    code = _lowered()[np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), "<u4")]
+    first = np.searchsorted(at, offsets)
+    letters = np.concatenate([np.zeros(1, np.int64), np.cumsum(code != NO_LETTER)])[first]
+    sizes = np.concatenate([np.zeros(1, np.int64), np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF).astype(np.int64))])
+    return np.frombuffer(code.tobytes().decode("utf-32-le").encode(), np.uint8), sizes[first], np.diff(letters) > 0
 
 
 def automaton(symbols: list[int], width: int) -> np.ndarray:
@@ -69,81 +99,68 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Symbols: 0 is no letter, 1 an unknown letter, then known letters; the last only fills segments up."""
+    """For each language its name, the own symbol of each byte (0: none in the sample), automaton and bits a phrase.
+
+    The last symbol of an automaton only fills segments up.
+    """
 
     languages: list[str]
-    letters: str
-    table: np.ndarray
-    roots: np.ndarray
-    restart: np.ndarray
+    own: list[np.ndarray]
+    tables: list[np.ndarray]
     bits: np.ndarray
 
     @classmethod
     def fit(cls, samples: dict[str, list[str]]) -> Model:
-        joined = {k: "\n".join(samples[k]).lower()[:SYMBOLS] for k in sorted(samples)}
-        joined = {k: t for k, t in joined.items() if any(c.isalpha() for c in t)}
-        count: dict[str, int] = {}
-        for t in joined.values():
-            for c in t:
-                if c.isalpha():
-                    count[c] = count.get(c, 0) + 1
-        letters = "".join(sorted(sorted(count, key=lambda c: (-count[c], c))[:LETTERS]))
-        known = {c: k + 2 for k, c in enumerate(letters)}
-        fill = len(letters) + 2
-        tables, roots, bits = [], [], []
-        for t in joined.values():
-            own = automaton([known.get(c, 1) if c.isalpha() else 0 for c in t], fill + 1)
-            base = sum(map(len, tables))
-            own = np.where(own >= 0, own + base, -1).astype(np.int32)
-            own[:, 1] = -1  # unknown letters match nothing
-            own[:, fill] = np.arange(len(own)) + base
-            tables.append(own)
-            roots.append(base)
-            bits.append(np.log2(max(2, len(t))))
-        table = np.concatenate(tables) if tables else np.zeros((0, fill + 1), np.int32)
-        restart = np.array([np.where(table[r] >= 0, table[r], r) for r in roots], np.int32).reshape(len(roots), fill + 1)
-        return cls(list(joined), letters, table, np.array(roots, np.int32), restart, np.array(bits))
-
-    def symbol_table(self) -> np.ndarray:
-        out = np.where(_classes() == LETTER, 1, 0).astype(np.uint8)
-        for k, c in enumerate(self.letters):
-            out[ord(c)] = k + 2
-            if len(c.upper()) == 1:
-                out[ord(c.upper())] = k + 2
-        return out
-
-    def predict(self, column: pa.Array, symbols: np.ndarray) -> tuple[list[str], list[float]]:
-        data, offsets = buffers(column)
-        at = np.flatnonzero((data & 0xC0) != 0x80)
-        code = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), "<u4")
-        first = np.searchsorted(at, offsets)
+        languages, own, tables, bits = [], [], [], []
+        for language in sorted(samples):
+            symbols, _, letters = symbols_of(pa.array(["\n".join(samples[language])], pa.large_string()))
+            if not letters[0]:
+                continue
+            alphabet = np.unique(symbols)
+            lookup = np.zeros(256, np.int32)
+            lookup[alphabet] = np.arange(1, len(alphabet) + 1)
+            table = automaton(lookup[symbols].tolist(), len(alphabet) + 2)
+            table[:, -1] = np.arange(len(table))
+            languages.append(language)
+            own.append(lookup)
+            tables.append(table)
+            bits.append(np.log2(max(2, len(symbols))))
+        return cls(languages, own, tables, np.array(bits))
+
+    def phrases(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases of each language and text, symbols of each text, and whether it has a letter."""
+        symbols, first, letters = symbols_of(column)
         sizes = np.diff(first)
-        symbol = symbols[code]
-        has_letter = np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(symbol > 0)])[first]) > 0
-        n = len(self.languages)
-        if not n:
-            return ["und"] * len(sizes), [0.0] * len(sizes)
         segments = -(-sizes // SEGMENT)
-        grid = np.full((SEGMENT, int(segments.sum())), len(self.letters) + 2, np.uint8)
         place = ragged(np.zeros(len(sizes), np.int64), sizes)
-        grid[place % SEGMENT, np.repeat(np.cumsum(segments) - segments, sizes) + place // SEGMENT] = symbol
-        state = np.repeat(self.roots[:, None], grid.shape[1], axis=1)
-        phrases = np.ones(state.shape, np.int32)
-        flat, width = self.table.ravel(), self.table.shape[1]
-        for row in grid:
-            to = flat[state * width + row]
-            failed = to < 0
-            phrases += failed
-            state = np.where(failed, self.restart[:, row], to)
-        sums = np.concatenate([np.zeros((n, 1), np.int64), np.cumsum(phrases, axis=1)], axis=1)
+        row, col = place % SEGMENT, np.repeat(np.cumsum(segments) - segments, sizes) + place // SEGMENT
         ends = np.cumsum(segments)
-        total = (sums[:, ends] - sums[:, ends - segments]) * self.bits[:, None] / np.maximum(sizes, 1)
-        best = total.argmin(axis=0)
-        ordered = np.sort(total, axis=0)
-        score = 1.0 - ordered[0] / np.maximum(ordered[1], 1e-12) if n > 1 else np.ones(len(sizes))
+        out = np.zeros((len(self.languages), len(sizes)), np.int64)
+        for k, (lookup, table) in enumerate(zip(self.own, self.tables, strict=True)):
+            grid = np.full((SEGMENT, int(segments.sum())), table.shape[1] - 1, np.int32)
+            grid[row, col] = lookup[symbols]
+            flat, width = table.ravel(), table.shape[1]
+            restart = np.maximum(table[0], 0)  # of an unknown symbol: the root
+            state, count = np.zeros(grid.shape[1], np.int32), np.ones(grid.shape[1], np.int64)
+            for step in grid:
+                to = flat[state * width + step]
+                failed = to < 0
+                count += failed
+                state = np.where(failed, restart[step], to)
+            sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
+            out[k] = sums[ends] - sums[ends - segments]
+        return out, sizes, letters
+
+    def predict(self, column: pa.Array) -> tuple[list[str], list[float]]:
+        if not self.languages:
+            return ["und"] * len(column), [0.0] * len(column)
+        phrases, sizes, letters = self.phrases(column)
+        total = phrases * self.bits[:, None] / np.maximum(sizes, 1)
+        best, ordered = total.argmin(axis=0), np.sort(total, axis=0)
+        score = 1.0 - ordered[0] / np.maximum(ordered[1], 1e-12) if len(self.languages) > 1 else np.ones(len(sizes))
         return (
-            [self.languages[b] if h else "und" for b, h in zip(best.tolist(), has_letter.tolist(), strict=True)],
-            np.where(has_letter, np.clip(score, 0.0, 1.0), 0.0).tolist(),
+            [self.languages[b] if h else "und" for b, h in zip(best.tolist(), letters.tolist(), strict=True)],
+            np.where(letters, np.clip(score, 0.0, 1.0), 0.0).tolist(),
         )
 
 
@@ -153,28 +170,30 @@ def held_out(key: str = "doc_id"):
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A model of at most ``DOCS`` labelled documents a language, none of them held out."""
-    labelled = docs.where(F.col(lang).isNotNull() & ~held_out(key)).select(F.col(key).alias("key"), F.col(lang).alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
-    chosen = labelled.withColumn("rank", rank).where(F.col("rank") <= DOCS).select("key").distinct()
-    texts = docs.where(F.col(lang).isNotNull() & ~held_out(key)).join(F.broadcast(chosen), F.col(key) == chosen["key"], "left_semi")  # DOCS ids a language
+    """A model of a bounded sample of labelled documents, none of them held out."""
+    labelled = docs.where(F.col(lang).isNotNull() & ~held_out(key) & F.col(text).rlike(r"\p{L}")).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.length(text).alias("n"))
+    order = [F.col("n") > LONG_TEXT, F.xxhash64("key"), "key", "n"]
+    ranked = labelled.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= DOCS)
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = ranked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SAMPLE_CHARS).select("key", "lang", "n").distinct()
+    rows = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.length(text).alias("n"))
+    texts = rows.join(F.broadcast(chosen), ["key", "lang", "n"], "left_semi")  # DOCS ids a language
     samples: dict[str, list[str]] = {}
-    for language, sample in sorted(texts.where(F.col(text).isNotNull()).select(lang, F.substring(text, 1, CHARS)).collect()):
-        samples.setdefault(language, []).append(sample)
+    for row in texts.groupBy("key", "lang", "n").agg(F.min("text").alias("text")).orderBy("lang", F.xxhash64("key"), "key", "n").collect():
+        samples.setdefault(row["lang"], []).append(row["text"])
     return Model.fit(samples)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; only the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    docs = new_columns(docs, "lang_pred", "score")
     schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        symbols = model.symbol_table()
         for batch in batches:
             for run in runs(batch, text):
-                best, score = model.predict(run.column(text), symbols)
+                best, score = shared.value.predict(run.column(text))
                 yield pa.RecordBatch.from_arrays([*run.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*run.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(apply, schema)
