@@ -11,9 +11,14 @@ by mod-97, ``ssn`` and ``secret`` by their context) are kept from a score of
 ``THRESHOLD`` on: the base of their kind, plus what a passed checksum and a
 context word in the ``CONTEXT_CHARS`` before the span add.
 
+Matches are walked over in blocks of ``BLOCK``, each from the position where it
+starts, so the work is in proportion to a text's length however much of it
+looks like personal data.
+
 A null text is an empty text: no spans, the hash of an empty string.  Repeated
-rows are scanned one by one, further columns are passed through by ``redact``,
-and an empty table gives an empty result.
+rows are scanned one by one, further columns are passed through by ``redact``
+whatever their names, ``find`` replaces a column of the name that it adds, and
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +29,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mesostate.llm.common import let, read
+from mesostate.llm.common import free_name, let, read
 
 THRESHOLD = 0.6
 CONTEXT_CHARS = 40
+#: Matches that one step walks over.
+BLOCK = 256
 
 
 def digits_of(match: Column) -> Column:
@@ -91,37 +98,53 @@ MORE = (
 KINDS = BASE + MORE
 
 
+def _blocks(n: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+
+
+def _block(values: Column, b: Column) -> Column:
+    return F.slice(values, b * BLOCK + 1, F.lit(BLOCK))
+
+
+def _before_blocks(totals: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What ``join`` makes of all totals before each block, from 0 on."""
+    return F.aggregate(totals, F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(join(F.element_at(acc, -1), t))))
+
+
 def spans_of(text: Column, kind: Kind, base: bool) -> Column:
     """``array<struct<kind, start, end, score>>`` of one kind in one non-null text."""
 
+    def context(gaps: Column, found: Column, i: Column) -> Column:
+        # matches of kinds with context have ten characters and more, so four and what is between them are enough
+        near = [part for k in (4, 3, 2, 1) for part in (F.get(gaps, i - k), F.get(found, i - k))]
+        return F.right(F.concat_ws("", *near, F.get(gaps, i)), F.lit(CONTEXT_CHARS))
+
     def located(found: Column) -> Column:
+        def score(gaps: Column, i: Column) -> Column:
+            near = F.when(context(gaps, found, i).rlike(kind.words), kind.context).otherwise(0.0) if kind.words else F.lit(0.0)
+            return F.lit(kind.score + kind.checksum) + near
+
         def walk(gaps: Column) -> Column:
             # gap 0, match 0, gap 1, match 1, ...: a span starts after all that stands before it
-            start = F.aggregate(
-                found,
-                F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int>>").alias("out")),
-                lambda acc, m: F.struct(
-                    (acc["i"] + 1).alias("i"),
-                    (acc["at"] + F.length(F.get(gaps, acc["i"])) + F.length(m)).alias("at"),
-                    F.concat(acc["out"], F.array(F.struct(m.alias("m"), (acc["at"] + F.length(F.get(gaps, acc["i"]))).alias("start")))).alias("out"),
-                ),
-                lambda acc: acc["out"],
-            )
-            scored = F.transform(
-                start,
-                lambda s: F.struct(
-                    F.lit(kind.name).alias("kind"),
-                    s["start"].alias("start"),
-                    (s["start"] + F.length(s["m"])).alias("end"),
-                    kind.valid(s["m"]).alias("valid"),
-                    (F.lit(kind.score + kind.checksum) + (F.when(F.substring(text, F.greatest(s["start"] + 1 - CONTEXT_CHARS, F.lit(1)), F.least(s["start"], F.lit(CONTEXT_CHARS))).rlike(kind.words), kind.context).otherwise(0.0) if kind.words else F.lit(0.0))).alias("score"),
-                ),
-            )
-            return F.filter(scored, lambda s: s["valid"] & (F.lit(True) if base else s["score"] >= THRESHOLD))
+            total = lambda values: F.aggregate(values, F.lit(0), lambda n, v: n + F.length(v))
+            totals = F.transform(_blocks(F.size(found)), lambda b: total(_block(gaps, b)) + total(_block(found, b)))
+
+            def step(acc: Column, i: Column) -> Column:
+                m, start = F.get(found, i), acc["at"] + F.length(F.get(gaps, i))
+                span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), score(gaps, i).alias("score"))
+                kept = kind.valid(m) if base else kind.valid(m) & (score(gaps, i) >= THRESHOLD)
+                return F.struct((start + F.length(m)).alias("at"), F.when(kept, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+            def within(at: Column, b: Column) -> Column:
+                places = F.sequence(b * BLOCK, F.least(F.size(found), (b + 1) * BLOCK) - 1)
+                return F.aggregate(places, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+            bases = _before_blocks(totals, lambda a, t: a + t)
+            return let(bases, lambda at: F.flatten(F.transform(_blocks(F.size(found)), lambda b: within(F.get(at, b), b))))
 
         return let(F.split(text, kind.pattern, -1), walk)
 
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,valid:boolean,score:double>>")
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
     search = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, located(found)).otherwise(none))
     return F.when(F.contains(text, F.lit(kind.hint)), search).otherwise(none) if kind.hint else search
 
@@ -134,25 +157,34 @@ def find(df: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS, int
 
 def redact(df: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``df`` with every span of ``text`` replaced by its kind in brackets; overlapping spans become one."""
-    found = find(df, text, kinds, "_pii_spans")
+    name = free_name(df, "_spans")
     body = F.coalesce(F.col(text), F.lit(""))
+    ordered = F.array_sort(F.transform(F.col(name), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        clear = s["start"] >= acc["at"]
-        piece = F.substr(body, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(clear, F.concat(acc["parts"], F.array(piece, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(acc["parts"]).alias("parts"),
-        )
-
-    ordered = F.array_sort(F.transform(F.col("_pii_spans"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    clean = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        step,
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(body, acc["at"] + 1)),
-    )
-    return found.withColumn(text, F.when(F.size("_pii_spans") > 0, clean).otherwise(F.col(text))).select(*df.columns)
+    def cleaned(spans: Column) -> Column:
+        stops = F.transform(_blocks(F.size(spans)), lambda b: F.array_max(F.transform(_block(spans, b), lambda s: s["end"])))
+
+        def within(base: Column, stop: Column, own: Column) -> Column:
+            # the text of the block begins at its base, where the blocks before it end
+            def pieces(part: Column) -> Column:
+                def step(acc: Column, s: Column) -> Column:
+                    piece = F.substr(part, acc["at"] - base + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+                    more = F.concat(acc["parts"], F.array(piece, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+                    return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["parts"]).alias("parts"))
+
+                start = F.struct(base.alias("at"), F.array().cast("array<string>").alias("parts"))
+                return F.aggregate(own, start, step, lambda acc: F.array_join(acc["parts"], ""))
+
+            return let(F.substr(body, base + 1, F.greatest(stop - base, F.lit(0))), pieces)
+
+        def joined(bases: Column) -> Column:
+            parts = F.transform(_blocks(F.size(spans)), lambda b: within(F.get(bases, b), F.get(bases, b + 1), _block(spans, b)))
+            return F.concat(F.array_join(parts, ""), F.substr(body, F.element_at(bases, -1) + 1))
+
+        return let(_before_blocks(stops, lambda a, t: F.greatest(a, t)), joined)
+
+    found = find(df, text, kinds, name)
+    return found.withColumn(text, F.when(F.size(name) > 0, let(ordered, cleaned)).otherwise(F.col(text))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _joined(spans: Column) -> Column:
