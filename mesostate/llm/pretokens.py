@@ -22,7 +22,7 @@ from mesostate.llm.textops import ragged, range_hashes
 
 SPACE, LETTER, DIGIT, OTHER, UNKNOWN = range(5)
 #: Distinct pre-tokens, and bytes of them, that a worker keeps before it forgets those met least often.
-KEPT, KEPT_BYTES = 400_000, 32 << 20
+KEPT, KEPT_BYTES = 250_000, 16 << 20
 _CHUNK = 1 << 16
 
 
@@ -131,14 +131,15 @@ class WordEncoder:
 
 
 def distinct_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A code of each byte range, equal for equal bytes alone, and the index of each code's first range."""
+    """A code of each byte range, equal for equal bytes alone, and the index of each code's first range; the ranges tile ``data``."""
     codes, distinct = pd.factorize(range_hashes(data, starts, ends))
     first = np.zeros(len(distinct), np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
     lengths = ends - starts
     model = first[codes]
-    other = np.minimum(ragged(starts[model], lengths), len(data) - 1)
-    differs = data[ragged(starts, lengths)] != data[other]
+    other = np.repeat(starts[model] - starts, lengths)
+    other += np.arange(len(data))
+    differs = data != data[np.minimum(other, len(data) - 1, out=other)]
     wrong = lengths != lengths[model]
     if differs.any():
         wrong[np.searchsorted(np.cumsum(lengths), np.flatnonzero(differs), "right")] = True

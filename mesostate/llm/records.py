@@ -49,7 +49,9 @@ from mesostate.llm.textops import buffers, runs
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 #: A file is closed and the next one begun at about so many bytes.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
+#: Bytes of text that a worker encodes at once.
+RUN_BYTES = 1 << 20
 #: File names that a broadcast may have.
 MOST_FILES = 100_000
 
@@ -136,7 +138,7 @@ def write(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", p
         store_at, root = fs.FileSystem.from_uri(f"{folder}/data")
         out, name, offset, seq, before = None, "", 0, 0, 0
         for batch in batches:
-            for run in runs(batch):
+            for run in runs(batch, "text", RUN_BYTES):
                 rows = []
                 for doc, ids in zip(run.column("key").to_pylist(), encoder(run.column("text")), strict=True):
                     if out is None:
