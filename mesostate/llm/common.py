@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mesostate.storage import checkpoint, checkpoint_root, scratch
 
-__all__ = ["checkpoint", "checkpoint_root", "free_name", "let", "new_columns", "read", "scratch", "words_of"]
+__all__ = ["checkpoint", "checkpoint_root", "free_name", "let", "looked_up", "new_columns", "read", "scratch", "words_of"]
 
 #: Separator of words, for Java's and RE2's regular expressions.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -41,3 +41,23 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+#: Rows that the table of a broadcast lookup may have (a few numbers each, so about 16 MB).
+MOST_BROADCAST = 500_000
+#: Parts that a hot key is split into where that table is larger.
+SALTS = 32
+
+
+def looked_up(df: DataFrame, table: DataFrame, key: str, spread: list[str], most: int = MOST_BROADCAST) -> DataFrame:
+    """``df`` left-joined with ``table``, which is checkpointed and has one row a key.
+
+    A table of at most ``most`` rows is broadcast; a larger one is repeated for each of ``SALTS`` parts that ``spread``
+    deals a key's rows of ``df`` to, so no key lands in one task.
+    """
+    if table.count() <= most:
+        return df.join(F.broadcast(table), key, "left")
+    salt = free_name(df, "_salt")
+    dealt = df.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    parts = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(parts, [key, salt], "left").drop(salt)

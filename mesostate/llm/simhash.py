@@ -16,7 +16,9 @@ several components, only members of different ones.
 A text of fewer than four words is one shingle; without a word (or null) its
 fingerprint is zero.  Null ids are grouped like others and never name a
 component that has an id.  Repeated rows share a fingerprint.  Further columns
-are passed through by ``deduplicate``; an empty table gives an empty result.
+are passed through by ``deduplicate`` whatever their names; ``with_fingerprint``
+replaces a column of the name that it adds; texts of any length are hashed whole;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mesostate.llm.common import checkpoint, read
+from mesostate.llm.common import checkpoint, free_name, looked_up, new_columns, read
 from mesostate.llm.components import components
 from mesostate.llm.textops import runs
 
@@ -63,6 +65,7 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
 
 def with_fingerprint(df: DataFrame, text: str = "text", into: str = "_fp") -> DataFrame:
     """``df`` with the fingerprint as a signed long."""
+    df = new_columns(df, into)
     schema = df.withColumn(into, F.lit(0).cast("long")).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,25 +194,38 @@ def clusters(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return known.join(merged, "root", "left").select("fp", F.coalesce("final", "root").alias("root"))
 
 
+def named(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs(key, fp)``, checkpointed, with ``component_id``: the least key that links reach.
+
+    Only fingerprints that several rows or components share are looked up; any other row names itself.
+    """
+    fps = checkpoint(docs.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("rows")))
+    roots = clusters(fps).join(fps, "fp")
+    least = checkpoint(roots.groupBy("root").agg(F.min("first").alias("least"), F.sum("rows").alias("n")).where("n > 1").drop("n"))
+    shared = checkpoint(looked_up(roots, least, "root", ["fp"]).where("least is not null").select("fp", F.col("least").alias("component_id")))
+    found = looked_up(docs, shared, "fp", [key])
+    return found.withColumn("component_id", F.coalesce("component_id", key))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    docs = checkpoint(with_fingerprint(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("_fp").alias("fp")))
-    fps = checkpoint(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = checkpoint(clusters(fps))
-    least = roots.join(fps, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = roots.join(least, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    docs = checkpoint(with_fingerprint(read(spark, sf_dir, "documents").select("doc_id", "text"), into="fp").select("doc_id", "fp"))
+    return named(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one row of each group of near-duplicates: that of the least id, null ids last."""
-    row_key = F.struct(F.col(key).isNull().alias("unknown"), F.col(key).alias("id"))  # never null itself
-    marked = with_fingerprint(df, text, "_fp").withColumn("_key", row_key)
-    fps = checkpoint(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_key").alias("first")))
-    winner = F.min(F.struct("first", "fp")).alias("w")
-    kept = clusters(fps).join(fps, "fp").groupBy("root").agg(winner).select(F.col("w.first").alias("_key"), F.col("w.fp").alias("_fp"))
-    # repeated rows share both keys, so they meet without a further shuffle
-    return marked.join(kept, ["_fp", "_key"], "left_semi").dropDuplicates(["_fp", "_key"]).select(*df.columns)
+    """``df`` with one row of each group of near-duplicates: that of the least id, null ids last.
+
+    Fingerprints are made once; rows then meet the keys that stay.  Rows of one id are told apart by a hash of their
+    text; of rows that repeat both, one stays.
+    """
+    name = free_name(df, "_key")
+    row_key = F.struct(F.col(key).isNull().alias("unknown"), F.col(key).alias("id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha"))  # never null itself
+    keys = with_fingerprint(df.select(row_key.alias("key"), F.col(text).alias("text")), into="fp").select("key", "fp")
+    fps = checkpoint(keys.groupBy("fp").agg(F.min("key").alias("first")))
+    kept = clusters(fps).join(fps, "fp").groupBy("root").agg(F.min("first").alias(name)).select(name)
+    # repeated rows share a key, so they meet without a further shuffle
+    return df.withColumn(name, row_key).join(kept, name, "left_semi").dropDuplicates([name]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 QUERIES = {"op3_simhash": op3_simhash}
