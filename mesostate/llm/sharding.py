@@ -6,8 +6,11 @@ place ``p``; shard ``p mod shards`` and slot ``p div shards`` follow by
 arithmetic, for one row without looking at any other.  Counts of shards differ
 by one at most (law ``rows``) and slots have no gaps.
 
-Null ids come first, null texts have no bytes, repeated rows are rows of their
-own, and an empty table gives an empty result.
+Null ids come first, null texts have no bytes, texts of any length only give
+their size and checksum, repeated rows are rows of their own (which of them gets
+which place does not matter), further columns pass through whatever their names,
+columns ``shard`` and ``slot`` are replaced, and an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mesostate.llm.common import checkpoint, read
+from mesostate.llm.common import checkpoint, free_name, new_columns, read
 from mesostate.llm.textops import mix
 
 ROUNDS = 6
@@ -44,8 +47,8 @@ def permute(rows: np.ndarray, total: int, seed: int = 7) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def number_rows(df: DataFrame, order: list[str], column: str = "row_number") -> DataFrame:
-    """Global numbers from 0 in the given order, without moving rows to one task.
+def number_rows(df: DataFrame, order: list[str], column: str = "row_number") -> tuple[DataFrame, int]:
+    """``df`` with global numbers from 0 in the given order, and their count, without moving rows to one task.
 
     The rows are range-partitioned and checkpointed; only one count a partition
     goes to the driver.
@@ -53,36 +56,34 @@ def number_rows(df: DataFrame, order: list[str], column: str = "row_number") ->
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = checkpoint(placed.withColumn("_id", F.monotonically_increasing_id()))
-    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    placed = checkpoint(placed.withColumn(column, F.monotonically_increasing_id()))
+    name = free_name(placed, "_part")
+    part, within = F.shiftright(F.col(column), 33), F.col(column).bitwiseAND((1 << 33) - 1)
     before, total = {}, 0
     for row in sorted(placed.groupBy(part.alias("part")).count().collect()):
         before[row["part"]], total = total, total + row["count"]
-    bases = spark.createDataFrame([(int(k), int(v)) for k, v in before.items()] or [(0, 0)], "_part long, _base long")
-    return (
-        placed.withColumn("_part", part.cast("long"))
-        .join(F.broadcast(bases), "_part", "left")  # one row a partition
-        .withColumn(column, F.col("_base") + within)
-        .withColumn("row_total", F.lit(total).cast("long"))
-        .drop("_id", "_part", "_base")
-    )
+    bases = spark.createDataFrame([(int(k), int(v)) for k, v in before.items()] or [(0, 0)], f"`{name}` long, `{name}_base` long")
+    numbered = placed.withColumn(name, part).join(F.broadcast(bases), name, "left")  # one row a partition
+    return numbered.withColumn(column, F.col(f"{name}_base") + within).select(*[F.col(f"`{c}`") for c in placed.columns]), total
 
 
 def shard(df: DataFrame, order: list[str], shards: int, seed: int = 7) -> DataFrame:
     """``df`` with ``shard`` and ``slot``: a reproducible shuffle of its rows into shards of equal counts."""
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    numbered = number_rows(df, order, "_row")
+    df = new_columns(df, *{"shard", "slot"}.difference(order))
+    name = free_name(df, "_row")
+    numbered, total = number_rows(df, order, name)
 
     @F.pandas_udf("long")
-    def place(row: pd.Series, total: pd.Series) -> pd.Series:
-        return pd.Series(permute(row.to_numpy(), int(total.iloc[0]), seed) if len(row) else [], dtype="int64")
+    def place(row: pd.Series) -> pd.Series:
+        return pd.Series(permute(row.to_numpy(), total, seed) if len(row) else [], dtype="int64")
 
-    placed = numbered.withColumn("_place", place("_row", "row_total"))
+    placed = numbered.withColumn(name, place(name))
     return placed.select(
-        *df.columns,
-        (F.col("_place") % shards).cast("int").alias("shard"),
-        F.expr(f"_place div {shards}").alias("slot"),
+        *[F.col(f"`{c}`") for c in df.columns],
+        (F.col(name) % shards).cast("int").alias("shard"),
+        F.expr(f"`{name}` div {shards}").alias("slot"),
     )
 
 
