@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mesostate.storage import checkpoint
@@ -45,6 +45,12 @@ class Components:
     mean: np.ndarray
     loadings: np.ndarray
     ratio: np.ndarray
+    all_ratio: np.ndarray
+
+    def curve(self, spark: SparkSession) -> DataFrame:
+        """``component, ratio, cumulative`` of all components, kept or not."""
+        rows = [(k, float(r), float(c)) for k, (r, c) in enumerate(zip(self.all_ratio, np.cumsum(self.all_ratio), strict=True))]
+        return spark.createDataFrame(rows, "component int, ratio double, cumulative double")
 
     def transform(self, rows: DataFrame, x: str = "x", into: str = "pc") -> DataFrame:
         def dot(row: np.ndarray, shift: float) -> Column:
@@ -65,12 +71,15 @@ def principal_components(rows: DataFrame, share: float = 0.9, x: str = "x") -> C
     vectors = vectors * np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(axis=1)])[:, None]
     ratio = values / max(values.sum(), TINY)
     k = min(int(np.searchsorted(np.cumsum(ratio), share, "right")) + 1, len(ratio))
-    return Components(mean, vectors[:k], ratio[:k])
+    return Components(mean, vectors[:k], ratio[:k], ratio)
 
 
 @dataclass
 class Hmm:
-    """Start and transition probabilities, means and diagonal variances of ``K`` states; log-likelihood of each step of the fit, and whether it converged."""
+    """Start and transition probabilities, means and covariances of ``K`` states; log-likelihood of each step of the fit, and whether it converged.
+
+    ``var`` has a row a state of variances (``diag``), a matrix a state (``full``), or one matrix for all (``tied``).
+    """
 
     start: np.ndarray
     step: np.ndarray
@@ -78,10 +87,29 @@ class Hmm:
     var: np.ndarray
     history: tuple[float, ...] = ()
     converged: bool = False
+    covariance: str = "diag"
 
     def log_density(self, obs: np.ndarray) -> np.ndarray:
-        gap = (obs[:, None] - self.mean) ** 2 / self.var
-        return -0.5 * (gap + np.log(2 * np.pi * self.var)).sum(axis=2)
+        if self.covariance == "diag":
+            gap = (obs[:, None] - self.mean) ** 2 / self.var
+            return -0.5 * (gap + np.log(2 * np.pi * self.var)).sum(axis=2)
+        out = np.empty((len(obs), len(self.mean)))
+        for k, mean in enumerate(self.mean):
+            lower = np.linalg.cholesky(self.var[k] if self.covariance == "full" else self.var)
+            gap = np.linalg.solve(lower, (obs - mean).T)
+            out[:, k] = -0.5 * ((gap**2).sum(axis=0) + len(mean) * np.log(2 * np.pi)) - np.log(np.diag(lower)).sum()
+        return out
+
+    def record(self, spark: SparkSession) -> DataFrame:
+        """How the fit went, in one row (M7): whether and when it converged, its last gain, all log-likelihoods."""
+        h = [float(v) for v in self.history]
+        row = (self.converged, len(h), h[-1] - h[-2] if len(h) > 1 else None, h)
+        return spark.createDataFrame([row], "converged boolean, n_iter int, delta_final double, log_likelihoods array<double>")
+
+    def transitions(self, spark: SparkSession) -> DataFrame:
+        """``i, j, p`` of the model's transition matrix (SNK12)."""
+        k = len(self.step)
+        return spark.createDataFrame([(i, j, float(self.step[i, j])) for i in range(k) for j in range(k)], "i int, j int, p double")
 
     def forward_backward(self, obs: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Log-likelihood, posterior of each state, expected transition counts of one sequence (M6)."""
@@ -135,7 +163,8 @@ def _expectation(model: Hmm) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
             for sequence in batch["obs"]:
                 obs = np.stack(sequence)
                 ll, post, counts = model.forward_backward(obs)
-                parts = np.concatenate([[ll], post[0], counts.ravel(), post.sum(axis=0), (post.T @ obs).ravel(), (post.T @ obs**2).ravel()])
+                second = {"diag": lambda: (post.T @ obs**2).ravel(), "full": lambda: np.einsum("tk,td,te->kde", post, obs, obs, optimize=True).ravel(), "tied": lambda: np.zeros(0)}[model.covariance]()  # noqa: B023
+                parts = np.concatenate([[ll], post[0], counts.ravel(), post.sum(axis=0), (post.T @ obs).ravel(), second])
                 total = parts if total is None else total + parts
         if total is not None:
             yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
@@ -143,20 +172,25 @@ def _expectation(model: Hmm) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
     return expect
 
 
-def fit_hmm(rows: DataFrame, sequence: list[str], order: str, k: int, n_iter: int = 500, tol: float = 1e-3, x: str = "x", floor: float = 1e-3) -> Hmm:
-    """Expectation maximisation with diagonal covariances (M4, M7).
+def fit_hmm(rows: DataFrame, sequence: list[str], order: str, k: int, n_iter: int = 500, tol: float = 1e-3, x: str = "x", floor: float = 1e-3, covariance: str = "diag") -> Hmm:
+    """Expectation maximisation with ``diag``, ``full`` or ``tied`` covariances, whose eigenvalues are ``floor`` at least (M4, M7).
 
     States start evenly spread along the first principal axis.  Sequences are grouped and checkpointed once; each
     step maps over them and adds up expected counts on the executors.  The fit has converged when the log-likelihood
     gains less than ``tol``; the model keeps its history.
     """
+    if covariance not in ("diag", "full", "tied"):
+        raise ValueError(f"unknown covariance {covariance}")
     n, total, cross = gramian(rows, x)
+    if not n:
+        raise ValueError("nothing to fit")
     mean = total / n
     cov = cross / n - np.outer(mean, mean)
     values, vectors = np.linalg.eigh(cov)
     axis = vectors[:, -1] * np.sign(vectors[np.abs(vectors[:, -1]).argmax(), -1])
     spread = np.sqrt(max(values[-1], 0)) * (2 * (np.arange(k) + 0.5) / k - 1) * 1.5
-    model = Hmm(np.full(k, 1 / k), np.full((k, k), 1 / k), mean + spread[:, None] * axis, np.tile(np.maximum(np.diag(cov), floor), (k, 1)))
+    first_var = {"diag": lambda: np.tile(np.maximum(np.diag(cov), floor), (k, 1)), "full": lambda: np.tile(_floored(cov, floor), (k, 1, 1)), "tied": lambda: _floored(cov, floor)}[covariance]()
+    model = Hmm(np.full(k, 1 / k), np.full((k, k), 1 / k), mean + spread[:, None] * axis, first_var, covariance=covariance)
     history: list[float] = []
     grouped = rows.groupBy(*sequence).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).alias("x")))).alias("w"))
     sequences = checkpoint(grouped.select(F.col("w.x").alias("obs")))
@@ -170,17 +204,48 @@ def fit_hmm(rows: DataFrame, sequence: list[str], order: str, k: int, n_iter: in
         gone = counts.sum(axis=1, keepdims=True)
         step = np.where(gone > 0, counts / np.maximum(gone, TINY), 1 / k)
         history.append(float(ll[0]))
-        model = Hmm(start / start.sum(), step, mu, np.maximum(second.reshape(k, d) / weight - mu**2, floor), tuple(history))
+        if covariance == "diag":
+            var = np.maximum(second.reshape(k, d) / weight - mu**2, floor)
+        elif covariance == "full":
+            var = np.stack([_floored(m / w - np.outer(c, c), floor) for m, w, c in zip(second.reshape(k, d, d), weight[:, 0], mu, strict=True)])
+        else:
+            var = _floored((cross - (mu.T * weight[:, 0]) @ mu) / n, floor)
+        model = Hmm(start / start.sum(), step, mu, var, tuple(history), covariance=covariance)
         if len(history) > 1 and history[-1] - history[-2] < tol:
             model.converged = True
             break
     return model
 
 
+def _floored(matrix: np.ndarray, floor: float) -> np.ndarray:
+    """A symmetric matrix with no eigenvalue under ``floor``."""
+    values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
+    return (vectors * np.maximum(values, floor)) @ vectors.T
+
+
+def free_parameters(k: int, d: int, covariance: str = "diag") -> int:
+    spread = {"diag": k * d, "full": k * d * (d + 1) // 2, "tied": d * (d + 1) // 2}[covariance]
+    return k * (k - 1) + k * d + spread + k - 1
+
+
 def bic(log_likelihood: float, k: int, d: int, n: int, covariance: str = "diag") -> float:
     """Bayesian information criterion with the free parameters of the covariance kind."""
-    spread = {"diag": k * d, "full": k * d * (d + 1) // 2, "tied": d * (d + 1) // 2}[covariance]
-    return -2 * log_likelihood + (k * (k - 1) + k * d + spread + k - 1) * float(np.log(n))
+    return -2 * log_likelihood + free_parameters(k, d, covariance) * float(np.log(n))
+
+
+def bic_table(fits: DataFrame) -> DataFrame:
+    """``fits`` (``k, d, n, covariance, log_likelihood``) with free parameters and criterion, the least first."""
+    k, d = F.col("k"), F.col("d")
+    spread = F.when(F.col("covariance") == "diag", k * d).when(F.col("covariance") == "full", k * d * (d + 1) / 2).otherwise(d * (d + 1) / 2)
+    found = fits.withColumn("n_parameters", (k * (k - 1) + k * d + spread + k - 1).cast("long"))
+    return found.withColumn("bic", -2 * F.col("log_likelihood") + F.col("n_parameters") * F.log("n")).orderBy("bic")
+
+
+def check_lengths(rows: DataFrame, lengths: DataFrame, session: str, length: str = "n") -> DataFrame:
+    """Sessions whose number of rows is not the stated length, of either table alone too; none if all is well (M8)."""
+    counted = rows.groupBy(session).agg(F.count(F.lit(1)).alias("found"))
+    both = counted.join(lengths.select(session, F.col(length).cast("long").alias("stated")), session, "full_outer")
+    return both.where(~F.col("found").eqNullSafe(F.col("stated")))
 
 
 def split(subjects: DataFrame, subject: str, share: float = 0.2, seed: int = 42) -> DataFrame:

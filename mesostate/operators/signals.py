@@ -31,6 +31,20 @@ def embed(epochs: DataFrame, n_lags: int, lag_step: int = 1) -> DataFrame:
     return epochs.select(*[c for c in epochs.columns if c != "samples"], F.inline(rows))
 
 
+def embed_channels(epochs: DataFrame, trial: list[str], channel: str, n_lags: int, lag_step: int = 1) -> DataFrame:
+    """``trial, t, x``: for each valid t of a trial, all its channels in order of their names, lag after lag (TDE3).
+
+    A trial is one group of as many rows as it has channels; they must be of one length.
+    """
+    wide = epochs.groupBy(*trial).agg(F.array_sort(F.collect_list(F.struct(F.col(channel).alias("c"), F.col("samples").alias("s")))).alias("m"))
+    n, reach = F.size(F.col("m")[0]["s"]), n_lags * lag_step
+    uneven = F.exists("m", lambda c: F.size(c["s"]) != n)
+    checked = F.when(uneven | (n <= reach), F.raise_error(F.lit("trial too short to embed, or of uneven channels"))).otherwise(F.sequence(F.lit(reach), n - 1))
+    lags = F.lit([k * lag_step for k in range(n_lags + 1)])
+    at = lambda t: F.flatten(F.transform(lags, lambda k: F.transform("m", lambda c: F.get(c["s"], t - k))))
+    return wide.select(*trial, F.inline(F.transform(checked, lambda t: F.struct(t.alias("t"), at(t).alias("x")))))
+
+
 def differences(x: Column) -> Column:
     return F.transform(F.slice(x, 2, F.size(x) - 1), lambda v, i: v - F.get(x, i))
 
