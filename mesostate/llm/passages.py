@@ -2,28 +2,38 @@
 
 Positions of a text are its five-word shingles.  For each of ``HASHES`` hash
 functions, the Cartesian tree over a text's hash values gives its compact
-windows: position ``c`` and the longest range ``l .. r`` in which it is the
-minimum, if that has at least ``LENGTH`` positions (``LENGTH + 4`` words).  All
-passages inside a window that hold ``c`` share the signature value of ``c``, so
-about ``2 n / LENGTH`` windows stand for all passages of a text of ``n``.
+windows: position ``c`` and the range ``l .. r`` in which it is the minimum, if
+that has at least ``LENGTH`` positions (``LENGTH + 4`` words).  Ranges are cut to
+what runs of ``LENGTH`` positions about ``c`` can reach; then the nodes of the tree
+that span so much are the minima of all such runs, and are found for all texts
+of a batch at once.  All passages inside a window that hold ``c`` share the
+signature value of ``c``, so about ``2 n / LENGTH`` windows stand for all passages
+of a text of ``n``.
 
 Documents with equal texts are one before the search (the least id).  A window is
-searched if one of another hash function (``AGREE`` = 2) overlaps it by ``LENGTH``
-and both values are held by several documents.  Holders of a value are compared
-with its leader, the least id, at each of the leader's places, so a passage shared
-by many documents makes one link a document: some run of ``LENGTH`` shingles around
-``c`` must find at least 0.8 of them in the other text's surroundings.  Places are
-blocks of ``LENGTH`` positions, so what several hash functions meet is compared once.
-
-Runs that the leader does not hold go on under new values, the least hash values
-among their shingles that no leader so far has, with a new leader each, until no
-value has two holders; each round takes shingles from a run, and runs of which none
-is left meet by the hash of the whole run.
+searched if its value is held by several documents and an interval join finds a
+window of another hash function (``AGREE`` = 2), also shared, that stands for a
+common run.  A passage of ``LENGTH`` shingles with a Jaccard similarity of 0.67 (0.8
+of either's shingles) to another is met so with a probability of 0.98.
+
+Holders of a value are compared with its leader, the least id, at each of the
+leader's places, so a passage shared by many documents makes one link a document:
+some run of ``LENGTH`` shingles around ``c`` must find at least 0.8 of them in the
+other text's surroundings.  Places are blocks of ``LENGTH`` positions, so what
+several hash functions meet is compared once.  Shingles are compared by 32 bits of
+their hashes; a run passes wrongly only if 37 of them collide.
+
+Of a value with three holders or more, runs that the leader does not hold go on
+under new values, the least hash values among their shingles that no leader so far
+has, with a new leader each, until no value has two holders; each round takes
+shingles from a run, and runs of which none is left meet by the hash of the whole
+run.
 
 Null texts, texts of fewer than ``LENGTH + 4`` words and rows with a null id
-take part in no pair; repeated rows of an id are one document; a passage
-repeated inside one document only is not reported; an empty table gives an
-empty result.
+take part in no pair; very long texts are searched whole; repeated rows of an id
+are one document, and different texts under one id are searched as one document
+too, whose places may be of either; a passage repeated inside one document only is
+not reported; further columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,59 +44,53 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mesostate.llm.common import checkpoint, read
+from mesostate.llm.common import MOST_BROADCAST, checkpoint, read
 from mesostate.llm.textops import buffers, mix, ragged, range_hashes, runs, shingle_hashes, word_spans
 
 SHINGLE = 5
 LENGTH = 46
-HASHES = 4
+HASHES = 6
 AGREE = 2
 LEAST = 0.8
-#: Rows of an id and a hash that a broadcast may have (8 MB).
-MOST_BROADCAST = 500_000
 
 _MASKS = mix(np.arange(101, 101 + HASHES, dtype=np.uint64))
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Low bits of a value that name its position, so a minimum tells where it stands; over LENGTH positions.
+_PLACE = np.uint64(63)
 
 
-def sliding_minima(values: np.ndarray, length: int) -> np.ndarray:
-    """Positions that are the (leftmost) minimum of some run of ``length`` values."""
+def run_minima(values: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Position of the minimum of each run of ``length`` values (all but the low bits of a value count)."""
     n = len(values)
     if n < length:
         return np.zeros(0, np.int64)
     blocks = -(-n // length)
     padded = np.full(blocks * length, _TOP)
-    padded[:n] = values
+    np.bitwise_or(values & ~_PLACE, np.arange(n, dtype=np.uint64) & _PLACE, out=padded[:n])
     grid = padded.reshape(blocks, length)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     lowest = np.minimum(behind[: n - length + 1], ahead[length - 1 : n])
-    firsts = np.flatnonzero(np.append(True, lowest[1:] != lowest[:-1]))
-    found = set()
-    for s in firsts.tolist():  # one minimum for each stretch of runs that share it
-        found.add(s + int(values[s : s + length].argmin()))
-    return np.array(sorted(found), np.int64)
+    start = np.arange(n - length + 1, dtype=np.int64)
+    return start + (((lowest & _PLACE).astype(np.int64) - start) & int(_PLACE))
 
 
-def compact_windows(values: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """``(c, l, r)`` of all nodes of the Cartesian tree that span at least ``length`` values.
+def compact_windows(values: np.ndarray, run_text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``c, first, last`` of all nodes of the Cartesian trees that span a run: the runs ``first .. last`` have their minimum at ``c``.
 
-    A node that spans so many is the minimum of a run of ``length``, and so is
-    the next smaller value on either side of it; so the tree is built over those
-    positions alone.
+    ``run_text`` is the text of each run, or -1 for one that is not whole in a text.  The node's window is
+    ``first .. last + length - 1``.
     """
-    at = sliding_minima(values, length).tolist()
-    low = values[at].tolist()
-    left, right, stack = [0] * len(at), [len(values) - 1] * len(at), []
-    for k, v in enumerate(low):
-        while stack and low[stack[-1]] > v:
-            right[stack.pop()] = at[k] - 1
-        left[k] = at[stack[-1]] + 1 if stack else 0
-        stack.append(k)
-    return [(c, a, b) for c, a, b in zip(at, left, right, strict=True) if b - a + 1 >= length]
+    c = run_minima(values, length)
+    valid = np.flatnonzero(run_text >= 0)
+    if not len(valid):
+        return valid, valid, valid
+    opens = np.append(True, (c[valid[1:]] != c[valid[:-1]]) | (run_text[valid[1:]] != run_text[valid[:-1]]) | (valid[1:] != valid[:-1] + 1))
+    at = np.flatnonzero(opens)
+    return c[valid[at]], valid[at], valid[np.append(at[1:], len(valid)) - 1]
 
 
 def text_shingles(column: pa.Array) -> list[np.ndarray]:
@@ -98,30 +102,74 @@ def text_shingles(column: pa.Array) -> list[np.ndarray]:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """``k, key, doc_id, c, l, r`` of all compact windows of ``docs(doc_id, text)``."""
-    kinds = "k int, key long, doc_id long, c int, l int, r int"
+    """``key, doc_id, w`` of all compact windows of ``docs(doc_id, text)``; ``w`` packs position, runs and hash function."""
+    kinds = "key long, doc_id long, w long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in runs(batch):
-                parts = []
-                for doc, own in zip(run.column("doc_id").to_pylist(), text_shingles(run.column("text")), strict=True):
-                    if len(own) < LENGTH:
-                        continue
-                    for k, mask in enumerate(_MASKS):
-                        values = mix(own ^ mask)
-                        found = np.array(compact_windows(values), np.int64).reshape(-1, 3)
-                        parts.append((np.full(len(found), k), values[found[:, 0]].view(np.int64), np.full(len(found), doc), *found.T))
-                if parts:
-                    k, key, doc, c, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(k.astype(np.int32)), pa.array(key.astype(np.int64)), pa.array(doc.astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in (c, left, right))],
-                        ["k", "key", "doc_id", "c", "l", "r"],
-                    )
+                data, offsets = buffers(run.column("text"))
+                starts, ends, first = word_spans(data, offsets)
+                shingles = shingle_hashes(range_hashes(data, starts, ends), SHINGLE)
+                text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                whole = len(text) - LENGTH - SHINGLE + 2  # runs of LENGTH shingles that end before the last word
+                if whole <= 0:
+                    continue
+                run_text = np.full(len(text) - LENGTH + 1, -1, np.int64)
+                run_text[:whole] = np.where(text[:whole] == text[LENGTH + SHINGLE - 2 :], text[:whole], -1)
+                ids = np.asarray(run.column("doc_id"), np.int64)
+                for k, mask in enumerate(_MASKS):
+                    values = mix(shingles ^ mask)
+                    c, a, b = compact_windows(values, run_text)
+                    if len(c):
+                        own = text[c]
+                        yield pa.RecordBatch.from_arrays([pa.array(values[c].view(np.int64)), pa.array(ids[own]), pa.array(packed(c - first[own], c - a, b - a, k))], ["key", "doc_id", "w"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, kinds)
 
 
+def packed(c: np.ndarray, back: np.ndarray, length: np.ndarray, k: int) -> np.ndarray:
+    return (c << 15) | (back << 9) | (length << 3) | k
+
+
+def unpacked(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position, first and last run of packed windows."""
+    c = w >> 15
+    first = c - ((w >> 9) & 63)
+    return c, first, first + ((w >> 3) & 63)
+
+
+def agreeing(held: DataFrame) -> DataFrame:
+    """``key, doc_id, c, one`` of the windows of ``held`` that have a run in common with a window of another hash function.
+
+    A document's windows are one list.  Windows of one hash function have no run in common, so it is enough that
+    ``AGREE`` windows cover a run.  ``one`` is 1 once for each value of a document.
+    """
+    lists = held.groupBy("doc_id").agg(F.collect_list("key").alias("key"), F.collect_list("w").alias("w"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.asarray(batch.column("w").value_lengths(), np.int64)
+            doc = np.repeat(np.arange(len(n)), n)
+            key = np.asarray(batch.column("key").flatten())
+            c, first, last = unpacked(np.asarray(batch.column("w").flatten()))
+            base = doc * (int(c.max(initial=0)) + 2 * LENGTH)  # documents side by side
+            events = np.concatenate([base + first, base + last + 1])
+            order = np.argsort(events, kind="stable")
+            cover = np.cumsum(np.repeat([1, -1], len(c))[order])
+            at = events[order]
+            ends = np.append(at[1:] != at[:-1], True)
+            at, cover = at[ends], cover[ends]  # cover from each place to the next
+            good = np.concatenate([np.zeros(1, np.int64), np.cumsum(cover >= AGREE)])
+            kept = np.flatnonzero(good[np.searchsorted(at, base + last, "right")] - good[np.searchsorted(at, base + first, "right") - 1] > 0)
+            order = kept[np.lexsort((c[kept], key[kept], doc[kept]))]
+            one = np.append(True, (key[order[1:]] != key[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])) if len(order) else np.zeros(0, bool)
+            ids = np.asarray(batch.column("doc_id"), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(ids[doc[order]]), pa.array(c[order].astype(np.int32)), pa.array(one.astype(np.int32))], ["key", "doc_id", "c", "one"])
+
+    return lists.mapInArrow(join, "key long, doc_id long, c int, one int")
+
+
 def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``doc_id, code, first, around`` for ``wanted(doc_id, at array<int>)``: 32 bits of each shingle hash near a block.
 
@@ -167,18 +215,17 @@ def unmet(own: np.ndarray, met: np.ndarray, rest: np.ndarray, lo: int, hi: int)
     keys: dict[int, int] = {}
     if len(bad):
         wide = own.view(np.uint32).astype(np.uint64)
+        left = np.concatenate([np.zeros(1, np.int64), np.cumsum(rest)])
+        some = left[bad + LENGTH] > left[bad]
         for mask in _MASKS[:AGREE]:
-            values = np.where(rest, mix(wide ^ mask), _TOP)
-            seen = np.lib.stride_tricks.sliding_window_view(values, LENGTH)[bad]
-            place = seen.argmin(axis=1)
-            low = seen[np.arange(len(bad)), place]
-            value, at = np.unique(low, return_index=True)
-            keys |= {v: p for v, p in zip(value.tolist(), (bad + place)[at].tolist(), strict=True) if v != int(_TOP)}
-        none = bad[low == _TOP]
+            values = mix(wide ^ mask) >> np.uint64(1)
+            place = run_minima(np.where(rest, values, _TOP))[bad[some]]
+            keys |= {int(values[p]): p for p in np.unique(place).tolist()}
+        none = bad[~some]
         if len(none):
             weights = mix(np.arange(1, LENGTH + 1, dtype=np.uint64)) | np.uint64(1)
             whole = (np.lib.stride_tricks.sliding_window_view(mix(wide), LENGTH)[none] * weights).sum(axis=1, dtype=np.uint64)
-            keys |= dict(zip(whole.tolist(), none.tolist(), strict=True))
+            keys |= dict(zip((whole >> np.uint64(1)).tolist(), none.tolist(), strict=True))
     return np.flatnonzero(good), list(keys.items())
 
 
@@ -201,25 +248,29 @@ def compared(pairs: DataFrame) -> DataFrame:
                     continue
                 met = np.isin(own, b_all[b_end[k - 1] if k else 0 : b_end[k]])
                 rest = ~met if packed is None else ~met & np.unpackbits(np.frombuffer(packed, np.uint8), count=len(own)).astype(bool)
-                good, keys = unmet(own, met, rest, lo - first, hi - first)
+                good, keys = unmet(own, met, rest, -1 if lo is None else lo - first, -1 - LENGTH if hi is None else hi - first)
                 if len(good):
                     out.append((doc, rep, block, first + int(good[0]), first + int(good[-1]) + LENGTH - 1, None, None, None))
                 if keys:
                     left = np.packbits(rest).tobytes()
-                    out += [(doc, rep, block, None, None, v - (1 << 64) if v >> 63 else v, first + at, left) for v, at in keys]
+                    out += [(doc, rep, block, None, None, v, first + at, left) for v, at in keys]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return pairs.mapInArrow(check, kinds)
 
 
-def led(held: DataFrame) -> DataFrame:
-    """``doc_id, block, rest, rep_doc_id, rep_block, lo, hi``: holders of a value and each place of its leader, the least id among them."""
-    lead = held.groupBy("key").agg(F.min("doc_id").alias("rep_doc_id"), F.max("doc_id").alias("last")).where("rep_doc_id != last").drop("last")
+def led(held: DataFrame, holders: Column) -> DataFrame:
+    """``doc_id, block, rest, rep_doc_id, rep_block, lo, hi``: holders of a value and each place of its leader, the least id among them.
+
+    ``holders`` counts the documents of a value.  ``lo .. hi`` are the places of values with others than these two; null if there are none.
+    """
+    lead = held.groupBy("key").agg(F.min("doc_id").alias("rep_doc_id"), holders.alias("n")).where("n > 1")
     met = held.join(lead, "key")
     places = met.where("doc_id = rep_doc_id").select("key", F.col("block").alias("rep_block")).distinct()
     pairs = met.where("doc_id != rep_doc_id").join(places, "key")
-    return pairs.groupBy("doc_id", "block", "rest", "rep_doc_id", "rep_block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    others = F.when(F.col("n") > 2, F.col("c"))
+    return pairs.groupBy("doc_id", "block", "rest", "rep_doc_id", "rep_block").agg(F.min(others).alias("lo"), F.max(others).alias("hi"))
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -228,10 +279,16 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
 
 
 def equal_texts(docs: DataFrame) -> DataFrame:
-    """``doc_id, rep_doc_id, u, n_words`` of documents whose whole text a document of lesser id has, if it is long enough for a passage; ``u`` is a hash of it."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("u"), F.sha2("text", 256).alias("same"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n_words")).where(F.col("n_words") >= LENGTH + SHINGLE - 1)
+    """``doc_id, rep_doc_id, u, n_words`` of documents whose whole text a document of lesser id has, if it is long enough for a passage; ``u`` is a hash of it.
+
+    Words are counted only of texts that occur twice.
+    """
+    same = F.sha2("text", 256)
+    texts = docs.where(F.octet_length("text") >= 2 * (LENGTH + SHINGLE) - 3).withColumn("same", same)  # so many words have so many bytes
     least = checkpoint(texts.groupBy("same").agg(F.min("doc_id").alias("rep_doc_id"), F.max("doc_id").alias("last")).where("rep_doc_id != last").drop("last"))
-    return texts.join(small_side(least, MOST_BROADCAST // 5), "same").where("doc_id != rep_doc_id").groupBy("doc_id", "rep_doc_id", "u").agg(F.max("n_words").cast("long").alias("n_words"))
+    found = texts.join(small_side(least, MOST_BROADCAST // 5), "same").where("doc_id != rep_doc_id").withColumn("u", F.xxhash64("text"))
+    n_words = F.max(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).cast("long").alias("n_words")
+    return found.groupBy("doc_id", "rep_doc_id", "u").agg(n_words).where(F.col("n_words") >= LENGTH + SHINGLE - 1)
 
 
 def release(df: DataFrame) -> None:
@@ -240,11 +297,35 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def beside(pairs: DataFrame, around: DataFrame, wide: int) -> DataFrame:
+    """``pairs`` with the surroundings of both sides, ``own`` and the leader's, the wide ones or not.
+
+    While there are few pairs they are broadcast, and only surroundings that they name are moved.
+    """
+    pairs = small_side(pairs, MOST_BROADCAST // 4)
+    side = lambda odd: around.where(f"code % 2 = {odd}")
+    block = F.expr("code div 2").cast("int")
+    own = side(0).select("doc_id", block.alias("block"), "first", "around")
+    rep = side(wide).select(F.col("doc_id").alias("rep_doc_id"), block.alias("rep_block"), F.col("around").alias("rep_around"))
+    asked = pairs.select("rep_doc_id", "rep_block").distinct()
+    return own.join(pairs, ["doc_id", "block"]).join(rep.join(asked, ["rep_doc_id", "rep_block"], "left_semi"), ["rep_doc_id", "rep_block"])
+
+
+def passages_of(found: DataFrame) -> DataFrame:
+    """Blocks that follow or overlap each other, of one pair, as one passage of words."""
+    w = Window.partitionBy("doc_id", "rep_doc_id").orderBy("first_shingle", "last_shingle")
+    reach = F.max("last_shingle").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    placed = found.withColumn("_new", F.when(F.col("first_shingle") <= reach + 1, 0).otherwise(1)).withColumn("_p", F.sum("_new").over(w))
+    return placed.groupBy("doc_id", "rep_doc_id", "_p").agg(
+        F.min("first_shingle").cast("long").alias("first_word"), (F.max("last_shingle") + SHINGLE).cast("long").alias("last_word"), F.countDistinct("block").alias("n_windows")
+    ).drop("_p")
+
+
 def find(docs: DataFrame) -> DataFrame:
-    """``doc_id, rep_doc_id, first_word, last_word, n_windows``: documents that share passages with a document of lesser id.
+    """``doc_id, rep_doc_id, first_word, last_word, n_windows``: passages that a document shares with one of lesser id.
 
-    Of documents with equal texts, the least id is searched; the others get one row that names it, over all
-    words and with no windows.
+    ``last_word`` is exclusive.  Of documents with equal texts, the least id is searched; the others get one row that
+    names it, over all words and with no windows.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     copies = checkpoint(equal_texts(docs))
@@ -252,33 +333,25 @@ def find(docs: DataFrame) -> DataFrame:
     distinct = marked.join(small_side(copies.select("doc_id", "u"), MOST_BROADCAST), ["doc_id", "u"], "left_anti").drop("u")
     cut = windows(distinct)
     shared = cut.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least != last").select("key")
-    # a document's windows of shared values, where another hash function has one too
-    spans = F.collect_list(F.struct("k", "key", "c", "l", "r"))
-    meets = F.filter("w", lambda x: F.exists("w", lambda y: (y["k"] != x["k"]) & (F.least(x["r"], y["r"]) - F.greatest(x["l"], y["l"]) + 1 >= LENGTH)))
-    held = cut.join(shared, "key").groupBy("doc_id").agg(spans.alias("w")).select("doc_id", F.explode(meets).alias("x"))
-    held = checkpoint(held.select(F.col("x.key").alias("key"), "doc_id", F.col("x.c").alias("c"), F.floor(F.col("x.c") / LENGTH).cast("int").alias("block"), F.lit(None).cast("binary").alias("rest")))
+    held = agreeing(cut.join(shared, "key")).withColumns({"block": F.floor(F.col("c") / LENGTH).cast("int"), "rest": F.lit(None).cast("binary")})
+    held = checkpoint(held)
     del cut, shared
     release(held)
-    pairs = checkpoint(led(held))
+    pairs = checkpoint(led(held, F.sum("one")))
     both = pairs.select("doc_id", (F.col("block") * 2).alias("code")).unionByName(pairs.select(F.col("rep_doc_id").alias("doc_id"), (F.col("rep_block") * 2 + 1).alias("code"))).distinct()
     around = checkpoint(surroundings(distinct, both.groupBy("doc_id").agg(F.collect_list("code").alias("at"))))
-    own = around.where("code % 2 = 0").select("doc_id", F.expr("code div 2").cast("int").alias("block"), "first", "around")
     wide, found = 1, []
     while True:
         # holders that their leader does not explain go on among themselves, under values that it does not have
-        rep = around.where(f"code % 2 = {wide}").select(F.col("doc_id").alias("rep_doc_id"), F.expr("code div 2").cast("int").alias("rep_block"), F.col("around").alias("rep_around"))
-        known = checkpoint(compared(pairs.join(own, ["doc_id", "block"]).join(rep, ["rep_doc_id", "rep_block"])))
+        known = checkpoint(compared(beside(pairs, around, wide)))
         found.append(known.where("key is null").select("doc_id", "rep_doc_id", "block", "first_shingle", "last_shingle"))
-        pairs = checkpoint(led(known.where("key is not null").select("key", "doc_id", "block", "c", "rest")))
+        pairs = checkpoint(led(known.where("key is not null").select("key", "doc_id", "block", "c", "rest"), F.countDistinct("doc_id")))
         if pairs.isEmpty():
             break
         wide = 0
         release(pairs)
-    passages = reduce(DataFrame.unionByName, found).groupBy("doc_id", "rep_doc_id").agg(
-        F.min("first_shingle").cast("long").alias("first_word"), (F.max("last_shingle") + SHINGLE).cast("long").alias("last_word"), F.countDistinct("block").alias("n_windows")
-    )
     whole = copies.select("doc_id", "rep_doc_id", F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("last_word"), F.lit(0).cast("long").alias("n_windows"))
-    return passages.unionByName(whole)
+    return passages_of(reduce(DataFrame.unionByName, found)).unionByName(whole)
 
 
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
