@@ -328,12 +328,12 @@ def test_passages_of_a_table(spark):
 
 
 def test_minimal_passages_of_similarity_two_thirds(spark):
-    """Passages of LENGTH shingles with two of their words changed, so about 0.8 of the shingles stay."""
+    """Passages of LENGTH shingles with two of their words changed, so 37 of 46 shingles stay (a Jaccard similarity of 0.67)."""
     r, docs = random.Random(4), []
     for t in range(150):
         passage = [f"p{t}x{k}" for k in range(50)]
         changed = list(passage)
-        for at in (12, 36):
+        for at in (3, 25):
             changed[at] = f"q{t}x{at}"
         for side, text in enumerate((passage, changed)):
             noise = lambda: " ".join(f"n{r.getrandbits(40)}" for _ in range(60))
