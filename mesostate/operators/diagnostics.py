@@ -97,7 +97,7 @@ def kpss(long: DataFrame, scope: list[str], order: str, lags: int | None = None)
     """
     w = Window.partitionBy(*scope, "dim")
     centred = long.select(*scope, "dim", F.col(order).alias("o"), (F.col("x") - F.avg("x").over(w)).alias("e"))
-    series = centred.groupBy(*scope, "dim").agg(F.array_sort(F.collect_list(F.struct("o", "e"))).alias("s")).select(*scope, "dim", F.col("s.e").alias("e"))
+    series = centred.groupBy(*scope, "dim").agg(F.array_sort(F.collect_list(F.struct("o", "e"))).alias("_s")).select(*scope, "dim", F.col("_s.e").alias("e"))
     n = F.size("e")
     most = F.lit(lags) if lags is not None else F.floor(4 * F.pow(n / 100, F.lit(0.25))).cast("int")
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v)
@@ -160,7 +160,7 @@ def band_ratios(alpha: Column, theta: Column, beta: Column) -> list[Column]:
 def trial_mean(epochs: DataFrame, by: list[str], samples: str = "samples") -> DataFrame:
     """The mean signal over the trials of each group, such as a session's channel; it goes before a spectrum (QC3)."""
     placed = epochs.select(*by, F.posexplode(samples).alias("t", "x")).groupBy(*by, "t").agg(F.avg("x").alias("x"))
-    return placed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", "x"))).alias("w")).select(*by, F.col("w.x").alias(samples))
+    return placed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", "x"))).alias("_w")).select(*by, F.col("_w.x").alias(samples))
 
 
 def power_ratios(psd: DataFrame, session: str, channel: str) -> DataFrame:

@@ -105,7 +105,7 @@ def markdown(df: DataFrame, title: Column, sections: dict[str, list[str]], into:
 
     def line(name: str) -> Column:
         kind = dict(df.dtypes)[name]
-        value = F.format_string("%.4f", F.col(name)) if kind in ("double", "float") else F.col(name).cast("string")
+        value = F.when(F.col(name).isNotNull(), F.format_string("%.4f", F.col(name))) if kind in ("double", "float") else F.col(name).cast("string")
         return F.concat(F.lit(f"- **{name}**: "), F.coalesce(value, F.lit("-")))
 
     parts = [F.concat(F.lit("# "), title)]

@@ -9,10 +9,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from mesostate.operators import comparison, kernels, models, signals, states
-from mesostate.plans import catalogue, comparing, extended
+from mesostate.plans import assembled, catalogue, comparing, extended
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = catalogue.QUERIES | extended.QUERIES | comparing.QUERIES, catalogue.SQL | extended.SQL | comparing.SQL
+QUERIES, SQL = catalogue.QUERIES | extended.QUERIES | comparing.QUERIES | assembled.QUERIES, catalogue.SQL | extended.SQL | comparing.SQL | assembled.SQL
 
 
 def plain(rows):
@@ -26,7 +26,8 @@ def test_same_as_sql(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = QUERIES[name](spark, SF)
     columns = sorted(found.columns)
-    assert plain(map(tuple, found.select(columns).collect())) == plain(con.sql(f"SELECT {', '.join(columns)} FROM ({SQL[name]}) q").fetchall())
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    assert plain(map(tuple, found.select([f"`{c}`" for c in columns]).collect())) == plain(con.sql(f"SELECT {quoted} FROM ({SQL[name]}) q").fetchall())
 
 
 def test_runs_by_hand(spark):
@@ -134,9 +135,9 @@ def test_short_signal_raises():
 def test_effective_rank(spark):
     x = np.random.default_rng(0).normal(size=(50, 4))
     x[:, 1] = x[:, 0] + 0.1 * x[:, 1]
-    long = spark.createDataFrame([(r, d, float(x[r, d])) for r in range(50) for d in range(4)], "row int, dim int, x double")
+    rows = spark.createDataFrame([(r, x[r].tolist()) for r in range(50)], "row int, x array<double>")
     corr = np.corrcoef(x.T)
     share = np.linalg.eigvalsh(corr) / 4
-    found = comparison.effective_rank(long).first()
+    found = comparison.effective_rank(rows).first()
     assert math.isclose(found["rank"], np.exp(-(share * np.log(share)).sum()), rel_tol=1e-9) and math.isclose(found["dominance"], share.max(), rel_tol=1e-9)
     assert math.isclose(found["max_r"], np.abs(corr[0, 1]), rel_tol=1e-9)
