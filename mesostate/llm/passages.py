@@ -27,7 +27,7 @@ Of a value with three holders or more, runs that the leader does not hold go on
 under new values, the least hash values among their shingles that no leader so far
 has, with a new leader each, until no value has two holders; each round takes
 shingles from a run, and runs of which none is left meet by the hash of the whole
-run.
+run.  Of equal runs of one text, the first is searched.
 
 Null texts, texts of fewer than ``LENGTH + 4`` words and rows with a null id
 take part in no pair; very long texts are searched whole; repeated rows of an id
@@ -43,6 +43,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -117,6 +118,10 @@ def windows(docs: DataFrame) -> DataFrame:
                     continue
                 run_text = np.full(len(text) - LENGTH + 1, -1, np.int64)
                 run_text[:whole] = np.where(text[:whole] == text[LENGTH + SHINGLE - 2 :], text[:whole], -1)
+                # a run that stands in its text before already, word for word, is searched there
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingles))])
+                content = mix(sums[LENGTH:] - sums[:-LENGTH]) ^ mix(run_text.view(np.uint64))
+                run_text[pd.Series(content).duplicated().to_numpy()] = -1
                 ids = np.asarray(run.column("doc_id"), np.int64)
                 for k, mask in enumerate(_MASKS):
                     values = mix(shingles ^ mask)
@@ -139,29 +144,41 @@ def unpacked(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return c, first, first + ((w >> 3) & 63)
 
 
+def covered(place: np.ndarray, first: np.ndarray, last: np.ndarray, use: np.ndarray, least: int) -> np.ndarray:
+    """Whether somewhere in ``first .. last`` at least ``least`` of the ranges that ``use`` marks overlap; ``place`` sets ranges apart."""
+    if not use.any():
+        return np.zeros(len(first), bool)
+    base = place * (int(last.max()) + 2)
+    events = np.concatenate([base[use] + first[use], base[use] + last[use] + 1])
+    order = np.argsort(events, kind="stable")
+    cover, at = np.cumsum(np.repeat([1, -1], int(use.sum()))[order]), events[order]
+    ends = np.append(at[1:] != at[:-1], True)
+    at, cover = at[ends], cover[ends]  # the cover from each place up to the next
+    good = np.concatenate([np.zeros(2, np.int64), np.cumsum(cover >= least)])
+    begin = np.searchsorted(at, base + first, "right")  # the stretch that holds the first place, counted from 1
+    return good[np.searchsorted(at, base + last, "right") + 1] - good[begin] > 0
+
+
 def agreeing(held: DataFrame) -> DataFrame:
-    """``key, doc_id, c, one`` of the windows of ``held`` that have a run in common with a window of another hash function.
+    """``key, doc_id, c, one`` of the windows of ``held(key, doc_id, w, partner)`` whose document agrees in ``AGREE`` = 2 hash functions with another one on a run.
 
-    A document's windows are one list.  Windows of one hash function have no run in common, so it is enough that
-    ``AGREE`` windows cover a run.  ``one`` is 1 once for each value of a document.
+    ``partner`` is the other holder of a value that two windows have, and null for a value of more.  A document's windows
+    are one list; those of one hash function have no run in common.  A window needs one of another hash function that
+    stands for a common run, and has the same partner if both have one.  ``one`` is 1 once for each value of a document.
     """
-    lists = held.groupBy("doc_id").agg(F.collect_list("key").alias("key"), F.collect_list("w").alias("w"))
+    lists = held.groupBy("doc_id").agg(F.collect_list(F.struct("key", "w", F.coalesce("partner", F.lit(0)).alias("partner"), F.col("partner").isNull().alias("many"))).alias("x"))
+    lists = lists.select("doc_id", *[F.col(f"x.{c}").alias(c) for c in ("key", "w", "partner", "many")])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.asarray(batch.column("w").value_lengths(), np.int64)
             doc = np.repeat(np.arange(len(n)), n)
-            key = np.asarray(batch.column("key").flatten())
+            key, partner, many = (np.asarray(batch.column(x).flatten().to_numpy(zero_copy_only=False)) for x in ("key", "partner", "many"))
             c, first, last = unpacked(np.asarray(batch.column("w").flatten()))
-            base = doc * (int(c.max(initial=0)) + 2 * LENGTH)  # documents side by side
-            events = np.concatenate([base + first, base + last + 1])
-            order = np.argsort(events, kind="stable")
-            cover = np.cumsum(np.repeat([1, -1], len(c))[order])
-            at = events[order]
-            ends = np.append(at[1:] != at[:-1], True)
-            at, cover = at[ends], cover[ends]  # cover from each place to the next
-            good = np.concatenate([np.zeros(1, np.int64), np.cumsum(cover >= AGREE)])
-            kept = np.flatnonzero(good[np.searchsorted(at, base + last, "right")] - good[np.searchsorted(at, base + first, "right") - 1] > 0)
+            side = np.unique(np.stack([doc, partner], axis=1), axis=0, return_inverse=True)[1].ravel()  # a document and a partner
+            whole = np.ones(len(c), bool)
+            rare = covered(doc, first, last, many, 1) | covered(side, first, last, ~many, AGREE)
+            kept = np.flatnonzero(np.where(many, covered(doc, first, last, whole, AGREE), rare))
             order = kept[np.lexsort((c[kept], key[kept], doc[kept]))]
             one = np.append(True, (key[order[1:]] != key[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])) if len(order) else np.zeros(0, bool)
             ids = np.asarray(batch.column("doc_id"), np.int64)
@@ -201,8 +218,8 @@ def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(cut, "doc_id long, code int, first int, around array<int>")
 
 
-def unmet(own: np.ndarray, met: np.ndarray, rest: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Starts of the runs of ``own`` of which LEAST are ``met``, and new values ``(key, position)`` for the other runs that touch ``lo .. hi``.
+def unmet(own: np.ndarray, met: np.ndarray, rest: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
+    """New values ``(key, position)`` for the runs of ``own`` of which fewer than LEAST are ``met`` and that touch ``lo .. hi``.
 
     A new value is the least hash of a run among the shingles ``rest`` that no leader so far has, so whoever holds
     the same run and met the same leaders has the same value; a run of which no such shingle is left has the hash of
@@ -226,7 +243,47 @@ def unmet(own: np.ndarray, met: np.ndarray, rest: np.ndarray, lo: int, hi: int)
             weights = mix(np.arange(1, LENGTH + 1, dtype=np.uint64)) | np.uint64(1)
             whole = (np.lib.stride_tricks.sliding_window_view(mix(wide), LENGTH)[none] * weights).sum(axis=1, dtype=np.uint64)
             keys |= dict(zip((whole >> np.uint64(1)).tolist(), none.tolist(), strict=True))
-    return np.flatnonzero(good), list(keys.items())
+    return list(keys.items())
+
+
+def among(own: np.ndarray, n_own: np.ndarray, rep: np.ndarray, n_rep: np.ndarray) -> np.ndarray:
+    """Whether each value of a pair's own list is in the pair's other list, for lists of all pairs one after another."""
+    tag = lambda v, n: (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32)) | v.view(np.uint32)
+    mine, theirs = tag(own, n_own), np.sort(tag(rep, n_rep))
+    if not len(theirs):
+        return np.zeros(len(mine), bool)
+    return theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine
+
+
+def check_pairs(batch: pa.RecordBatch) -> list[tuple]:
+    """Rows of ``compared`` for a batch of pairs; only pairs whose values others hold too are looked at one by one."""
+    mine, theirs = batch.column("around"), batch.column("rep_around")
+    own, n = np.ascontiguousarray(mine.flatten()), np.asarray(mine.value_lengths(), np.int64)
+    met = among(own, n, np.ascontiguousarray(theirs.flatten()), np.asarray(theirs.value_lengths(), np.int64))
+    ends = np.cumsum(n)
+    pair = np.repeat(np.arange(len(n)), n)
+    hit = np.concatenate([np.zeros(1, np.int64), np.cumsum(met)])
+    start = np.flatnonzero(pair[: len(pair) - LENGTH + 1] == pair[LENGTH - 1 :]) if len(pair) >= LENGTH else np.zeros(0, np.int64)
+    good = start[hit[start + LENGTH] - hit[start] >= LEAST * LENGTH]
+    whose, first_at = np.unique(pair[good], return_index=True)
+    last_at = np.searchsorted(pair[good], whose, "right") - 1
+    columns = {x: batch.column(x).to_pylist() for x in ("doc_id", "rep_doc_id", "block", "first", "lo", "hi", "rest")}
+    out = []
+    for k, a, b in zip(whose.tolist(), good[first_at].tolist(), good[last_at].tolist(), strict=True):
+        base = columns["first"][k] - int(ends[k] - n[k])
+        out.append((columns["doc_id"][k], columns["rep_doc_id"][k], columns["block"][k], base + a, base + b + LENGTH - 1, None, None, None))
+    for k, lo in enumerate(columns["lo"]):
+        if lo is None or n[k] < LENGTH:
+            continue
+        a, b, first, packed_rest = int(ends[k] - n[k]), int(ends[k]), columns["first"][k], columns["rest"][k]
+        rest = ~met[a:b]
+        if packed_rest is not None:
+            rest = rest & np.unpackbits(np.frombuffer(packed_rest, np.uint8), count=b - a).astype(bool)
+        keys = unmet(own[a:b], met[a:b], rest, lo - first, columns["hi"][k] - first)
+        if keys:
+            left = np.packbits(rest).tobytes()
+            out += [(columns["doc_id"][k], columns["rep_doc_id"][k], columns["block"][k], None, None, v, first + at, left) for v, at in keys]
+    return out
 
 
 def compared(pairs: DataFrame) -> DataFrame:
@@ -237,25 +294,10 @@ def compared(pairs: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            mine, theirs = batch.column("around"), batch.column("rep_around")
-            a_all, b_all = np.asarray(mine.flatten()), np.asarray(theirs.flatten())
-            a_end, b_end = np.cumsum(np.asarray(mine.value_lengths())), np.cumsum(np.asarray(theirs.value_lengths()))
-            columns = [batch.column(x).to_pylist() for x in ("doc_id", "rep_doc_id", "block", "first", "lo", "hi", "rest")]
-            for k, (doc, rep, block, first, lo, hi, packed) in enumerate(zip(*columns, strict=True)):
-                own = a_all[a_end[k - 1] if k else 0 : a_end[k]]
-                if len(own) < LENGTH:
-                    continue
-                met = np.isin(own, b_all[b_end[k - 1] if k else 0 : b_end[k]])
-                rest = ~met if packed is None else ~met & np.unpackbits(np.frombuffer(packed, np.uint8), count=len(own)).astype(bool)
-                good, keys = unmet(own, met, rest, -1 if lo is None else lo - first, -1 - LENGTH if hi is None else hi - first)
-                if len(good):
-                    out.append((doc, rep, block, first + int(good[0]), first + int(good[-1]) + LENGTH - 1, None, None, None))
-                if keys:
-                    left = np.packbits(rest).tobytes()
-                    out += [(doc, rep, block, None, None, v, first + at, left) for v, at in keys]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
+            for at in range(0, batch.num_rows, 4096):
+                out = check_pairs(batch.slice(at, 4096))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return pairs.mapInArrow(check, kinds)
 
@@ -332,24 +374,27 @@ def find(docs: DataFrame) -> DataFrame:
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("u"))
     distinct = marked.join(small_side(copies.select("doc_id", "u"), MOST_BROADCAST), ["doc_id", "u"], "left_anti").drop("u")
     cut = windows(distinct)
-    shared = cut.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least != last").select("key")
-    held = agreeing(cut.join(shared, "key")).withColumns({"block": F.floor(F.col("c") / LENGTH).cast("int"), "rest": F.lit(None).cast("binary")})
+    shared = cut.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("least != last")
+    partner = F.when(F.col("n") == 2, F.when(F.col("doc_id") == F.col("least"), F.col("last")).otherwise(F.col("least")))
+    held = agreeing(cut.join(shared, "key").select("key", "doc_id", "w", partner.alias("partner"))).withColumns({"block": F.floor(F.col("c") / LENGTH).cast("int"), "rest": F.lit(None).cast("binary")})
     held = checkpoint(held)
     del cut, shared
     release(held)
     pairs = checkpoint(led(held, F.sum("one")))
     both = pairs.select("doc_id", (F.col("block") * 2).alias("code")).unionByName(pairs.select(F.col("rep_doc_id").alias("doc_id"), (F.col("rep_block") * 2 + 1).alias("code"))).distinct()
     around = checkpoint(surroundings(distinct, both.groupBy("doc_id").agg(F.collect_list("code").alias("at"))))
+    del both
+    release(around)
     wide, found = 1, []
     while True:
         # holders that their leader does not explain go on among themselves, under values that it does not have
         known = checkpoint(compared(beside(pairs, around, wide)))
+        release(known)
         found.append(known.where("key is null").select("doc_id", "rep_doc_id", "block", "first_shingle", "last_shingle"))
         pairs = checkpoint(led(known.where("key is not null").select("key", "doc_id", "block", "c", "rest"), F.countDistinct("doc_id")))
         if pairs.isEmpty():
             break
         wide = 0
-        release(pairs)
     whole = copies.select("doc_id", "rep_doc_id", F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("last_word"), F.lit(0).cast("long").alias("n_windows"))
     return passages_of(reduce(DataFrame.unionByName, found)).unionByName(whole)
 
