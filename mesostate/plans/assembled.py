@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mesostate import functions, streaming
 from mesostate.operators import comparison, diagnostics, features, kernels, labels, matrices, models, signals, states, statequality
 from mesostate.plans.catalogue import _A, _E, _M, _MATRIX, _P, _TR, ORDER, SCOPE, STEP_SEC, epochs, matrix, path, rounded, table, trials
 from mesostate.plans.extended import _K2, _PO, posterior
@@ -276,6 +277,22 @@ def _report(s, d) -> DataFrame:
     return text.select("dim", F.length("report").alias("n_chars"), F.element_at(F.split("report", "\n"), 1).alias("title"))
 
 
+def _stream(s, d) -> DataFrame:
+    """Hourly shares of states of the events, read as a stream."""
+    out, source = scratch(s, "stream"), f"{d}/events.parquet"
+    events = s.readStream.schema(s.read.parquet(source).schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")
+    counts = streaming.windowed_states(events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("state")), "ts", "1 hour", "1 day")
+    streaming.replayed(counts, out, scratch(s, "stream-state"))
+    return s.read.parquet(out).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "state", "n")
+
+
+def _sql_functions(s, d) -> DataFrame:
+    """Features by the library's SQL functions."""
+    functions.register(s)
+    epochs(s, d).createOrReplaceTempView("meso_epochs")
+    return s.sql("SELECT vec_id, round(meso_mobility(samples), 6) AS mobility FROM meso_epochs")
+
+
 QUERIES = {
     "p1_condition": _p1,
     "p2_names": _p2,
@@ -325,6 +342,8 @@ QUERIES = {
     "abs1_profile": _absorber_profile,
     "abs4_table": _absorber_table,
     "top_balanced": lambda s, d: rounded(comparison.most_balanced(states.occupancy(path(s, d), SCOPE), "session", 5), "spread", "most"),
+    "stream_states": _stream,
+    "u6_functions": _sql_functions,
     "src7_labels": _label_files,
     "snk2_features": _feature_files,
     "snk9_results": _csv_results,
@@ -427,6 +446,8 @@ coalesce(n, 0) AS n_windows, coalesce(n_runs, 0) AS n_runs, CASE WHEN coalesce(s
 zd AS (SELECT a.session, a.state, (any_value(a.me) - avg(o.me)) / (stddev_pop(o.me) + 1e-9) AS z FROM bd a JOIN bd o ON a.state = o.state AND a.session <> o.session GROUP BY ALL), su AS (SELECT session, state, 100 * avg((p > 0.3)::INT) AS above FROM (SELECT session, unnest(range(len(p)))::INT AS state, unnest(p) AS p FROM de) GROUP BY ALL)
 SELECT dab.session, dab.state, round(fo, 4) AS fo, n_transitions, round(z, 4) AS z_distance, round(above, 4) AS above FROM dab JOIN mo USING (session) LEFT JOIN zd USING (session, state) LEFT JOIN su USING (session, state)""",
     "top_balanced": f"{_A}, b AS (SELECT session, stddev_pop(fo) AS s, max(fo) AS m, count(*) FILTER (fo > 0) AS n_states FROM fo GROUP BY session) SELECT session, round(s, 6) AS spread, round(m, 6) AS most, n_states FROM b WHERE m <= 0.95 ORDER BY round(s, 9), session LIMIT 5",
+    "stream_states": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type AS state, count(*) AS n FROM events GROUP BY ALL",
+    "u6_functions": f"WITH {_M}, a AS (SELECT row, x, x - lag(x) OVER (PARTITION BY row ORDER BY dim) AS d FROM m) SELECT row AS vec_id, round(sqrt(var_pop(d) / var_pop(x)), 6) AS mobility FROM a GROUP BY row",
     "src7_labels": f"WITH {_C} SELECT lower(name) AS session, CASE WHEN c_custkey % 4 <> 0 THEN cond ELSE 'UNKNOWN' END AS condition, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment ELSE 'UNKNOWN' END AS grp FROM c",
     "snk2_features": f"WITH {_M} SELECT row, session, dim, round(x, 6) AS x FROM m",
     "snk9_results": f"{_A} SELECT state, round(avg(length * 100.0::DOUBLE), 4) AS mean, round(quantile_cont(length * 100.0::DOUBLE, 0.5), 4) AS median, round(quantile_cont(length * 100.0::DOUBLE, 0.95), 4) AS p95, count(*) AS n_runs, sum(length)::BIGINT AS n_windows FROM r GROUP BY state",
