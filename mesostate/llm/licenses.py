@@ -1,18 +1,23 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies.
 
 DataFrame expressions only, one narrow pass, no shuffle.  Words are runs of
-letters and digits in lower case, shingles have five words.  A template of more
-than ``TINY`` shingles is cut into pieces of at most ``PIECE`` of them, and a
-document into windows of two neighbouring blocks of ``PIECE``, so each piece that
-a document holds lies whole in a window.  A window that holds 0.8 of a full piece
-has a Jaccard similarity of at least 0.36 to it; with ``BANDS`` bands of one
-MinHash each it shares one with a probability above 0.999.  Shorter templates
-are their own signature.  A retrieved template is reported if the document holds
-at least 0.8 of its distinct shingles, compared word by word.
-
-Null and empty texts, and texts of fewer than five words, hold nothing.
-Repeated rows are scanned one by one, further columns are passed through by
-``scan``, and an empty table gives an empty result.
+letters and digits in lower case, shingles have five words.  A template of
+``PIECE`` shingles or more is cut into pieces of just so many, the last of which
+ends with the template, and a document into windows of two neighbouring blocks of
+``PIECE``, so each piece that a document holds lies whole in a window.  A window
+that holds 0.8 of a piece has a Jaccard similarity of at least 0.36 to it; with
+``BANDS`` bands of one MinHash each it shares one with a probability above 0.999.
+Shorter templates are looked up shingle by shingle.  A retrieved template is
+reported if the document holds at least 0.8 of its distinct shingles, compared
+word by word.
+
+Signatures stand in the plan as sets of literals (16 numbers for each 32 words of
+a template), which suits lists of some hundred notices.
+
+Null and empty texts, and texts of fewer than five words, hold nothing.  Very long
+texts are scanned whole.  Repeated rows are scanned one by one, further columns
+are passed through by ``scan`` (one of the name that it adds is replaced), and an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +32,6 @@ from mesostate.llm.common import let, read
 
 SHINGLE = 5
 LEAST = 0.8
-TINY = 8
 PIECE = 32
 BANDS = 16
 
@@ -35,11 +39,20 @@ BANDS = 16
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "gpl-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "isc-notice": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "lgpl-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "mit": "Released under the MIT License.",
     "mit-notice": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
 _UNSIGNED = (1 << 64) - 1
@@ -78,11 +91,12 @@ class Signatures:
             if not grams:
                 continue
             hashes = [_hash(g) for g in grams]
-            if len(grams) <= TINY:
+            if len(grams) < PIECE:
                 keys = set(hashes)
                 self.tiny |= keys
             else:
-                keys = {min(h ^ m for h in hashes[a : a + PIECE]) for a in range(0, len(hashes), PIECE) for m in MASKS}
+                starts = {min(a, len(hashes) - PIECE) for a in range(0, len(hashes), PIECE)}
+                keys = {min(h ^ m for h in hashes[a : a + PIECE]) for a in starts for m in MASKS}
                 self.bands |= keys
             self.names.append(name)
             self.shingles.append(sorted({" ".join(g) for g in grams}))
