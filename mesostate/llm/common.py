@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mesostate.storage import checkpoint, checkpoint_root, scratch
+from mesostate.storage import checkpoint, checkpoint_root, drop, scratch, stored
 
-__all__ = ["checkpoint", "checkpoint_root", "free_name", "let", "looked_up", "new_columns", "read", "scratch", "words_of"]
+__all__ = ["checkpoint", "checkpoint_root", "drop", "free_name", "let", "looked_up", "new_columns", "read", "scratch", "stored", "words_of"]
 
 #: Separator of words, for Java's and RE2's regular expressions.
 WORD_BREAK = r"[\x20\x09-\x0D]+"

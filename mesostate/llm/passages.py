@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mesostate.llm.common import MOST_BROADCAST, checkpoint, read
+from mesostate.llm.common import MOST_BROADCAST, checkpoint, drop, read, stored
 from mesostate.llm.textops import buffers, mix, ragged, range_hashes, runs, shingle_hashes, word_spans
 
 SHINGLE = 5
@@ -56,6 +56,8 @@ LENGTH = 46
 HASHES = 6
 AGREE = 2
 LEAST = 0.8
+#: Codes of places, and documents that have them, four codes each, that a broadcast may have (12 MB).
+MOST_CODES = 3_000_000
 
 _MASKS = mix(np.arange(101, 101 + HASHES, dtype=np.uint64))
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -215,6 +217,8 @@ def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         [pa.array(np.concatenate(ids)), pa.array(np.concatenate(codes).astype(np.int32)), pa.array(np.concatenate(starts).astype(np.int32)), lists], ["doc_id", "code", "first", "around"]
                     )
 
+    few = wanted.agg(F.sum(F.size("at") + 4)).first()[0] or 0
+    wanted = F.broadcast(wanted) if few <= MOST_CODES else wanted
     return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(cut, "doc_id long, code int, first int, around array<int>")
 
 
@@ -316,7 +320,7 @@ def led(held: DataFrame, holders: Column) -> DataFrame:
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` (checkpointed, a few numbers a row), marked for broadcast if it has at most ``rows`` rows; else left to a shuffle."""
+    """``df`` (stored, a few numbers a row), marked for broadcast if it has at most ``rows`` rows; else left to a shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
 
 
@@ -333,10 +337,10 @@ def equal_texts(docs: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "rep_doc_id", "u").agg(n_words).where(F.col("n_words") >= LENGTH + SHINGLE - 1)
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of what is checkpointed and no longer referred to; else they stay until the driver happens to collect garbage."""
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what is stored and no longer referred to; else they stay until the driver happens to collect garbage."""
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def beside(pairs: DataFrame, around: DataFrame, wide: int) -> DataFrame:
@@ -376,25 +380,33 @@ def find(docs: DataFrame) -> DataFrame:
     cut = windows(distinct)
     shared = cut.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("least != last")
     partner = F.when(F.col("n") == 2, F.when(F.col("doc_id") == F.col("least"), F.col("last")).otherwise(F.col("least")))
-    held = agreeing(cut.join(shared, "key").select("key", "doc_id", "w", partner.alias("partner"))).withColumns({"block": F.floor(F.col("c") / LENGTH).cast("int"), "rest": F.lit(None).cast("binary")})
-    held = checkpoint(held)
+    spark = docs.sparkSession
+    held, held_at = stored(agreeing(cut.join(shared, "key").select("key", "doc_id", "w", partner.alias("partner"))), "op4-held")
     del cut, shared
-    release(held)
-    pairs = checkpoint(led(held, F.sum("one")))
+    release(spark)
+    placed = held.withColumns({"block": F.floor(F.col("c") / LENGTH).cast("int"), "rest": F.lit(None).cast("binary")})
+    pairs, pairs_at = stored(led(placed, F.sum("one")), "op4-pairs")
+    drop(spark, held_at)
+    release(spark)
     both = pairs.select("doc_id", (F.col("block") * 2).alias("code")).unionByName(pairs.select(F.col("rep_doc_id").alias("doc_id"), (F.col("rep_block") * 2 + 1).alias("code"))).distinct()
-    around = checkpoint(surroundings(distinct, both.groupBy("doc_id").agg(F.collect_list("code").alias("at"))))
-    del both
-    release(around)
+    wanted, wanted_at = stored(both.groupBy("doc_id").agg(F.collect_list("code").alias("at")), "op4-wanted")
+    around, around_at = stored(surroundings(distinct, wanted), "op4-around")
+    drop(spark, wanted_at)
+    release(spark)
     wide, found = 1, []
     while True:
         # holders that their leader does not explain go on among themselves, under values that it does not have
-        known = checkpoint(compared(beside(pairs, around, wide)))
-        release(known)
-        found.append(known.where("key is null").select("doc_id", "rep_doc_id", "block", "first_shingle", "last_shingle"))
-        pairs = checkpoint(led(known.where("key is not null").select("key", "doc_id", "block", "c", "rest"), F.countDistinct("doc_id")))
+        known, known_at = stored(compared(beside(pairs, around, wide)), "op4-known")
+        drop(spark, pairs_at)
+        release(spark)
+        found.append(checkpoint(known.where("key is null").select("doc_id", "rep_doc_id", "block", "first_shingle", "last_shingle")))
+        pairs, pairs_at = stored(led(known.where("key is not null").select("key", "doc_id", "block", "c", "rest"), F.countDistinct("doc_id")), "op4-pairs")
+        drop(spark, known_at)
         if pairs.isEmpty():
             break
         wide = 0
+    drop(spark, around_at, pairs_at)
+    release(spark)
     whole = copies.select("doc_id", "rep_doc_id", F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("last_word"), F.lit(0).cast("long").alias("n_windows"))
     return passages_of(reduce(DataFrame.unionByName, found)).unionByName(whole)
 
