@@ -2,8 +2,10 @@
 
 Each stage takes the documents that the one before it kept, and is written as
 Parquet and read again.  Null texts and texts of fewer than ten words go in the
-first stage; repeated rows count as near-duplicates in the second; an empty
-table passes through all stages.
+first stage; repeated rows count as near-duplicates in the second; very long
+texts go through whole; further columns pass through, and the last stage takes
+the place of those that it adds (``ids``, ``n_tokens``, ``intact``); an empty table
+passes through all stages.
 """
 
 from __future__ import annotations

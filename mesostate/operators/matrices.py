@@ -15,12 +15,17 @@ def scaler(long: DataFrame) -> DataFrame:
     return long.groupBy("dim").agg(F.avg("x").alias("mean"), F.when(sd == 0, 1.0).otherwise(sd).alias("scale"))
 
 
-def distribution(long: DataFrame) -> DataFrame:
-    """Moments, adjusted skewness and kurtosis, quantiles of each dimension (DG3, DG4)."""
+def distribution(long: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Moments, adjusted skewness and kurtosis, quantiles of each dimension (DG3, DG4).
+
+    Exact quantiles keep all distinct values of a dimension in one task.  With an ``accuracy`` they are approximate,
+    with an error of at most one in ``accuracy`` ranks, in bounded memory.
+    """
     n, g1, g2 = F.count("x"), F.skewness("x"), F.kurtosis("x")
+    at = (lambda q: F.percentile("x", q)) if accuracy is None else (lambda q: F.percentile_approx("x", q, accuracy))
     return long.where("x = x AND abs(x) < double('infinity')").groupBy("dim").agg(
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.percentile("x", 0.5).alias("median"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-        F.percentile("x", 0.01).alias("p01"), F.percentile("x", 0.99).alias("p99"),
+        F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), at(0.5).alias("median"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+        at(0.01).alias("p01"), at(0.99).alias("p99"),
         (g1 * F.sqrt(n * (n - 1.0)) / (n - 2)).alias("skew"), ((n - 1.0) / ((n - 2.0) * (n - 3.0)) * ((n + 1.0) * g2 + 6)).alias("kurt"),
     )
 
