@@ -91,10 +91,10 @@ SQL = {
     "pre2_low_pass": f"""WITH {_M}, tp AS (SELECT u, CASE WHEN u = 55 THEN 1 ELSE sin(pi() * 0.27 * (u - 55)) / (pi() * 0.27 * (u - 55)) END * (0.54 - 0.46 * cos(2 * pi() * u / 110)) AS w FROM (SELECT unnest(range(111)) AS u)),
 nt AS (SELECT u, w / sum(w) OVER () AS w FROM tp), ed AS (SELECT row, max(x) FILTER (dim = 0) AS a, max(x) FILTER (dim = 63) AS b FROM m GROUP BY row),
 ex AS (SELECT row, dim AS t, x FROM m UNION ALL SELECT row, -dim, 2 * a - x FROM m JOIN ed USING (row) WHERE dim BETWEEN 1 AND 55 UNION ALL SELECT row, 126 - dim, 2 * b - x FROM m JOIN ed USING (row) WHERE dim BETWEEN 8 AND 62)
-SELECT row AS vec_id, (t + 55 - u)::INT AS t, round(sum(x * w), 6) AS x FROM ex CROSS JOIN nt WHERE t + 55 - u BETWEEN 0 AND 63 GROUP BY row, t + 55 - u""",
+SELECT row AS vec_id, (t + 55 - u)::INT AS t, round(sum(x * w), 6) + 0.0 AS x FROM ex CROSS JOIN nt WHERE t + 55 - u BETWEEN 0 AND 63 GROUP BY row, t + 55 - u""",
     # the first 16 harmonics, the last of them doubled, at 32 instants
     "pre3_resample": f"""WITH {_M}, kj AS (SELECT j, t, (1 + 2 * sum(CASE WHEN k < 16 THEN cos(2 * pi() * k * (j / 32.0::DOUBLE - t / 64.0::DOUBLE)) ELSE cos(pi() * t / 2) * cos(pi() * j) END)) / 64 AS w FROM (SELECT unnest(range(32)) AS j) CROSS JOIN (SELECT unnest(range(64)) AS t) CROSS JOIN (SELECT unnest(range(1, 17)) AS k) GROUP BY j, t)
-SELECT row AS vec_id, j::INT AS t, round(sum(x * w), 6) AS x FROM m JOIN kj ON dim = kj.t GROUP BY row, j""",
+SELECT row AS vec_id, j::INT AS t, round(sum(x * w), 6) + 0.0 AS x FROM m JOIN kj ON dim = kj.t GROUP BY row, j""",
     "qc3_welch": f"""WITH {_M}, cd AS (SELECT row, dim AS t, (x - avg(x) OVER (PARTITION BY row)) * (0.5 - 0.5 * cos(2 * pi() * dim / 64)) AS w FROM m),
 cs AS (SELECT row, k, sum(w * cos(2 * pi() * k * t / 64)) AS c, sum(w * sin(2 * pi() * k * t / 64)) AS s FROM cd CROSS JOIN (SELECT unnest(range(1, 12)) AS k) GROUP BY row, k) SELECT row AS vec_id, k * {RATE} / 64::DOUBLE AS f, round(2 * (c * c + s * s) / ({RATE} * 24), 9) AS p FROM cs""",
 }

@@ -109,7 +109,7 @@ SQL = {
         g AS (SELECT dim, exp(-k2 / 2) AS p, greatest(0, least(1, 1 - least(abs(sk) / 5, 0.35) - least(abs(ku) / 10, 0.3) - least(5 * f, 0.2) - CASE WHEN exp(-k2/2) < 1e-6 THEN 0.15 WHEN exp(-k2/2) < 1e-3 THEN 0.1 WHEN exp(-k2/2) < 0.05 THEN 0.05 ELSE 0 END))::DOUBLE AS score FROM o JOIN k2 USING (dim))
         SELECT dim, round(score, 5) AS score, CASE WHEN score >= 0.8 THEN 'excellent' WHEN score >= 0.65 THEN 'good' WHEN score >= 0.45 THEN 'acceptable' WHEN score >= 0.25 THEN 'poor' ELSE 'very_poor' END AS label FROM g""",
     "dg10_smoothness": f"WITH {_M}, q AS (SELECT *, lag(x) OVER (PARTITION BY session, dim ORDER BY row) AS prev FROM m) SELECT session, dim, round(CASE WHEN stddev_pop(x) < 1e-12 THEN 0 ELSE corr(x, prev) END, 5) AS lag1, round(avg(abs(x - prev)), 5) AS step, round(avg(abs(x - prev)) / (stddev_pop(x) + 1e-12), 5) AS ratio, round(stddev_pop(x), 5) AS sd FROM q GROUP BY ALL",
-    "dg11_stationarity": f"WITH {_M}, q AS (SELECT *, row_number() OVER (PARTITION BY session, dim ORDER BY row) - 1 AS t, count(*) OVER (PARTITION BY session, dim) AS n FROM m) SELECT session, dim, round(regr_slope(x, t), 6) AS slope, round(abs(avg(x) FILTER (t >= n - greatest(5, n // 10)) - avg(x) FILTER (t < greatest(5, n // 10))), 6) AS shift FROM q GROUP BY ALL",
+    "dg11_stationarity": f"WITH {_M}, q AS (SELECT *, row_number() OVER (PARTITION BY session, dim ORDER BY row) - 1 AS t, count(*) OVER (PARTITION BY session, dim) AS n FROM m) SELECT session, dim, round(regr_slope(x, t), 6) + 0.0 AS slope, round(abs(avg(x) FILTER (t >= n - greatest(5, n // 10)) - avg(x) FILTER (t < greatest(5, n // 10))), 6) AS shift FROM q GROUP BY ALL",
     "dg21_between_sessions": f"WITH {_M}, q AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY row, dim) AS t, count(*) OVER (PARTITION BY session) AS n FROM m), l AS (SELECT min(n) AS n FROM q), b AS (SELECT session, var_pop(x) AS v, avg(x) AS m FROM q WHERE t <= (SELECT n FROM l) GROUP BY session), a AS (SELECT avg(v) AS w, var_pop(m) AS b FROM b) SELECT round(w, 5) AS within, round(b, 5) AS between, round(b / (w + 1e-12), 5) AS ratio, round(b / (w + 1e-12) / (1 + b / (w + 1e-12)), 5) AS fingerprint, CASE WHEN b / (w + 1e-12) / (1 + b / (w + 1e-12)) < 0.15 THEN 'low' WHEN b / (w + 1e-12) / (1 + b / (w + 1e-12)) < 0.35 THEN 'moderate' WHEN b / (w + 1e-12) / (1 + b / (w + 1e-12)) < 0.6 THEN 'high' ELSE 'extreme' END || '_subject_signature' AS label FROM a".replace("AS between", 'AS "between"').replace("AS within", 'AS "within"'),
     "pre4_reject": "SELECT vec_id, label AS session FROM embeddings WHERE list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE <= 0.6",
     "qc1_channels": f"WITH {_M}, r AS (SELECT dim, sqrt(avg(x * x)) AS rms, var_pop(x) AS v FROM m GROUP BY dim) SELECT dim, round(rms, 6) AS rms, round(v, 6) AS variance, abs((rms - avg(rms) OVER ()) / stddev_pop(rms) OVER ()) > 2 AS bad FROM r",
