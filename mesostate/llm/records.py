@@ -92,7 +92,20 @@ class Encoder:
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.cut = ByteLevel(add_prefix_space=False)
-        self.words = WordEncoder(lambda words: [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)])
+        self.letters = self.byte_letters()
+        self.words = WordEncoder(self.encode)
+
+    def byte_letters(self) -> dict[int, str]:
+        """The letter that stands for each byte in the vocabulary, as the library spells characters that hold it."""
+        out: dict[int, str] = {}
+        for c in (*range(0x800), 0xFFF, *range(0x1000, 0xD000, 0x1000), 0xD000, 0xE000, 0xF000, 0xFFFF, *range(0x10000, 0x110000, 0x10000)):
+            spelled = "".join(piece for piece, _ in self.cut.pre_tokenize_str(chr(c)))
+            out |= dict(zip(chr(c).encode(), spelled, strict=True))
+        return out
+
+    def encode(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of pre-tokens by the library's model, each on its own."""
+        return [[t.id for t in self.library.model.tokenize(w.decode("latin-1").translate(self.letters))] for w in words]
 
     def probe(self, char: str) -> int:
         for one, kind in (("a", LETTER), ("0", DIGIT)):
