@@ -43,18 +43,17 @@ def standardised(long: DataFrame, fitted: DataFrame | None = None) -> DataFrame:
 
 
 def correlations(rows: DataFrame, x: str = "x") -> DataFrame:
-    """``i, j, r`` with i < j: Pearson correlation of each pair of places of the arrays in ``x``, from one Gramian (DG15, DG16).
+    """``i, j, r`` with i < j: Pearson correlation of each pair of places of the arrays in ``x``, from centred co-moments (DG15, DG16).
 
     One pass over the rows; a number for each pair of dimensions reaches the driver.  A constant dimension has r null.
     """
-    from mesostate.operators.models import gramian
+    from mesostate.operators.models import co_moments
 
-    n, total, cross = gramian(rows, x)
-    mean = total / max(n, 1)
-    cov = cross / max(n, 1) - np.outer(mean, mean)
-    spread = np.sqrt(np.clip(np.diag(cov), 0, None))
+    _, mean, moments = co_moments(rows, x)
+    spread = np.sqrt(np.diag(moments))
+    spread[spread <= np.abs(mean) * 1e-13] = 0  # what rounding leaves of a constant
     with np.errstate(all="ignore"):
-        r = cov / np.outer(spread, spread)
+        r = np.clip(moments / np.outer(spread, spread), -1, 1)
     found = [(int(i), int(j), float(r[i, j]) if np.isfinite(r[i, j]) else None) for i, j in zip(*np.triu_indices(len(r), 1), strict=True)]
     return rows.sparkSession.createDataFrame(found, "i int, j int, r double")
 

@@ -17,25 +17,51 @@ from pyspark.sql import functions as F
 from mesostate.storage import checkpoint
 
 TINY = 1e-300
+#: Groups of partitions whose moments are merged on executors; as many matrices reach the driver.
+MERGED = 8
 
 
-def gramian(rows: DataFrame, x: str = "x") -> tuple[int, np.ndarray, np.ndarray]:
-    """Number, sum and ``X^T X`` of the arrays in ``x``: one partial matrix a partition, added up by rows of it."""
+def merged(a: tuple | None, b: tuple) -> tuple:
+    """Number, mean and co-moments about it of two disjoint sets of rows together."""
+    if a is None:
+        return b
+    n, gap = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
+
+
+def co_moments(rows: DataFrame, x: str = "x") -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, mean and ``sum (x - mean)(x - mean)^T`` of the arrays in ``x``.
+
+    Each batch is centred at its own mean before it is multiplied, and sets are merged by the gap of their means, so an
+    offset of all rows costs no precision.  Partitions are merged in ``MERGED`` groups on executors, then on the driver.
+    """
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for batch in batches:
             if len(batch):
-                m = np.column_stack([np.ones(len(batch)), np.stack(batch[x].to_numpy())])
-                total = m.T @ m if total is None else total + m.T @ m
+                m = np.stack(batch[x].to_numpy()).astype(float)
+                mean = m.mean(axis=0)
+                mean += (m - mean).mean(axis=0)
+                total = merged(total, (len(m), mean, (m - mean).T @ (m - mean)))
+        if total is not None:
+            yield pd.DataFrame({"n": [total[0]], "mean": [total[1]], "c": [total[2].ravel()]})
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            for n, mean, c in zip(batch["n"], batch["mean"], batch["c"], strict=True):
+                total = merged(total, (n, np.array(mean), np.reshape(c, (len(mean), len(mean)))))
         if total is not None:
-            yield pd.DataFrame({"i": np.repeat(np.arange(len(total)), len(total)), "j": np.tile(np.arange(len(total)), len(total)), "v": total.ravel()})
+            yield pd.DataFrame({"n": [total[0]], "mean": [total[1]], "c": [total[2].ravel()]})
 
-    cells = rows.select(x).mapInPandas(part, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-    size = int(cells["i"].max()) + 1 if len(cells) else 1
-    full = np.zeros((size, size))
-    full[cells["i"], cells["j"]] = cells["v"]
-    return int(round(full[0, 0])), full[0, 1:], full[1:, 1:]
+    kind = "n long, mean array<double>, c array<double>"
+    parts = rows.select(x).mapInPandas(part, kind).repartition(MERGED).mapInPandas(merge, kind).toPandas()
+    found = next(merge(iter([parts])), None)
+    if found is None:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    size = len(found["mean"][0])
+    return int(found["n"][0]), np.array(found["mean"][0]), np.reshape(found["c"][0], (size, size))
 
 
 @dataclass
@@ -62,11 +88,10 @@ class Components:
 
 def principal_components(rows: DataFrame, share: float = 0.9, x: str = "x") -> Components:
     """Fewest components that explain over ``share`` of the variance; the largest loading of each is positive."""
-    n, total, cross = gramian(rows, x)
+    n, mean, moments = co_moments(rows, x)
     if n < 2:
         raise ValueError("principal components need at least two rows")
-    mean = total / n
-    values, vectors = np.linalg.eigh((cross - n * np.outer(mean, mean)) / (n - 1))
+    values, vectors = np.linalg.eigh(moments / (n - 1))
     values, vectors = np.clip(values[::-1], 0, None), vectors[:, ::-1].T
     vectors = vectors * np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(axis=1)])[:, None]
     ratio = values / max(values.sum(), TINY)
@@ -181,18 +206,18 @@ def fit_hmm(rows: DataFrame, sequence: list[str], order: str, k: int, n_iter: in
     """
     if covariance not in ("diag", "full", "tied"):
         raise ValueError(f"unknown covariance {covariance}")
-    n, total, cross = gramian(rows, x)
+    n, centre, moments = co_moments(rows, x)
     if not n:
         raise ValueError("nothing to fit")
-    mean = total / n
-    cov = cross / n - np.outer(mean, mean)
+    mean, cov = np.zeros_like(centre), moments / n  # the fit works on rows less their mean
     values, vectors = np.linalg.eigh(cov)
     axis = vectors[:, -1] * np.sign(vectors[np.abs(vectors[:, -1]).argmax(), -1])
     spread = np.sqrt(max(values[-1], 0)) * (2 * (np.arange(k) + 0.5) / k - 1) * 1.5
     first_var = {"diag": lambda: np.tile(np.maximum(np.diag(cov), floor), (k, 1)), "full": lambda: np.tile(_floored(cov, floor), (k, 1, 1)), "tied": lambda: _floored(cov, floor)}[covariance]()
     model = Hmm(np.full(k, 1 / k), np.full((k, k), 1 / k), mean + spread[:, None] * axis, first_var, covariance=covariance)
     history: list[float] = []
-    grouped = rows.groupBy(*sequence).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).alias("x")))).alias("w"))
+    less = F.array(*[F.col(x)[d] - float(c) for d, c in enumerate(centre)])
+    grouped = rows.withColumn(x, less).groupBy(*sequence).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).alias("x")))).alias("w"))
     sequences = checkpoint(grouped.select(F.col("w.x").alias("obs")))
     for _ in range(n_iter):
         stats = sequences.mapInPandas(_expectation(model), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
@@ -209,11 +234,12 @@ def fit_hmm(rows: DataFrame, sequence: list[str], order: str, k: int, n_iter: in
         elif covariance == "full":
             var = np.stack([_floored(m / w - np.outer(c, c), floor) for m, w, c in zip(second.reshape(k, d, d), weight[:, 0], mu, strict=True)])
         else:
-            var = _floored((cross - (mu.T * weight[:, 0]) @ mu) / n, floor)
+            var = _floored((moments - (mu.T * weight[:, 0]) @ mu) / n, floor)
         model = Hmm(start / start.sum(), step, mu, var, tuple(history), covariance=covariance)
         if len(history) > 1 and history[-1] - history[-2] < tol:
             model.converged = True
             break
+    model.mean = model.mean + centre
     return model
 
 
