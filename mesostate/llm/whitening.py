@@ -12,8 +12,8 @@ become doubles, and the eigenvectors are refined in extended precision.
 Rows whose vector is null, empty, or has a null, non-finite or too large entry
 (one without a whole number in a long) are left out.  Vectors of different
 lengths raise an error.  Null ids and repeated rows keep rows of their own; of
-equal eigenvalues any basis is given.  Components without variance are left out,
-so a table of one distinct vector, like an empty one, gives no rows.  Further
+equal eigenvalues any basis is given.  Components without variance, or with less
+of it than extended precision tells from none (about 1e-17 of the greatest), are left out, so a table of one distinct vector, like an empty one, gives no rows.  Further
 columns, whatever their names, are not read.
 """
 
@@ -62,7 +62,7 @@ def planes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             words.append(np.frombuffer(np.pad(packed, (0, -len(packed) % 8)).tobytes(), np.uint64))
             dims.append(d)
             weights.append(bit)
-    return np.array(words, np.uint64).reshape(len(dims), -1), np.array(dims, np.int64), np.array(weights, np.int64)
+    return np.array(words, np.uint64).reshape(len(dims), -(-len(x) // 64)), np.array(dims, np.int64), np.array(weights, np.int64)
 
 
 def cross_products(x: np.ndarray) -> list[list[int]]:
