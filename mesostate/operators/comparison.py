@@ -6,8 +6,6 @@ what is joined with itself is bounded by states and dimensions.
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,26 +57,55 @@ def most_alike(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("i").agg(best.alias("b"), F.avg("cosine").alias("mean_cosine")).select("i", F.col("b.j").alias("j"), (-F.col("b.c")).alias("cosine"), "mean_cosine")
 
 
-def assignment(pairs: DataFrame, most: int = 8) -> DataFrame:
+def best_matching(cost: np.ndarray) -> tuple[np.ndarray, float]:
+    """The column of each row in the one-to-one matching of least total cost, and a bound that no matching can be under.
+
+    Rows, no more than columns, enter one by one along a shortest augmenting path under reduced costs.  The bound is the
+    sum of the potentials, which equals the total of an optimal matching.
+    """
+    n, m = cost.shape
+    rows, columns = np.zeros(n), np.zeros(m)  # potentials
+    owner = np.full(m, -1)
+    for row in range(n):
+        far, came, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        at, last, reach = row, -1, 0.0
+        while True:
+            through = reach + cost[at] - rows[at] - columns
+            nearer = ~done & (through < far)
+            far[nearer], came[nearer] = through[nearer], last
+            last = int(np.where(done, np.inf, far).argmin())
+            reach, done[last] = far[last], True
+            if owner[last] < 0:
+                break
+            at = owner[last]
+        inner = done & (np.arange(m) != last)
+        rows[owner[inner]] += reach - far[inner]
+        columns[inner] -= reach - far[inner]
+        rows[row] += reach
+        while last >= 0:
+            before = came[last]
+            owner[last] = row if before < 0 else owner[before]
+            last = before
+    found = np.zeros(n, int)
+    found[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
+    return found, float(rows.sum() + columns[owner >= 0].sum())
+
+
+def assignment(pairs: DataFrame) -> DataFrame:
     """``i, j, cosine, matched``: the one-to-one matching of greatest total cosine, and the nearest for states left over (J9, CMP4).
 
-    ``pairs`` is ``likeness`` of two models; its cells, at most ``most`` squared, reach the driver, where all matchings
-    are tried.
+    ``pairs`` is ``likeness`` of two models; its cells, states times states, reach the driver.
     """
     cells = pairs.orderBy("i", "j").toPandas()
-    left, right = sorted(cells["i"].unique()), sorted(cells["j"].unique())
-    if max(len(left), len(right)) > most:
-        raise ValueError(f"matchings of over {most} states are not tried")
-    value = np.zeros((len(left), len(right)))
-    for row in cells.itertuples():
-        value[left.index(row.i), right.index(row.j)] = row.cosine
-    few, turned = (value, False) if len(left) <= len(right) else (value.T, True)
-    best = max(permutations(range(few.shape[1]), few.shape[0]), key=lambda p: round(float(few[range(len(p)), p].sum()), 12)) if few.size else ()
-    found = {(b, a) if turned else (a, b) for a, b in enumerate(best)}
+    value = cells.pivot(index="i", columns="j", values="cosine").fillna(-1e9)
+    left, right, v = value.index.tolist(), value.columns.tolist(), value.to_numpy()
+    few, turned = (v, False) if len(left) <= len(right) else (v.T, True)
+    best = best_matching(-few)[0] if few.size else ()
+    found = {(int(b), a) if turned else (a, int(b)) for a, b in enumerate(best)}
     rest = set(range(len(left))) - {a for a, _ in found}
-    rows = [(left[a], right[b], float(value[a, b]), True) for a, b in sorted(found)] + [(left[a], right[int(value[a].argmax())], float(value[a].max()), False) for a in sorted(rest)]
+    rows = [(left[a], right[b], float(v[a, b]), True) for a, b in sorted(found)] + [(left[a], right[int(v[a].argmax())], float(v[a].max()), False) for a in sorted(rest)]
     kinds = dict(pairs.dtypes)
-    return pairs.sparkSession.createDataFrame([(r[0].item() if hasattr(r[0], "item") else r[0], r[1].item() if hasattr(r[1], "item") else r[1], *r[2:]) for r in rows], f"i {kinds['i']}, j {kinds['j']}, cosine double, matched boolean")
+    return pairs.sparkSession.createDataFrame(rows, f"i {kinds['i']}, j {kinds['j']}, cosine double, matched boolean")
 
 
 def mixture_posterior(long: DataFrame, means: DataFrame, keys: list[str], spread: float = 1.0) -> DataFrame:
@@ -148,12 +175,17 @@ def effective_rank(rows: DataFrame, x: str = "x") -> DataFrame:
     return rows.sparkSession.createDataFrame([row], "rank double, dominance double, mean_r double, max_r double, redundancy string")
 
 
-def suitability(scores: DataFrame, prior: str | None = None) -> DataFrame:
-    """Score, label and warnings from ``gauss, lag1, noise, fingerprint`` (DG25, DG26)."""
+def suitability(scores: DataFrame, prior: str | Column | None = None) -> DataFrame:
+    """Score, label and warnings from ``gauss, lag1, noise, fingerprint`` (DG25, DG26).
+
+    ``prior`` is what the metadata say of all features, or a column of it; unknown ones count as between.
+    """
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     temporal = clip((F.col("lag1") + 1) / 2) * F.exp(-F.col("noise"))
     steady = clip(1 - F.col("fingerprint"))
-    out = scores.withColumn("temporal", temporal).withColumn("suitability", clip(0.40 * F.col("gauss") + 0.35 * F.col("temporal") + 0.15 * steady + 0.10 * PRIOR.get(prior or "", 0.5)))
+    said = prior if isinstance(prior, Column) else F.lit(prior)
+    weight = F.coalesce(*[F.when(said == name, value) for name, value in PRIOR.items()], F.lit(0.5))
+    out = scores.withColumn("temporal", temporal).withColumn("suitability", clip(0.40 * F.col("gauss") + 0.35 * F.col("temporal") + 0.15 * steady + 0.10 * weight))
     warned = [F.when(F.col("gauss") < 0.40, "gauss"), F.when(F.col("temporal") < 0.35, "noise"), F.when(steady < 0.35, "identity")]
     return out.withColumn("label", label(F.col("suitability"), SUITABLE, "very_poor")).withColumn("warnings", F.concat_ws(",", *warned))
 

@@ -44,10 +44,14 @@ def gaussianity(shape: DataFrame) -> DataFrame:
 CONSISTENT = 0.65
 
 
-def judged(shape: DataFrame, friendly: bool | None = None) -> DataFrame:
-    """``shape`` (``score, skew, kurt, outliers, sd``) with whether it agrees with the metadata, near-constancy and warnings (DG7, DG9)."""
-    agrees = F.lit(None).cast("boolean") if friendly is None else (F.col("score") >= CONSISTENT) == F.lit(friendly)
-    warned = [F.when(F.abs("skew") > 2, "skew"), F.when(F.abs("kurt") > 5, "kurtosis"), F.when(F.col("outliers") > 0.05, "outliers"), F.when(F.col("score") < 0.40, "score")]
+def judged(shape: DataFrame, friendly: bool | Column | None = None) -> DataFrame:
+    """``shape`` (``score, skew, kurt, outliers, sd``) with whether it agrees with the metadata, near-constancy and warnings (DG7, DG9).
+
+    ``friendly`` is what the metadata say of all dimensions, or a column of it; null where they say nothing.
+    """
+    said = friendly if isinstance(friendly, Column) else F.lit(friendly).cast("boolean")
+    agrees = (F.col("score") >= CONSISTENT) == said
+    warned = [F.when(F.col("sd") < 1e-8, "constant"), F.when(F.abs("skew") > 2, "skew"), F.when(F.abs("kurt") > 5, "kurtosis"), F.when(F.col("outliers") > 0.05, "outliers"), F.when(F.col("score") < 0.40, "score")]
     return shape.withColumns({"consistent": agrees, "near_constant": F.col("sd") < 1e-8, "warnings": F.concat_ws(",", *warned)})
 
 

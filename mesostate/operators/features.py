@@ -8,7 +8,7 @@ by channel name.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +33,21 @@ FLAGS = {
 }
 
 
+#: What is known of each feature.
+META_COLUMNS = ("category", "gaussian_friendly", "scaling", "smoothness", "stationarity", "window_sensitivity", "subject_variability", "suitability", "per_channel", "redundant_with")
+META = {
+    "hjorth_mobility": ("temporal", True, "zscore", "medium", "quasi_stationary", "medium", "medium", "high", True, ["hjorth_complexity"]),
+    "hjorth_complexity": ("temporal", True, "zscore", "medium", "quasi_stationary", "medium", "medium", "medium", True, ["hjorth_mobility"]),
+    "temporal_entropy": ("temporal", False, "robust_zscore", "low", "quasi_stationary", "high", "medium", "medium", True, ["hjorth_complexity"]),
+    "alpha_envelope": ("spectral", False, "log_zscore", "high", "quasi_stationary", "medium", "high", "medium", True, ["rms", "gfp"]),
+    "theta_envelope": ("spectral", True, "zscore", "high", "quasi_stationary", "high", "medium", "high", True, []),
+    "beta_envelope": ("spectral", True, "log_zscore", "medium", "quasi_stationary", "high", "high", "medium", True, []),
+    "relative_power": ("spectral", False, "zscore", "high", "quasi_stationary", "medium", "low", "high", True, ["alpha_envelope", "theta_envelope", "beta_envelope"]),
+    "band_ratios": ("ratio", True, "zscore", "medium", "quasi_stationary", "medium", "medium", "high", True, ["relative_power", "alpha_envelope", "theta_envelope", "beta_envelope"]),
+    "hemispheric_asymmetry": ("connectivity", True, "zscore", "medium", "quasi_stationary", "medium", "high", "medium", False, ["alpha_envelope", "theta_envelope", "beta_envelope"]),
+}
+
+
 @dataclass(frozen=True)
 class Feature:
     """``compute`` gives a channel's numbers from its ``samples`` and, if ``needs_bands``, its ``env`` of band envelopes.
@@ -55,8 +70,8 @@ class Registry:
         self._known: dict[str, Feature] = {}
 
     def register(self, feature: Feature) -> Feature:
-        if not feature.name:
-            raise ValueError("a feature needs a name")
+        if not feature.name or " " in feature.name:
+            raise ValueError(f"not a feature's name: {feature.name!r}")
         if feature.name in self._known:
             raise ValueError(f"feature {feature.name} is known already")
         self._known[feature.name] = feature
@@ -95,28 +110,29 @@ class Registry:
         return [self.get(n) for n in names]
 
     def metadata(self, spark: SparkSession) -> DataFrame:
-        """``name, width, needs_bands, category, suitability`` of all features, by name."""
-        rows = [(f.name, f.width, f.needs_bands, f.meta.get("category"), f.meta.get("suitability")) for f in sorted(self._known.values(), key=lambda f: f.name)]
-        return spark.createDataFrame(rows, "name string, width int, needs_bands boolean, category string, suitability string")
+        """``name, width, needs_bands`` and the ``META_COLUMNS`` of all features, by name."""
+        rows = [(f.name, f.width, f.needs_bands, *[f.meta.get(c) for c in META_COLUMNS]) for f in sorted(self._known.values(), key=lambda f: f.name)]
+        kinds = {"gaussian_friendly": "boolean", "per_channel": "boolean", "redundant_with": "array<string>"}
+        return spark.createDataFrame(rows, "name string, width int, needs_bands boolean, " + ", ".join(f"{c} {kinds.get(c, 'string')}" for c in META_COLUMNS))
 
 
 REGISTRY = Registry()
 
 
 def _band(name: str) -> Feature:
-    return Feature(f"{name}_envelope", 1, lambda x, env: [env[name]], True, name, {"category": "spectral", "suitability": "high"})
+    return Feature(f"{name}_envelope", 1, lambda x, env: [env[name]], True, name)
 
 
 for _feature in (
-    Feature("hjorth_mobility", 1, lambda x, env: [signals.hjorth(x)["mobility"]], meta={"category": "temporal", "suitability": "high"}),
-    Feature("hjorth_complexity", 1, lambda x, env: [signals.hjorth(x)["complexity"]], meta={"category": "temporal", "suitability": "high"}),
-    Feature("temporal_entropy", 1, lambda x, env: [signals.histogram_entropy(x)], meta={"category": "temporal", "suitability": "medium"}),
+    Feature("hjorth_mobility", 1, lambda x, env: [signals.hjorth(x)["mobility"]]),
+    Feature("hjorth_complexity", 1, lambda x, env: [signals.hjorth(x)["complexity"]]),
+    Feature("temporal_entropy", 1, lambda x, env: [signals.histogram_entropy(x)]),
     *[_band(b) for b in BANDS],
-    Feature("relative_power", 3, lambda x, env: relative_power(env), True, meta={"category": "spectral", "suitability": "medium"}),
-    Feature("band_ratios", 3, lambda x, env: diagnostics.band_ratios(env["alpha"], env["theta"], env["beta"]), True, meta={"category": "spectral", "suitability": "medium"}),
-    Feature("hemispheric_asymmetry", len(PAIRS) * len(BANDS), None, True, meta={"category": "spatial", "suitability": "medium"}),
+    Feature("relative_power", 3, lambda x, env: relative_power(env), True),
+    Feature("band_ratios", 3, lambda x, env: diagnostics.band_ratios(env["alpha"], env["theta"], env["beta"]), True),
+    Feature("hemispheric_asymmetry", len(PAIRS) * len(BANDS), None, True),
 ):
-    REGISTRY.register(_feature)
+    REGISTRY.register(replace(_feature, meta=dict(zip(META_COLUMNS, META[_feature.name], strict=True))))
 
 
 def relative_power(env: Column, bands: tuple[str, ...] = tuple(BANDS)) -> list[Column]:

@@ -102,7 +102,7 @@ def set_members(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-def experiment_id(paradigm: Column, model: Column, k: Column, pca: Column, lags: Column, reference: Column) -> Column:
+def experiment_id(paradigm: Column, model: Column, k: Column, pca: Column, lags: Column, reference: Column, downsample: Column | None = None) -> Column:
     """Name of an experiment from what it was run with; parts that are null are left out."""
     part = lambda letter, value: F.when(value.isNotNull(), F.concat(F.lit(letter), value.cast("string")))
-    return F.concat_ws("_", paradigm, model, part("K", k), part("PCA", pca), part("L", lags), F.upper(reference))
+    return F.concat_ws("_", paradigm, model, part("K", k), part("PCA", pca), part("L", lags), F.upper(reference), part("DS", F.lit(None) if downsample is None else downsample))

@@ -7,7 +7,7 @@ Gramian of ``D x D`` numbers, or expected counts of ``K x K`` and ``K x D``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -116,8 +116,7 @@ class Hmm:
 
     def log_density(self, obs: np.ndarray) -> np.ndarray:
         if self.covariance == "diag":
-            gap = (obs[:, None] - self.mean) ** 2 / self.var
-            return -0.5 * (gap + np.log(2 * np.pi * self.var)).sum(axis=2)
+            return np.stack([-0.5 * (((obs - m) ** 2 / v).sum(axis=1) + np.log(2 * np.pi * v).sum()) for m, v in zip(self.mean, self.var, strict=True)], axis=1)
         out = np.empty((len(obs), len(self.mean)))
         for k, mean in enumerate(self.mean):
             lower = np.linalg.cholesky(self.var[k] if self.covariance == "full" else self.var)
@@ -138,19 +137,30 @@ class Hmm:
 
     def forward_backward(self, obs: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Log-likelihood, posterior of each state, expected transition counts of one sequence (M6)."""
+        return self.smoothed(obs, np.ones(len(obs), int))
+
+    def smoothed(self, obs: np.ndarray, active: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood, posteriors and expected transition counts of sequences side by side.
+
+        ``obs`` has the first steps of all sequences, longest first, then their second steps, and so on; ``active`` says how
+        many sequences have each step.  A step of all sequences is one product of matrices.
+        """
         dens = self.log_density(obs)
         top = dens.max(axis=1, keepdims=True)
         like = np.exp(dens - top)
         ahead, scale, back = np.empty_like(like), np.empty(len(like)), np.ones_like(like)
-        for t in range(len(like)):
-            a = like[t] * (self.start if t == 0 else ahead[t - 1] @ self.step)
-            scale[t] = max(a.sum(), TINY)
-            ahead[t] = a / scale[t]
+        at = np.concatenate([[0], np.cumsum(active)])
+        for t in range(len(active)):
+            here = slice(at[t], at[t + 1])
+            a = like[here] * (self.start if t == 0 else ahead[at[t - 1] : at[t - 1] + active[t]] @ self.step)
+            scale[here] = np.maximum(a.sum(axis=1), TINY)
+            ahead[here] = a / scale[here, None]
         counts = np.zeros_like(self.step)
-        for t in range(len(like) - 2, -1, -1):
-            after = like[t + 1] * back[t + 1] / scale[t + 1]
-            back[t] = self.step @ after
-            counts += ahead[t][:, None] * self.step * after
+        for t in range(len(active) - 2, -1, -1):
+            n = active[t + 1]
+            after = like[at[t + 1] : at[t + 2]] * back[at[t + 1] : at[t + 2]] / scale[at[t + 1] : at[t + 2], None]
+            back[at[t] : at[t] + n] = after @ self.step.T
+            counts += self.step * (ahead[at[t] : at[t] + n].T @ after)
         posterior = ahead * back
         return float((np.log(scale) + top[:, 0]).sum()), posterior / posterior.sum(axis=1, keepdims=True), counts
 
@@ -180,16 +190,39 @@ class Hmm:
         return rows.select(*sequence, order, x).groupBy(*sequence).applyInPandas(one, kinds)
 
 
-def _expectation(model: Hmm) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+#: Values of observations and posteriors that are worked on side by side.
+SIDE_BY_SIDE = 1 << 21
+
+
+def _side_by_side(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sequences as ``Hmm.smoothed`` takes them, the longest first, in groups of bounded size or one longer sequence."""
+    order = sorted(range(len(sequences)), key=lambda k: -len(sequences[k]))
+    group: list[np.ndarray] = []
+    for place, k in enumerate(order):
+        group.append(sequences[k])
+        if place + 1 == len(order) or sum(map(len, group)) * group[0].shape[1] >= SIDE_BY_SIDE:
+            lengths = np.array(list(map(len, group)))
+            active = (lengths[:, None] > np.arange(lengths[0])).sum(axis=0)
+            step = np.concatenate([np.arange(n) for n in lengths])
+            yield np.concatenate(group)[np.argsort(step, kind="stable")], active
+            group = []
+
+
+def _expectation(fits: list[Hmm]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Log-likelihood, start, transition counts, weights, sums and sums of squares of a partition's sequences, in a row each."""
+        """For each model: log-likelihood, start, transition counts, weights, sums and sums of squares of a partition's sequences, in a row each."""
         total = None
         for batch in batches:
-            for sequence in batch["obs"]:
-                obs = np.stack(sequence)
-                ll, post, counts = model.forward_backward(obs)
-                second = {"diag": lambda: (post.T @ obs**2).ravel(), "full": lambda: np.einsum("tk,td,te->kde", post, obs, obs, optimize=True).ravel(), "tied": lambda: np.zeros(0)}[model.covariance]()  # noqa: B023
-                parts = np.concatenate([[ll], post[0], counts.ravel(), post.sum(axis=0), (post.T @ obs).ravel(), second])
+            for obs, active in _side_by_side([np.stack(w) for w in batch["obs"]]):
+                parts = []
+                for model in fits:
+                    ll, post, counts = model.smoothed(obs, active)
+                    parts += [[ll], post[: active[0]].sum(axis=0), counts.ravel(), post.sum(axis=0), (post.T @ obs).ravel()]
+                    if model.covariance == "diag":
+                        parts.append((post.T @ obs**2).ravel())
+                    elif model.covariance == "full":
+                        parts.append(np.concatenate([((obs * w[:, None]).T @ obs).ravel() for w in post.T]))
+                parts = np.concatenate(parts)
                 total = parts if total is None else total + parts
         if total is not None:
             yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
@@ -197,50 +230,103 @@ def _expectation(model: Hmm) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
     return expect
 
 
-def fit_hmm(rows: DataFrame, sequence: list[str], order: str, k: int, n_iter: int = 500, tol: float = 1e-3, x: str = "x", floor: float = 1e-3, covariance: str = "diag") -> Hmm:
-    """Expectation maximisation with ``diag``, ``full`` or ``tied`` covariances, whose eigenvalues are ``floor`` at least (M4, M7).
-
-    States start evenly spread along the first principal axis.  Sequences are grouped and checkpointed once; each
-    step maps over them and adds up expected counts on the executors.  The fit has converged when the log-likelihood
-    gains less than ``tol``; the model keeps its history.
-    """
+def _improved(model: Hmm, v: np.ndarray, moments: np.ndarray, n: int, floor: float) -> tuple[Hmm, np.ndarray]:
+    """The model of expected counts that stand first in ``v``, and the rest of ``v``."""
+    k, d = model.mean.shape
+    sizes = [1, k, k * k, k, k * d, {"diag": k * d, "full": k * d * d, "tied": 0}[model.covariance]]
+    ll, start, counts, weight, first, second, rest = np.split(v, np.cumsum(sizes))
+    weight = np.maximum(weight, TINY)[:, None]
+    mu = first.reshape(k, d) / weight
+    counts = counts.reshape(k, k)
+    gone = counts.sum(axis=1, keepdims=True)
+    step = np.where(gone > 0, counts / np.maximum(gone, TINY), 1 / k)
+    if model.covariance == "diag":
+        var = np.maximum(second.reshape(k, d) / weight - mu**2, floor)
+    elif model.covariance == "full":
+        var = np.stack([_floored(m / w - np.outer(c, c), floor) for m, w, c in zip(second.reshape(k, d, d), weight[:, 0], mu, strict=True)])
+    else:
+        var = _floored((moments - (mu.T * weight[:, 0]) @ mu) / n, floor)
+    return Hmm(start / start.sum(), step, mu, var, (*model.history, float(ll[0])), covariance=model.covariance), rest
+
+
+def starting(means: np.ndarray, cov: np.ndarray, covariance: str = "diag", floor: float = 1e-3) -> Hmm:
+    """A model with given means, even probabilities and the covariance of all rows."""
     if covariance not in ("diag", "full", "tied"):
         raise ValueError(f"unknown covariance {covariance}")
-    n, centre, moments = co_moments(rows, x)
-    if not n:
-        raise ValueError("nothing to fit")
-    mean, cov = np.zeros_like(centre), moments / n  # the fit works on rows less their mean
+    k = len(means)
+    var = {"diag": lambda: np.tile(np.maximum(np.diag(cov), floor), (k, 1)), "full": lambda: np.tile(_floored(cov, floor), (k, 1, 1)), "tied": lambda: _floored(cov, floor)}[covariance]()
+    return Hmm(np.full(k, 1 / k), np.full((k, k), 1 / k), np.array(means, float), var, covariance=covariance)
+
+
+def along_axis(mean: np.ndarray, cov: np.ndarray, k: int) -> np.ndarray:
+    """``k`` means evenly spread along the first principal axis."""
     values, vectors = np.linalg.eigh(cov)
     axis = vectors[:, -1] * np.sign(vectors[np.abs(vectors[:, -1]).argmax(), -1])
     spread = np.sqrt(max(values[-1], 0)) * (2 * (np.arange(k) + 0.5) / k - 1) * 1.5
-    first_var = {"diag": lambda: np.tile(np.maximum(np.diag(cov), floor), (k, 1)), "full": lambda: np.tile(_floored(cov, floor), (k, 1, 1)), "tied": lambda: _floored(cov, floor)}[covariance]()
-    model = Hmm(np.full(k, 1 / k), np.full((k, k), 1 / k), mean + spread[:, None] * axis, first_var, covariance=covariance)
-    history: list[float] = []
+    return mean + spread[:, None] * axis
+
+
+def fit_many(rows: DataFrame, sequence: list[str], order: str, starts: list[Hmm], n_iter: int = 500, tol: float = 1e-3, x: str = "x", floor: float = 1e-3) -> list[Hmm]:
+    """Expectation maximisation from many starts at once, each as a fit of its own would go.
+
+    Starts may differ in states and covariances; eigenvalues of covariances are ``floor`` at least.  Sequences are
+    grouped and checkpointed once, less the mean of all rows; a step is one job that serves all models that have not
+    converged, so jobs depend on the slowest fit alone.  A fit has converged when its log-likelihood gains less than ``tol``.
+    """
+    n, centre, moments = co_moments(rows, x)
+    if not n:
+        raise ValueError("nothing to fit")
     less = F.array(*[F.col(x)[d] - float(c) for d, c in enumerate(centre)])
     grouped = rows.withColumn(x, less).groupBy(*sequence).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).alias("x")))).alias("w"))
     sequences = checkpoint(grouped.select(F.col("w.x").alias("obs")))
+    fits = [replace(m, mean=m.mean - centre, history=(), converged=False) for m in starts]
+    going = list(range(len(fits)))
     for _ in range(n_iter):
-        stats = sequences.mapInPandas(_expectation(model), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
-        v, d = stats.sort_values("at")["v"].to_numpy(), len(mean)
-        ll, start, counts, weight, first, second = np.split(v, np.cumsum([1, k, k * k, k, k * d]))
-        weight = np.maximum(weight, TINY)[:, None]
-        mu = first.reshape(k, d) / weight
-        counts = counts.reshape(k, k)
-        gone = counts.sum(axis=1, keepdims=True)
-        step = np.where(gone > 0, counts / np.maximum(gone, TINY), 1 / k)
-        history.append(float(ll[0]))
-        if covariance == "diag":
-            var = np.maximum(second.reshape(k, d) / weight - mu**2, floor)
-        elif covariance == "full":
-            var = np.stack([_floored(m / w - np.outer(c, c), floor) for m, w, c in zip(second.reshape(k, d, d), weight[:, 0], mu, strict=True)])
-        else:
-            var = _floored((moments - (mu.T * weight[:, 0]) @ mu) / n, floor)
-        model = Hmm(start / start.sum(), step, mu, var, tuple(history), covariance=covariance)
-        if len(history) > 1 and history[-1] - history[-2] < tol:
-            model.converged = True
+        stats = sequences.mapInPandas(_expectation([fits[r] for r in going]), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+        rest, still = stats.sort_values("at")["v"].to_numpy(), []
+        for r in going:
+            fits[r], rest = _improved(fits[r], rest, moments, n, floor)
+            h = fits[r].history
+            if len(h) > 1 and h[-1] - h[-2] < tol:
+                fits[r].converged = True
+            else:
+                still.append(r)
+        going = still
+        if not going:
             break
-    model.mean = model.mean + centre
-    return model
+    return [replace(m, mean=m.mean + centre) for m in fits]
+
+
+def fit_hmm(
+    rows: DataFrame, sequence: list[str], order: str, k: int, n_iter: int = 500, tol: float = 1e-3, x: str = "x", floor: float = 1e-3, covariance: str = "diag",
+    start: str = "axis", restarts: int = 1, seed: int = 42,
+) -> Hmm:
+    """A model of ``k`` states with ``diag``, ``full`` or ``tied`` covariances (M4, M7); it keeps its history.
+
+    States start evenly spread along the first principal axis, or at the cluster centres of ``restarts`` seeds
+    (``start="clusters"``), of which the fit of the greatest likelihood is returned.
+    """
+    from mesostate.operators.clustering import k_means
+
+    n, mean, moments = co_moments(rows, x)
+    if not n:
+        raise ValueError("nothing to fit")
+    if start not in ("axis", "clusters"):
+        raise ValueError(f"unknown start {start}")
+    means = [along_axis(mean, moments / n, k)] if start == "axis" else [c.points for c in k_means(rows, k, [seed + r for r in range(restarts)], x)]
+    fits = fit_many(rows, sequence, order, [starting(m, moments / n, covariance, floor) for m in means], n_iter, tol, x, floor)
+    return max(fits, key=lambda m: m.history[-1])
+
+
+def restarted(rows: DataFrame, sequence: list[str], order: str, k: int, seeds: list[int], covariance: str = "diag", x: str = "x", n_iter: int = 500) -> tuple[DataFrame, list[Hmm]]:
+    """Fits from the cluster centres of each seed, and ``seed, log_likelihood, n_iter, converged, gap, best`` of them; ``gap`` is to the best (M4)."""
+    from mesostate.operators.clustering import k_means
+
+    n, _, moments = co_moments(rows, x)
+    fits = fit_many(rows, sequence, order, [starting(c.points, moments / n, covariance) for c in k_means(rows, k, seeds, x)], x=x, n_iter=n_iter)
+    ends = [m.history[-1] for m in fits]
+    table = [(int(s), float(e), len(m.history), m.converged, float(max(ends) - e), e == max(ends)) for s, e, m in zip(seeds, ends, fits, strict=True)]
+    return rows.sparkSession.createDataFrame(table, "seed int, log_likelihood double, n_iter int, converged boolean, gap double, best boolean"), fits
 
 
 def _floored(matrix: np.ndarray, floor: float) -> np.ndarray:
