@@ -305,11 +305,11 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     spark = docs.sparkSession
     sorted_by_class = lambda df: df.repartition("key").sortWithinPartitions("key", "g")
     first, one = stored(sorted_by_class(docs.mapInArrow(_parsed, ROW)).mapInArrow(_first_judged, "doc long, tag long, place long, goes_on boolean"), "contexts")
-    on = first.where("goes_on").groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
+    on, three = stored(first.where("goes_on").groupBy("doc", "tag").agg(F.collect_list("place").alias("places")), "open-contexts")
     narrow = docs.join(on, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(_refined, f"{ROW}, body binary")
     second, two = stored(sorted_by_class(narrow).mapInArrow(_second_judged, ROW), "strings")
     last = sorted_by_class(second).mapInArrow(_last_judged, "doc long, tag long, place long")
-    return first.where("NOT goes_on").drop("goes_on").unionByName(last), [one, two]
+    return first.where("NOT goes_on").drop("goes_on").unionByName(last), [one, two, three]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
