@@ -70,7 +70,8 @@ def kpss_auto(long: DataFrame, scope: list[str], order: str) -> DataFrame:
     """``scope, dim, lags, kpss, p``: level stationarity with the automatic bandwidth of Hobijn, Franses and Ooms (DG12).
 
     The first ``n^(2/9)`` autocovariances determine the number of lags, ``1.1447 (s1/s0)^(2/3) n^(1/3)`` and at most
-    ``n - 1``, of the long-run variance.  The probability lies between 0.01 and 0.10.  A constant series has neither.
+    ``n - 1``, of the long-run variance.  The probability lies between 0.01 and 0.10.  A series without variance, or whose first
+    autocovariances cancel it, has neither.
     """
     by = [*scope, "dim"]
     placed = checkpoint(numbered(long.select(*by, F.col(order).alias("_o"), F.col("x").cast("double").alias("x")), by, ["_o"]))
@@ -83,15 +84,16 @@ def kpss_auto(long: DataFrame, scope: list[str], order: str) -> DataFrame:
     sums = checkpoint(chunks.groupBy(*by, "n").agg(F.sum(square).alias("square"), F.sum(path).alias("path")))
     counted = chunks.withColumn("lag", F.floor(F.pow(n.cast("double"), F.lit(2 / 9)) + 1e-9))
     near = _weighted_products(counted, by, "lag", "plain")
-    s0, s1 = F.col("square") / n + 2 * F.col("s0") / n, 2 * F.col("s1") / n
+    some = lambda v: F.when(F.abs(v) > 1e-12 * F.col("square") / n, v)  # noqa: E731  (more than rounding leaves)
+    s0, s1 = some(F.col("square") / n + 2 * F.col("s0") / n), 2 * F.col("s1") / n
     gamma = 1.1447 * F.pow((s1 / s0) * (s1 / s0), F.lit(1 / 3))
     lags = F.least(F.floor(gamma * F.pow(n.cast("double"), F.lit(1 / 3))), n - 1)
-    chosen = checkpoint(sums.join(near, by).where("square > 0").select(*by, "n", "square", "path", F.coalesce(lags, F.lit(0)).alias("lags")))
+    chosen = checkpoint(sums.join(near, by).where("square > 0").select(*by, "n", "square", "path", lags.alias("lags")).where("lags IS NOT NULL"))
     most = chosen.agg(F.max("lags")).first()[0] or 0
     if most > CHUNK:
         chunks = _chunks(placed, by, int(most))
     far = _weighted_products(chunks.join(chosen.select(*by, "lags"), by), by, "lags", "bartlett")
-    variance = (F.col("square") + 2 * F.col("s0")) / n
+    variance = some((F.col("square") + 2 * F.col("s0")) / n)
     found = chosen.join(far, by).select(*by, F.col("lags").cast("long"), (F.col("path") / (n * n) / variance).alias("kpss"))
     p = F.when(F.col("kpss") <= KPSS_AT[0][0], KPSS_AT[0][1])
     for (a, pa), (b, pb) in zip(KPSS_AT, KPSS_AT[1:], strict=False):

@@ -1,25 +1,7 @@
 """State paths that arrive as streams.  An extension: the batch operators need none of it."""
 
-from __future__ import annotations
+from mesostate.streaming.filtering import filtered, online_filter
+from mesostate.streaming.sessions import state_sessions
+from mesostate.streaming.windows import appended, replayed, windowed_states
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def windowed_states(path: DataFrame, ts: str, width: str, late: str, state: str = "state") -> DataFrame:
-    """``start, state, n``: windows of event time and how often each state was in them; later rows than ``late`` are left out.
-
-    Works alike on streams and tables.  Open windows are the only state that a stream keeps.
-    """
-    counts = path.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), state).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(F.col("w.start").alias("start"), state, "n")
-
-
-def replayed(counts: DataFrame, table: str, checkpoints: str) -> None:
-    """Runs a stream over all that its source has now; ``table`` then holds the whole result as Parquet."""
-
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(table)
-
-    query = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoints).trigger(availableNow=True).foreachBatch(store).start()
-    query.awaitTermination()
+__all__ = ["appended", "filtered", "online_filter", "replayed", "state_sessions", "windowed_states"]

@@ -42,6 +42,15 @@ def test_descriptions_of_features():
 def test_metadata(spark):
     rows = features.REGISTRY.metadata(spark).collect()
     assert [r["name"] for r in rows] == sorted(features.REGISTRY.names()) and {r["name"]: r["width"] for r in rows}["hemispheric_asymmetry"] == 21
+    known = {r["name"]: (r["suitability"], r["gaussian_friendly"], r["scaling"]) for r in rows}
+    assert known == {
+        "alpha_envelope": ("medium", False, "log_zscore"), "theta_envelope": ("high", True, "zscore"), "beta_envelope": ("medium", True, "log_zscore"),
+        "hjorth_mobility": ("high", True, "zscore"), "hjorth_complexity": ("medium", True, "zscore"), "temporal_entropy": ("medium", False, "robust_zscore"),
+        "relative_power": ("high", False, "zscore"), "band_ratios": ("high", True, "zscore"), "hemispheric_asymmetry": ("medium", True, "zscore"),
+    }
+    assert {r["name"] for r in rows if not r["per_channel"]} == {"hemispheric_asymmetry"}
+    with pytest.raises(ValueError):
+        features.Registry().register(features.Feature("two words", 1))
 
 
 def test_columns_of_a_vector():
@@ -236,8 +245,7 @@ def test_assignment_against_all_matchings(spark):
     assert {(r["i"], r["j"]) for r in comparison.assignment(pairs).collect()} == {(f"a{i}", j) for i, j in enumerate(best)}
     turned = comparison.assignment(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "cosine")).collect()
     assert {(r["j"], r["i"]) for r in turned if r["matched"]} == {(f"a{i}", j) for i, j in enumerate(best)} and sum(not r["matched"] for r in turned) == 2
-    with pytest.raises(ValueError):
-        comparison.assignment(pairs, most=4)
+    assert comparison.assignment(pairs.limit(0)).count() == 0
 
 
 # names and files --------------------------------------------------------------------------------------------------
@@ -250,6 +258,7 @@ def test_names_by_hand(spark):
     assert [r[0] for r in labels.without_prefixes(rows, "n", ["Jose", "ÀBC"]).collect()] == ["plain"]
     assert labels.without_prefixes(rows, "n", []).count() == 4
     assert rows.select(labels.experiment_id(F.lit("task"), F.lit("hmm"), F.lit(4), F.lit(90), F.lit(None), F.lit("car"))).first()[0] == "task_hmm_K4_PCA90_CAR"
+    assert rows.select(labels.experiment_id(F.lit("task"), F.lit("hmm"), F.lit(4), F.lit(90), F.lit(3), F.lit("car"), F.lit(250))).first()[0] == "task_hmm_K4_PCA90_L3_CAR_DS250"
 
 
 def test_descriptions_in_yaml(tmp_path):

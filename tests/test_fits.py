@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mesostate.operators import clustering, matrices, models
+from mesostate.operators import clustering, comparison, lags, matrices, models, orderstats
 
 
 def jobs(spark, name, run):
@@ -112,3 +112,88 @@ def test_offsets_cost_no_precision(spark, offset):
     if offset:
         a = models.fit_hmm(rows.select(F.lit(1).alias("s"), F.monotonically_increasing_id().alias("t"), "x"), ["s"], "t", 2, n_iter=5, covariance="full")
         assert np.allclose(a.mean.mean(axis=0), moved.mean(axis=0), atol=2)
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (1, 4), (4, 4), (5, 7), (8, 8)])
+def test_matchings_against_all(shape):
+    for seed in range(20):
+        r = np.random.default_rng(seed)
+        cost = r.normal(size=shape) if seed % 2 else r.integers(0, 3, shape).astype(float)
+        if shape == (8, 8) and seed > 3:
+            continue
+        found, bound = comparison.best_matching(cost)
+        best = min(sum(cost[i, j] for i, j in enumerate(p)) for p in permutations(range(shape[1]), shape[0]))
+        assert cost[range(shape[0]), found].sum() == pytest.approx(best) and len(set(found.tolist())) == shape[0]
+        assert bound == pytest.approx(best)
+
+
+@pytest.mark.parametrize("shape", [(200, 200), (150, 200)])
+def test_large_matchings_meet_their_bound(shape):
+    cost = np.random.default_rng(7).normal(size=shape)
+    found, bound = comparison.best_matching(cost)
+    assert cost[range(shape[0]), found].sum() == pytest.approx(bound) and len(set(found.tolist())) == shape[0]
+
+
+def test_quantiles_of_hard_groups(spark, monkeypatch):
+    monkeypatch.setattr(orderstats, "FEW", 8)
+    monkeypatch.setattr(orderstats, "BINS", 16)
+    r = np.random.default_rng(2)
+    groups = {
+        "normal": r.normal(size=900), "ties": r.integers(0, 3, 700).astype(float), "one": np.array([3.5]), "two": np.array([-1.0, 4.0]), "flat": np.full(300, 2.5),
+        "wide": np.sign(r.normal(size=500)) * 10.0 ** r.uniform(-300, 300, 500), "tiny": np.concatenate([5e-324 * r.integers(0, 50, 400), [1e308, -1e308]]), "close": 1e9 + r.integers(0, 100, 600) * 1e-6,
+    }
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("normal", float("nan")), ("normal", float("inf")), ("ties", None), (None, 1.0)]
+    at = {"q0": 0.0, "q01": 0.01, "q25": 0.25, "q5": 0.5, "q99": 0.99, "q1": 1.0}
+    df = spark.createDataFrame(rows, "g string, x double").repartition(6)
+    found = {r["g"]: r for r in orderstats.quantiles(df, ["g"], "x", at).collect()}
+    for g, x in groups.items():
+        s = np.sort(x)
+        for name, q in at.items():
+            pos = (len(s) - 1) * q
+            a, b = int(np.floor(pos)), int(np.ceil(pos))
+            want = s[a] if a == b or s[a] == s[b] else (b - pos) * s[a] + (pos - a) * s[b]
+            assert found[g][name] == want, (g, name)
+
+
+def test_quantiles_are_those_of_percentile_on_many_values(spark):
+    df = spark.range(3_000_000).select((F.hash("id") % 5).alias("g"), (F.randn(3) * 1000).alias("x"))
+    df = df.where("g = 0 OR g % 7 = 3").withColumn("x", F.round("x", 7) + F.hash("x") / 1e12).select(F.lit(1).alias("g"), "x")
+    found = orderstats.quantiles(df, ["g"], "x", {"a": 0.01, "b": 0.5, "c": 0.99}).first()
+    want = df.agg(F.percentile("x", [0.01, 0.5, 0.99]).alias("p")).first()["p"]
+    assert [found["a"], found["b"], found["c"]] == want
+
+
+def plain_kpss(x):
+    n = len(x)
+    e = x - x.mean()
+    product = lambda k: float(e[k:] @ e[: n - k])
+    few = int(n ** (2 / 9) + 1e-9)
+    s0, s1 = product(0) / n + 2 * sum(product(k) for k in range(1, few + 1)) / n, 2 * sum(k * product(k) for k in range(1, few + 1)) / n
+    most = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1)
+    variance = (product(0) + 2 * sum((1 - k / (most + 1)) * product(k) for k in range(1, most + 1))) / n
+    return most, float((np.cumsum(e) ** 2).sum() / n**2 / variance)
+
+
+@pytest.mark.parametrize("chunk", [16_384, 37])
+def test_automatic_lags(spark, monkeypatch, chunk):
+    monkeypatch.setattr(lags, "CHUNK", chunk)
+    r = np.random.default_rng(4)
+    series = {1: r.normal(size=500), 2: np.cumsum(r.normal(size=300)), 3: np.full(40, 7.0), 4: np.array([1.0, 5.0]), 5: 1e6 + r.normal(size=1000) + np.sin(np.arange(1000) / 30)}
+    long = spark.createDataFrame([("s", k, d, float(v)) for d, x in series.items() for k, v in enumerate(x)], "s string, row int, dim int, x double").repartition(5)
+    found = {r["dim"]: r for r in lags.kpss_auto(long, ["s"], "row").collect()}
+    assert all(found[d][c] is None for d in (3, 4) for c in ("lags", "kpss", "p")) and set(found) == set(series)
+    for d in (1, 2, 5):
+        most, value = plain_kpss(series[d])
+        assert found[d]["lags"] == most and found[d]["kpss"] == pytest.approx(value, rel=1e-6)
+    assert found[1]["p"] == 0.10 and found[2]["p"] == 0.01
+    assert lags.kpss_auto(long.limit(0), ["s"], "row").count() == 0
+
+
+def test_a_series_in_many_tasks(spark):
+    """One series of two million steps: no partition holds it whole, and the figures are those of the plain form."""
+    n = 2_000_000
+    x = np.sin(np.arange(n) / 1000.0) + (np.arange(n) * 7919 % 1013) / 1013
+    long = spark.range(n).select(F.lit("s").alias("s"), F.col("id").alias("row"), F.lit(0).alias("dim"), (F.sin(F.col("id") / 1000.0) + (F.col("id") * 7919 % 1013) / 1013).alias("x"))
+    found = lags.kpss_auto(long, ["s"], "row").first()
+    most, value = plain_kpss(x)
+    assert found["lags"] == most and found["kpss"] == pytest.approx(value, rel=1e-6)
