@@ -87,7 +87,7 @@ def kpss_auto(long: DataFrame, scope: list[str], order: str) -> DataFrame:
     some = lambda v: F.when(F.abs(v) > 1e-12 * F.col("square") / n, v)  # noqa: E731  (more than rounding leaves)
     s0, s1 = some(F.col("square") / n + 2 * F.col("s0") / n), 2 * F.col("s1") / n
     gamma = 1.1447 * F.pow((s1 / s0) * (s1 / s0), F.lit(1 / 3))
-    lags = F.least(F.floor(gamma * F.pow(n.cast("double"), F.lit(1 / 3))), n - 1)
+    lags = F.when(gamma.isNotNull(), F.least(F.floor(gamma * F.pow(n.cast("double"), F.lit(1 / 3))), n - 1))
     chosen = checkpoint(sums.join(near, by).where("square > 0").select(*by, "n", "square", "path", lags.alias("lags")).where("lags IS NOT NULL"))
     most = chosen.agg(F.max("lags")).first()[0] or 0
     if most > CHUNK:

@@ -65,7 +65,7 @@ def _j6(s, d) -> DataFrame:
 def _experiment_ids(s, d) -> DataFrame:
     c = table(s, d, "customer")
     lag = F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey"))
-    return c.select("c_custkey", labels.experiment_id(F.lower("c_mktsegment"), F.lit("hmm"), F.col("c_custkey") % 5 + 2, F.lit(90), lag, F.lit("car")).alias("experiment"))
+    return c.select("c_custkey", labels.experiment_id(F.lower("c_mktsegment"), F.lit("hmm"), F.col("c_custkey") % 5 + 2, F.lit(90), lag, F.lit("car"), F.when(F.col("c_custkey") % 4 == 0, F.lit(250))).alias("experiment"))
 
 
 # signals ----------------------------------------------------------------------------------------------------------
@@ -149,13 +149,6 @@ def _convergence(s, d) -> DataFrame:
     return models.fit_hmm(_scores(s, d), ["session", "trial"], "vec_id", 2, covariance="tied").record(s)
 
 
-def _bic(s, d) -> DataFrame:
-    rows = _scores(s, d)
-    n, dims = rows.count(), len(rows.first()["x"])
-    fits = [(k, dims, n, c, models.fit_hmm(rows, ["session", "trial"], "vec_id", k, covariance=c).history[-1]) for k in (2, 3) for c in ("diag",)]
-    return models.bic_table(s.createDataFrame(fits, "k int, d int, n long, covariance string, log_likelihood double"))
-
-
 def _lengths(s, d) -> DataFrame:
     """Sessions whose events are not as many as the customers' balance says, in a table of stated lengths."""
     stated = table(s, d, "customer").select(F.col("c_custkey").alias("session"), (F.col("c_custkey") % 40 + 45).alias("n"))
@@ -323,7 +316,6 @@ QUERIES = {
     "m4_tied": _fit("tied"),
     "m7_convergence": _convergence,
     "m8_lengths": _lengths,
-    "m10_bic": _bic,
     "m11_geometry": lambda s, d: rounded(matrices.geometry(matrix(s, d), "session"), "norm", "mean_variance", "most_variance"),
     "m13_curve": lambda s, d: rounded(models.principal_components(epochs(s, d), 0.9, "samples").curve(s), "ratio", "cumulative"),
     "st7_state_table": _state_table,
@@ -398,7 +390,7 @@ SQL = {
     "j5_pairs": f"WITH {_C}, b AS (SELECT name, c_custkey % 2 AS k, upper(c_mktsegment) || (c_custkey // 2) || 'SIN' AS base FROM c) SELECT a.base, a.name AS go, o.name AS nogo FROM b a JOIN b o ON a.base = o.base AND a.k = 0 AND o.k = 1",
     "j6_absorbers": f"{_AB} SELECT base, sa.state AS state_a, round(sa.fo, 6) AS fo_a, sb.state AS state_b, round(sb.fo, 6) AS fo_b, sa.fo IS NOT NULL AS in_a, sb.fo IS NOT NULL AS in_b, sa.fo IS NOT NULL AND sb.fo IS NOT NULL AS in_both FROM sa FULL JOIN sb USING (base)",
     "set_absorbers": f"{_AB} SELECT base, 'both' AS \"where\" FROM sa JOIN sb USING (base) UNION ALL SELECT base, 'only_a' FROM sa ANTI JOIN sb USING (base) UNION ALL SELECT base, 'only_b' FROM sb ANTI JOIN sa USING (base) UNION ALL SELECT base, 'any' FROM (SELECT base FROM sa UNION SELECT base FROM sb)",
-    "experiment_ids": "SELECT c_custkey, concat_ws('_', lower(c_mktsegment), 'hmm', 'K' || (c_custkey % 5 + 2), 'PCA90', CASE WHEN c_custkey % 3 = 0 THEN 'L' || c_nationkey END, 'CAR') AS experiment FROM customer",
+    "experiment_ids": "SELECT c_custkey, concat_ws('_', lower(c_mktsegment), 'hmm', 'K' || (c_custkey % 5 + 2), 'PCA90', CASE WHEN c_custkey % 3 = 0 THEN 'L' || c_nationkey END, 'CAR', CASE WHEN c_custkey % 4 = 0 THEN 'DS250' END) AS experiment FROM customer",
     "win2_trimmed": f"WITH {_E} SELECT vec_id, 0::INT AS win_idx, round(list_sum(x[21:40]), 6) AS total FROM e",
     "tde3_channels": "WITH e AS (SELECT vec_id, label AS session, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), t AS (SELECT *, unnest(range(4, 64)) AS t FROM e) SELECT session, vec_id, t::INT AS t, unnest(range(2))::INT AS place, unnest([round(x[t + 1], 6), round(x[t - 3], 6)]) AS x FROM t",
     "f13_temporal": f"WITH {_REC}, al AS (SELECT session, trial, win_idx, ci AS dim, sqrt(v1 / v0) AS x FROM hj UNION ALL SELECT session, trial, win_idx, ci + {_NC}, sqrt(v2 / v1) / sqrt(v1 / v0) FROM hj UNION ALL SELECT trial % 5, trial, win_idx, ci + {2 * _NC}, h FROM en) SELECT session, trial, win_idx, dim, round(x, 6) AS x FROM al",
@@ -413,7 +405,7 @@ SELECT session, round(rms, 5) AS rms, round(emg, 5) AS emg, n_bad, rf AS rms_fla
     "dg9_judged": f"""WITH {_K2}, o AS (SELECT dim, skewness(x) AS sk, kurtosis(x) AS ku, stddev_pop(x) AS sd, avg((abs((x - mu) / sqrt(v)) > 3)::INT) AS f FROM m JOIN s0 USING (dim) GROUP BY dim),
 g AS (SELECT dim, sk, ku, sd, f, greatest(0, least(1, 1 - least(abs(sk) / 5, 0.35) - least(abs(ku) / 10, 0.3) - least(5 * f, 0.2) - CASE WHEN exp(-k2/2) < 1e-6 THEN 0.15 WHEN exp(-k2/2) < 1e-3 THEN 0.1 WHEN exp(-k2/2) < 0.05 THEN 0.05 ELSE 0 END))::DOUBLE AS score FROM o JOIN k2 USING (dim))
 SELECT dim, round(score, 5) AS score, CASE WHEN score >= 0.8 THEN 'excellent' WHEN score >= 0.65 THEN 'good' WHEN score >= 0.45 THEN 'acceptable' WHEN score >= 0.25 THEN 'poor' ELSE 'very_poor' END AS label, score >= 0.65 AS consistent, sd < 1e-8 AS near_constant,
-concat_ws(',', CASE WHEN abs(sk) > 2 THEN 'skew' END, CASE WHEN abs(ku) > 5 THEN 'kurtosis' END, CASE WHEN f > 0.05 THEN 'outliers' END, CASE WHEN score < 0.4 THEN 'score' END) AS warnings FROM g""",
+concat_ws(',', CASE WHEN sd < 1e-8 THEN 'constant' END, CASE WHEN abs(sk) > 2 THEN 'skew' END, CASE WHEN abs(ku) > 5 THEN 'kurtosis' END, CASE WHEN f > 0.05 THEN 'outliers' END, CASE WHEN score < 0.4 THEN 'score' END) AS warnings FROM g""",
     "dg10_report": f"WITH {_M}, q AS (SELECT *, lag(x) OVER (PARTITION BY session, dim ORDER BY row) AS prev FROM m), b AS (SELECT session, dim, CASE WHEN stddev_pop(x) < 1e-12 THEN 0 ELSE corr(x, prev) END AS l, avg(abs(x - prev)) AS s, stddev_pop(x) AS sd FROM q GROUP BY ALL), r AS (SELECT session, avg(l) AS l, stddev_pop(l) AS ls, avg(s) AS s, stddev_pop(s) AS ss, avg(s) / (avg(sd) + 1e-12) AS n FROM b GROUP BY session) SELECT session, round(l, 5) AS lag1_mean, round(ls, 5) AS lag1_sd, round(s, 5) AS step_mean, round(ss, 5) AS step_sd, round(n, 5) AS noise, CASE WHEN l > 0.85 THEN 'very_smooth' WHEN l > 0.65 THEN 'smooth' WHEN l > 0.4 THEN 'moderate' ELSE 'noisy' END AS label FROM r",
     "dg11_report": f"WITH {_M}, q AS (SELECT *, row_number() OVER (PARTITION BY session, dim ORDER BY row) - 1 AS t, count(*) OVER (PARTITION BY session, dim) AS n FROM m), b AS (SELECT session, dim, regr_slope(x, t) AS sl, abs(avg(x) FILTER (t >= n - greatest(5, n // 10)) - avg(x) FILTER (t < greatest(5, n // 10))) AS sh FROM q GROUP BY ALL), r AS (SELECT session, avg(sl) AS sl, stddev_pop(sl) AS ss, avg(sh) AS sh FROM b GROUP BY session) SELECT session, round(sl, 6) AS slope_mean, round(ss, 6) AS slope_sd, round(sh, 6) AS shift_mean, CASE WHEN abs(sl) < 1e-4 AND sh < 0.1 THEN 'stationary' WHEN abs(sl) < 1e-3 THEN 'quasi_stationary' ELSE 'non_stationary' END AS label FROM r",
     "dg12_kpss": f"""WITH {_M}, q AS (SELECT session, dim, row_number() OVER w AS t, count(*) OVER (PARTITION BY session, dim) AS n, x - avg(x) OVER (PARTITION BY session, dim) AS e FROM m WINDOW w AS (PARTITION BY session, dim ORDER BY row)), c AS (SELECT *, sum(e) OVER (PARTITION BY session, dim ORDER BY t) AS s, floor(4 * (n / 100.0::DOUBLE) ** 0.25)::INT AS l FROM q),
