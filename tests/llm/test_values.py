@@ -418,3 +418,100 @@ def test_the_cascade_asks_what_earlier_rules_left(spark, monkeypatch):
     monkeypatch.setattr(quality, "measure", lambda *a, **k: quality.Profile({"a": 1.0, "b": 1.0, "c": 1.0}, {"a": frozenset(range(10)), "b": frozenset(range(8)), "c": frozenset([20, 21])}))
     rules = tuple(quality.Rule(n, lambda m: F.lit(False)) for n in "bac")
     assert [r.name for r in quality.in_order(None, rules)] == ["a", "c", "b"]
+
+
+# bounds and precision ---------------------------------------------------------------------------------------------
+
+
+def plain_runs(own, rep):
+    """Runs of 46 of which some run of the other list has 0.8 of the distinct values of each in common."""
+    n, out = passages.LENGTH, []
+    theirs = [set(rep[b : b + n]) for b in range(len(rep) - n + 1)]
+    for a in range(len(own) - n + 1):
+        mine = set(own[a : a + n])
+        out.append(any(len(mine & t) >= 0.8 * max(len(mine), len(t)) - 1e-9 for t in theirs))
+    return out
+
+
+def test_runs_are_alike_both_ways():
+    r = np.random.default_rng(1)
+    base = r.integers(0, 10**9, 138).astype(np.int32)
+    for k in range(30):
+        own, rep = base[: r.integers(46, 138)].copy(), np.concatenate([r.integers(0, 10**9, r.integers(0, 60)), base, r.integers(0, 10**9, 5)]).astype(np.int32)[: r.integers(40, 184)]
+        own[r.random(len(own)) < 0.02 * (k % 12)] = 5
+        if k % 3 == 0:
+            rep[r.random(len(rep)) < 0.1] = 5
+        if k % 5 == 0:
+            own[:] = own[np.arange(len(own)) % 7]
+        assert passages.alike_runs(own, rep).tolist() == plain_runs(own.tolist(), rep.tolist())
+
+
+def pairs_of(texts):
+    """A batch of all ordered pairs of texts whose surroundings are whole, as ``compared`` gets them."""
+    own = [(s >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in passages.text_shingles(pa.array(texts))]
+    at = [(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j]
+    n = len(at)
+    return own, at, pa.RecordBatch.from_arrays(
+        [pa.array([i for i, _ in at]), pa.array([j for _, j in at]), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array([None] * n, pa.int64()), pa.array([None] * n, pa.int64()), pa.array([None] * n, pa.binary()),
+         pa.array([own[i].tolist() for i, _ in at], pa.list_(pa.int32())), pa.array([own[j].tolist() for _, j in at], pa.list_(pa.int32()))],
+        ["doc_id", "rep_doc_id", "block", "first", "lo", "hi", "rest", "around", "rep_around"],
+    )
+
+
+def test_pairs_are_precise():
+    r = random.Random(8)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    shared = [word() for _ in range(60)]
+    texts = [" ".join(["same"] * 80), " ".join(x for _ in range(9) for x in ["same", *[word() for _ in range(8)]]), " ".join(["same"] * 70 + [word() for _ in range(10)])]
+    texts += [" ".join([word() for _ in range(r.randint(0, 40))] + [word() if r.random() < 0.02 * k else w for w in shared] + [word() for _ in range(20)]) for k in range(8)]
+    texts += [" ".join(w for _ in range(3) for w in shared[:20] + [word() for _ in range(15)]) for _ in range(3)]
+    own, at, batch = pairs_of(texts)
+    found = {(row[0], row[1]) for row in passages.check_pairs(batch)}
+    assert found == {(i, j) for i, j in at if any(plain_runs(own[i].tolist(), own[j].tolist()))}
+    assert (0, 1) not in found and (1, 0) not in found and (0, 2) in found
+
+
+def test_one_word_many_times_is_no_passage_of_scattered_words(spark):
+    r = random.Random(9)
+    noise = lambda: f"n{r.randint(0, 10**7)}"
+    rows = [(0, " ".join(["same"] * 80))] + [(k, " ".join(x for _ in range(9) for x in [*["same"] * 5, *[noise() for _ in range(7)]])) for k in range(1, 40)]
+    assert passages.find(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
+def long_text(n=20_000_000):
+    r = random.Random(10)
+    words = [f"{a}{b}" for a in ("lo", "mi", "sta", "vel", "qua") for b in ("rem", "num", "tis", "dor", "pe", "xa")]
+    return " ".join(r.choice(words) for _ in range(n // 6))
+
+
+def test_a_long_labelled_text_is_learned_and_measured_in_seconds(spark):
+    text = long_text()
+    key = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5)
+    df = spark.createDataFrame([(key, text, "xx")], "doc_id long, text string, lang string")
+    began = time.time()
+    model = langid.learn(df)
+    assert model.languages == ["xx"] and sum(t.nbytes for t in model.tables) < 20e6
+    assert model.predict(pa.array(["lorem dortis", "123"]))[0] == ["xx", "und"]
+    ordered = quality.in_order(df)
+    assert len(ordered) == len(quality.RULES)
+    assert time.time() - began < 60
+
+
+def test_ties_of_languages_go_to_the_first_name():
+    model = langid.Model.fit({"b": ["same words here"], "a": ["same words here"]})
+    best, score = model.predict(pa.array(["same words", "words here same"]))
+    assert best == ["a", "a"] and score == [0.0, 0.0]
+
+
+def test_long_pre_tokens_cost_no_more_a_byte():
+    r = random.Random(11)
+    took = {}
+    for size in (30, 1000):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size)).encode() for _ in range(90_000 // size)]
+        coder = bpe.Bpe(bpe.RANKS)
+        coder.encode(words[:2])
+        began = time.perf_counter()
+        found = coder.encode(words)
+        took[size] = time.perf_counter() - began
+        assert found[0] == ordinary().encode_ordinary(words[0].decode())
+    assert took[1000] < 3 * took[30] + 0.5
