@@ -18,8 +18,8 @@ of either's shingles) to another is met so with a probability of 0.98.
 
 Holders of a value are compared with its leader, the least id, at each of the
 leader's places, so a passage shared by many documents makes one link a document:
-some run of ``LENGTH`` shingles around ``c`` must find at least 0.8 of them in the
-other text's surroundings.  Places are blocks of ``LENGTH`` positions, so what
+some run of ``LENGTH`` shingles around ``c`` and one run of ``LENGTH`` shingles of
+the other text must have at least 0.8 of the distinct shingles of each in common.  Places are blocks of ``LENGTH`` positions, so what
 several hash functions meet is compared once.  Shingles are compared by 32 bits of
 their hashes; a run passes wrongly only if 37 of them collide.
 
@@ -222,15 +222,13 @@ def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(cut, "doc_id long, code int, first int, around array<int>")
 
 
-def unmet(own: np.ndarray, met: np.ndarray, rest: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
-    """New values ``(key, position)`` for the runs of ``own`` of which fewer than LEAST are ``met`` and that touch ``lo .. hi``.
+def unmet(own: np.ndarray, good: np.ndarray, rest: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
+    """New values ``(key, position)`` for the runs of ``own`` that are not ``good`` and touch ``lo .. hi``.
 
     A new value is the least hash of a run among the shingles ``rest`` that no leader so far has, so whoever holds
     the same run and met the same leaders has the same value; a run of which no such shingle is left has the hash of
     all its shingles.
     """
-    hit = np.concatenate([np.zeros(1, np.int64), np.cumsum(met)])
-    good = hit[LENGTH:] - hit[:-LENGTH] >= LEAST * LENGTH
     start = np.arange(len(good))
     bad = np.flatnonzero(~good & (start <= hi) & (start + LENGTH > lo))
     keys: dict[int, int] = {}
@@ -250,31 +248,81 @@ def unmet(own: np.ndarray, met: np.ndarray, rest: np.ndarray, lo: int, hi: int)
     return list(keys.items())
 
 
-def among(own: np.ndarray, n_own: np.ndarray, rep: np.ndarray, n_rep: np.ndarray) -> np.ndarray:
-    """Whether each value of a pair's own list is in the pair's other list, for lists of all pairs one after another."""
+def first_places(own: np.ndarray, n_own: np.ndarray, rep: np.ndarray, n_rep: np.ndarray) -> np.ndarray:
+    """Where each value of a pair's own list first stands in the pair's other list, or -1, for lists of all pairs one after another."""
     tag = lambda v, n: (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32)) | v.view(np.uint32)
-    mine, theirs = tag(own, n_own), np.sort(tag(rep, n_rep))
+    mine, theirs = tag(own, n_own), tag(rep, n_rep)
     if not len(theirs):
-        return np.zeros(len(mine), bool)
-    return theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine
+        return np.full(len(mine), -1)
+    order = np.argsort(theirs, kind="stable")
+    theirs = theirs[order]
+    at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+    return np.where(theirs[at] == mine, order[at], -1)
+
+
+def _distinct_in_runs(values: np.ndarray) -> np.ndarray:
+    """A row a run of LENGTH values and a column a value: whether it is in the run and not in it before."""
+    order = np.argsort(values, kind="stable")
+    same = np.append(False, values[order[1:]] == values[order[:-1]])
+    before = np.full(len(values), -1)
+    before[order[same]] = order[np.flatnonzero(same) - 1]
+    start, place = np.arange(len(values) - LENGTH + 1)[:, None], np.arange(len(values))
+    return (place >= start) & (place < start + LENGTH) & (before < start)
+
+
+def alike_runs(own: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """For each run of LENGTH values of ``own``, whether some such run of ``rep`` has LEAST of the distinct values of each in common with it."""
+    if len(own) < LENGTH or len(rep) < LENGTH:
+        return np.zeros(max(0, len(own) - LENGTH + 1), bool)
+    equal = np.zeros((len(own), len(rep) + 1), np.int32)
+    np.cumsum(own[:, None] == rep, axis=1, out=equal[:, 1:])
+    within = equal[:, LENGTH:] > equal[:, :-LENGTH]  # a value of own is in a run of rep
+    mine, theirs = _distinct_in_runs(own), _distinct_in_runs(rep)
+    common = mine.astype(np.float32) @ within.astype(np.float32)
+    return (common >= LEAST * np.maximum(mine.sum(axis=1)[:, None], theirs.sum(axis=1)) - 1e-3).any(axis=1)
+
+
+def plainly_alike(place: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Whether the distinct values that each run of LENGTH finds first stand within one such run of the other list, enough of them for runs without repeats."""
+    if not len(run):
+        return np.zeros(0, bool)
+    found = np.sort(place[run[:, None] + np.arange(LENGTH)], axis=1)
+    known = found >= 0
+    distinct = (known & np.append(np.ones((len(run), 1), bool), found[:, 1:] != found[:, :-1], axis=1)).sum(axis=1)
+    least = np.where(known, found, np.iinfo(found.dtype).max).min(axis=1)
+    return (distinct >= LEAST * LENGTH) & (found[:, -1] - least < LENGTH)
 
 
 def check_pairs(batch: pa.RecordBatch) -> list[tuple]:
-    """Rows of ``compared`` for a batch of pairs; only pairs whose values others hold too are looked at one by one."""
+    """Rows of ``compared`` for a batch of pairs.
+
+    Runs of which LEAST stand anywhere in the other list are candidates.  Where the first and the last candidate of a pair stand
+    in order and without repeats, so do those between; otherwise all runs of the pair are compared with all of the other list.
+    """
     mine, theirs = batch.column("around"), batch.column("rep_around")
     own, n = np.ascontiguousarray(mine.flatten()), np.asarray(mine.value_lengths(), np.int64)
-    met = among(own, n, np.ascontiguousarray(theirs.flatten()), np.asarray(theirs.value_lengths(), np.int64))
-    ends = np.cumsum(n)
+    rep, n_rep = np.ascontiguousarray(theirs.flatten()), np.asarray(theirs.value_lengths(), np.int64)
+    place = first_places(own, n, rep, n_rep)
+    met = place >= 0
+    ends, rep_ends = np.cumsum(n), np.cumsum(n_rep)
     pair = np.repeat(np.arange(len(n)), n)
     hit = np.concatenate([np.zeros(1, np.int64), np.cumsum(met)])
     start = np.flatnonzero(pair[: len(pair) - LENGTH + 1] == pair[LENGTH - 1 :]) if len(pair) >= LENGTH else np.zeros(0, np.int64)
     good = start[hit[start + LENGTH] - hit[start] >= LEAST * LENGTH]
     whose, first_at = np.unique(pair[good], return_index=True)
     last_at = np.searchsorted(pair[good], whose, "right") - 1
+    plain = plainly_alike(place, good[first_at]) & plainly_alike(place, good[last_at])
     columns = {x: batch.column(x).to_pylist() for x in ("doc_id", "rep_doc_id", "block", "first", "lo", "hi", "rest")}
-    out = []
-    for k, a, b in zip(whose.tolist(), good[first_at].tolist(), good[last_at].tolist(), strict=True):
-        base = columns["first"][k] - int(ends[k] - n[k])
+    out, exact = [], {}
+    for k, a, b, sure in zip(whose.tolist(), good[first_at].tolist(), good[last_at].tolist(), plain.tolist(), strict=True):
+        begin = int(ends[k] - n[k])
+        if not sure:
+            exact[k] = alike_runs(own[begin : ends[k]], rep[rep_ends[k] - n_rep[k] : rep_ends[k]])
+            there = np.flatnonzero(exact[k])
+            if not len(there):
+                continue
+            a, b = begin + int(there[0]), begin + int(there[-1])
+        base = columns["first"][k] - begin
         out.append((columns["doc_id"][k], columns["rep_doc_id"][k], columns["block"][k], base + a, base + b + LENGTH - 1, None, None, None))
     for k, lo in enumerate(columns["lo"]):
         if lo is None or n[k] < LENGTH:
@@ -283,7 +331,8 @@ def check_pairs(batch: pa.RecordBatch) -> list[tuple]:
         rest = ~met[a:b]
         if packed_rest is not None:
             rest = rest & np.unpackbits(np.frombuffer(packed_rest, np.uint8), count=b - a).astype(bool)
-        keys = unmet(own[a:b], met[a:b], rest, lo - first, columns["hi"][k] - first)
+        fine = exact[k] if k in exact else hit[a + LENGTH : b + 1] - hit[a : b - LENGTH + 1] >= LEAST * LENGTH
+        keys = unmet(own[a:b], fine, rest, lo - first, columns["hi"][k] - first)
         if keys:
             left = np.packbits(rest).tobytes()
             out += [(columns["doc_id"][k], columns["rep_doc_id"][k], columns["block"][k], None, None, v, first + at, left) for v, at in keys]
