@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from mesostate.llm.common import free_name, let, read, words_of
 
 #: Rows of the sample that the order of the rules is fitted on.
+#: Longer texts are not sampled.
+SAMPLE_CHARS = 16_384
 SAMPLE_ROWS = 256
 #: Copies of the sample that a rule is timed on, and times; the least time counts.
 COPIES, REPEATS = 4, 2
@@ -123,8 +125,9 @@ class Profile:
 
 
 def measure(df: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> Profile:
-    """Cost and rejections of each rule on at most ``sample_rows`` rows; without rows all are 0."""
-    rows = df.select(F.col(text).alias("text")).sample(0.05, seed).take(sample_rows) or df.select(F.col(text).alias("text")).take(sample_rows)
+    """Cost and rejections of each rule on at most ``sample_rows`` rows of at most ``SAMPLE_CHARS`` characters; without such rows all are 0."""
+    short = df.select(F.col(text).alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    rows = short.sample(0.05, seed).take(sample_rows) or short.take(sample_rows)
     if not rows:
         return Profile({r.name: 0.0 for r in rules}, {r.name: frozenset() for r in rules})
     sample = df.sparkSession.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "k int, text string").coalesce(1)
