@@ -40,7 +40,7 @@ from mesostate.llm.pretokens import DIGIT, LETTER, OTHER, WordEncoder, per_text,
 from mesostate.llm.textops import buffers, runs
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-LONG_WORD = 1024
+LONG_WORD = 96
 #: Positions of words that one recursive query gets; more words take more queries.
 POSITIONS = 200_000
 #: Ids that one query decodes.
