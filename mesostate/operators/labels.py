@@ -61,13 +61,14 @@ def without_prefixes(df: DataFrame, name: str, prefixes: list[str]) -> DataFrame
 def match_names(files: DataFrame, labels: DataFrame, file: str = "file", subject: str = "subject", at: str = "condition") -> DataFrame:
     """``file, condition, subject, reason``: the label of the same condition whose subject stands in the file's name.
 
-    The subject is null and the reason says why if none or several do.  All parts of a name meet the subjects by an
-    equi-join, so labels and files are never crossed.
+    The subject is null and the reason says why if none or several do.  The parts of a name that are as long as some
+    subject meet the subjects by an equi-join, so labels and files are never crossed.
     """
     name = F.upper(file)
-    starts = F.sequence(F.lit(1), F.length(name))
-    parts = F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.lit(1), F.length(name) - a + 1), lambda n: F.substring(name, a, n))))
-    cut = files.select(file, at, F.explode(F.array_distinct(parts)).alias("_part"))
+    sizes = labels.agg(F.collect_set(F.length(F.upper(subject))).alias("_sizes"))  # one row of a few lengths
+    fitting = F.filter("_sizes", lambda n: (n > 0) & (n <= F.length(name)))
+    parts = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda a: F.substring(name, a, n))))
+    cut = files.select(file, at).crossJoin(F.broadcast(sizes)).select(file, at, F.explode(F.array_distinct(parts)).alias("_part"))
     known = labels.select(F.upper(subject).alias("_part"), F.col(at), F.col(subject).alias("_subject"))
     hits = cut.join(known, ["_part", at]).groupBy(file, at).agg(F.count(F.lit(1)).alias("n"), F.min("_subject").alias("s"))
     found = files.select(file, at).join(hits, [file, at], "left")

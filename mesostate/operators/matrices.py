@@ -115,16 +115,22 @@ def running_before(counts: DataFrame, value: str, n: str, into: str) -> DataFram
     return ranged.withColumn(into, within).join(F.broadcast(sums.select("_part", whole.alias("_base"))), "_part").withColumn(into, F.col(into) + F.col("_base")).drop("_part", "_base")  # one row a partition
 
 
-def erf(x: Column) -> Column:
-    """Error function of a number: the power series up to 3, a continued fraction beyond; absolute error under 1e-10."""
+def erfc(x: Column) -> Column:
+    """What the error function of a number lacks to 1: by the power series up to 3, by a continued fraction beyond, so small values keep their digits."""
     def of(a: Column) -> Column:
         term = lambda acc, k: acc["t"] * -1.0 * a * a / k
         start = F.struct(a.alias("t"), a.alias("s"))
         near = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, lambda acc, k: F.struct(term(acc, k).alias("t"), (acc["s"] + term(acc, k) / (2 * k + 1)).alias("s")))["s"]
         tail = F.aggregate(F.sequence(F.lit(60), F.lit(1)), F.lit(0.0), lambda acc, k: k / 2.0 / (a + acc))
-        return F.when(a < 3, near * (2 / np.sqrt(np.pi))).otherwise(1 - F.exp(-a * a) / (np.sqrt(np.pi) * (a + tail)))
+        return F.when(a < 3, 1 - near * (2 / np.sqrt(np.pi))).otherwise(F.exp(-a * a) / (np.sqrt(np.pi) * (a + tail)))
+
+    found = F.transform(F.array(F.abs(x)), of)[0]
+    return F.when(x < 0, 2 - found).otherwise(found)
 
-    return F.signum(x) * F.transform(F.array(F.abs(x)), of)[0]
+
+def erf(x: Column) -> Column:
+    """Error function of a number; absolute error under 1e-10."""
+    return F.signum(x) * (1 - erfc(F.abs(x)))
 
 
 def mann_whitney(values: DataFrame, side: str, value: str) -> DataFrame:
@@ -141,4 +147,4 @@ def mann_whitney(values: DataFrame, side: str, value: str) -> DataFrame:
     total = c("n1") + c("n2")
     sd = F.sqrt(c("n1") * c("n2") / 12.0 * (total + 1 - c("ties") / (total * (total - 1.0))))
     far = F.greatest(F.abs(c("u") - c("n1") * c("n2") / 2) - 0.5, F.lit(0.0))
-    return found.withColumn("z", F.when(sd > 0, far / sd)).withColumn("p", 1 - erf(c("z") / float(np.sqrt(2)))).drop("ties")
+    return found.withColumn("z", F.when(sd > 0, far / sd)).withColumn("p", erfc(c("z") / float(np.sqrt(2)))).drop("ties")

@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mesostate.storage import checkpoint
+
 
 def on_grid(found: DataFrame, by: list[str], state: str = "state", *zero: str) -> DataFrame:
     """``found`` (one row a group and state) with a row for each state in each group; ``zero`` columns are 0 there, others null.
 
-    The states are one array in one row, as there are a handful of them.
+    ``found`` is checkpointed, as its groups, its states and its rows are all needed.  The states are one array in one row, as
+    there are a handful of them.
     """
+    found = checkpoint(found)
     names = found.agg(F.array_sort(F.collect_set(state)).alias("_states"))
     grid = found.select(*by).distinct().crossJoin(F.broadcast(names)).select(*by, F.explode("_states").alias(state))  # one row
     return grid.join(found, [*by, state], "left").na.fill(0, list(zero))
@@ -55,18 +59,43 @@ def runs(path: DataFrame, scope: list[str], order: list[str], state: str = "stat
     return path.withColumn("_new", changed).withColumn("run", F.sum("_new").over(w)).groupBy(*scope, "run", state).agg(F.count(F.lit(1)).alias("length"))
 
 
+def runs_occupancy(run_table: DataFrame, scope: list[str], state: str = "state") -> DataFrame:
+    """``occupancy`` from runs (``scope, run, state, length``) instead of the path."""
+    counts = on_grid(run_table.groupBy(*scope, state).agg(F.sum("length").alias("count")), scope, state, "count")
+    return counts.select(*scope, state, (F.col("count") / F.sum("count").over(Window.partitionBy(*scope))).alias("fo"))
+
+
+def runs_matrix(run_table: DataFrame, scope: list[str], state: str = "state") -> DataFrame:
+    """``transition_matrix`` from runs: a run stays for all its windows but one, and then goes to the state of the next."""
+    w = Window.partitionBy(*scope).orderBy("run")
+    cut = run_table.select(F.col(state).alias("i"), F.lead(state).over(w).alias("_next"), "length")
+    moves = F.inline(F.array(F.struct(F.col("i").alias("j"), (F.col("length") - 1).alias("n")), F.struct(F.col("_next").alias("j"), F.lit(1).cast("long").alias("n"))))
+    counts = cut.select("i", moves).where("j IS NOT NULL AND n > 0").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    return counts.select("i", "j", "n", (F.col("n") / F.sum("n").over(Window.partitionBy("i"))).alias("p"))
+
+
 def global_runs(path: DataFrame, session: str, order: list[str], state: str = "state") -> DataFrame:
     """``state, length`` of the runs of one path made of all sessions in their order: a run may go on in the next (ST8).
 
-    Runs are cut by session; only the first and last of each, two rows a session, are put in one order and joined.
+    Runs are cut by session; only the first and last of each, two rows a session, are joined across sessions.  Those lie in
+    range partitions, each of which learns how the one before it ends and how many runs open before it.
     """
     by = Window.partitionBy(session)
     cut = runs(path, [session], order, state).select(session, "run", state, "length", F.min("run").over(by).alias("_a"), F.max("run").over(by).alias("_b"))
+    cut = checkpoint(cut)
     inner = cut.where("run > _a AND run < _b").select(state, "length")
-    edge = cut.where("run = _a OR run = _b")
-    w = Window.orderBy(session, "run")  # two rows a session
-    goes_on = (F.lag(session).over(w) != F.col(session)) & (F.lag(state).over(w) == F.col(state))
-    joined = edge.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_g", F.sum("_new").over(w))
+    parts = int(path.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edge = checkpoint(cut.where("run = _a OR run = _b").repartitionByRange(parts, session).withColumn("_part", F.spark_partition_id()))
+    ends = edge.groupBy("_part").agg(F.max(F.struct(session, "run", state)).alias("_end"))
+    before = ends.select("_part", F.lag("_end").over(Window.orderBy("_part")).alias("_end"))  # a row a partition
+    here = Window.partitionBy("_part").orderBy(session, "run")
+    known = edge.join(F.broadcast(before), "_part")
+    last = F.coalesce(F.lag(F.struct(session, "run", state)).over(here), F.col("_end"))
+    goes_on = (last[session] != F.col(session)) & (last[state] == F.col(state))
+    opened = known.withColumn("_new", F.when(goes_on, 0).otherwise(1)).drop("_end")
+    total = opened.groupBy("_part").agg(F.sum("_new").alias("_n"))
+    base = total.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))  # a row a partition
+    joined = opened.withColumn("_g", F.sum("_new").over(here)).join(F.broadcast(base), "_part").withColumn("_g", F.col("_g") + F.col("_base"))
     return joined.groupBy("_g", state).agg(F.sum("length").alias("length")).select(state, "length").unionByName(inner)
 
 
@@ -137,12 +166,14 @@ def evoked(path: DataFrame, trial: list[str], position: str, keys: list[list[str
 
     A key that a set leaves out is null; a state that no trial shows at a position is 0.
     """
-    lengths = path.groupBy(*trial).agg(F.count(F.lit(1)).alias("_n"))
-    modal = lengths.groupBy("_n").count().orderBy(F.desc("count"), F.desc("_n")).limit(1).select("_n")
-    kept = path.join(lengths.join(F.broadcast(modal), "_n"), trial)  # one row
     columns = list(dict.fromkeys(c for k in keys for c in k))
+    needed = path.select(*columns, position, state, F.count(F.lit(1)).over(Window.partitionBy(*trial)).alias("_n"))
+    known = needed.groupBy("_n", *columns, position, state).agg(F.count(F.lit(1)).alias("_k"))
+    known = checkpoint(known)  # a row a length, key, position and state
+    modal = known.groupBy("_n").agg((F.sum("_k") / F.col("_n")).alias("count")).orderBy(F.desc("count"), F.desc("_n")).limit(1).select("_n")
+    kept = known.join(F.broadcast(modal), "_n")  # one row
     sets = [[*[F.col(c) for c in k], F.col(position), F.col(state)] for k in keys]
-    counts = kept.groupingSets(sets, *columns, position, state).agg(F.count(F.lit(1)).alias("count"))
+    counts = kept.groupingSets(sets, *columns, position, state).agg(F.sum("_k").alias("count"))
     coded = counts.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns})
     full = on_grid(coded, [*columns, position], state, "count")
     total = F.sum("count").over(Window.partitionBy(*columns, position))

@@ -13,7 +13,7 @@ from mesostate.operators import comparison, diagnostics, features, kernels, labe
 from mesostate.plans.catalogue import _A, _E, _M, _MATRIX, _P, _TR, ORDER, SCOPE, STEP_SEC, epochs, matrix, path, rounded, table, trials
 from mesostate.plans.extended import _K2, _PO, posterior
 from mesostate.sources import readers, writers
-from mesostate.storage import scratch
+from mesostate.storage import checkpoint, scratch
 
 ADULTS = ["BUI", "MAC"]
 EXCLUDED = ["búi1", "MÁC2"]
@@ -126,7 +126,7 @@ def decoded(s, d) -> DataFrame:
 
 
 def _state_table(s, d) -> DataFrame:
-    found = decoded(s, d)
+    found = checkpoint(decoded(s, d))
     table_ = statequality.state_table(found, states.runs(found, ["session"], ["vec_id"]), states.transition_matrix(found, ["session"], ["vec_id"]), 100.0)
     return rounded(table_, "fo_hard", "fo_soft", "self_trans", "dwell_analytic", "dwell_median", "dwell_mean", "dwell_p95", "confidence", "entropy", digits=5)
 
@@ -170,10 +170,11 @@ def _two(s, d) -> tuple[DataFrame, DataFrame]:
 
 
 def _summary(s, d, which) -> DataFrame:
-    p = which(s, d)
-    dwell = statequality.dwell_statistics(states.runs(p, SCOPE, ORDER), 100.0).select("state", F.col("mean").alias("dwell"))
-    sure = states.transition_matrix(p, SCOPE, ORDER).groupBy("i").agg(F.max("p").alias("p")).agg(F.avg("p"))
-    return comparison.experiment_summary(states.occupancy(p, SCOPE), dwell, sure, ABSORBING)
+    """From the runs of a path, which is read once."""
+    runs = checkpoint(states.runs(which(s, d), SCOPE, ORDER))
+    dwell = statequality.dwell_statistics(runs, 100.0).select("state", F.col("mean").alias("dwell"))
+    sure = states.runs_matrix(runs, SCOPE).groupBy("i").agg(F.max("p").alias("p")).agg(F.avg("p"))
+    return comparison.experiment_summary(checkpoint(states.runs_occupancy(runs, SCOPE)), dwell, sure, ABSORBING)
 
 
 def _leaderboard(s, d) -> DataFrame:
@@ -187,9 +188,9 @@ def _methods(s, d) -> DataFrame:
     return rounded(comparison.method_occupancy(both.join(groups, "session"), ["method", "cond", "grp", "state"]), "mean", "sem")
 
 
-def _absorbing_vectors(s, d) -> DataFrame:
+def _absorbing_vectors(s, d, found: DataFrame | None = None) -> DataFrame:
     """Sessions that the mixture gives over a fifth of their windows to one state."""
-    return statequality.absorbing(states.occupancy(decoded(s, d), ["session"]), 0.2)
+    return statequality.absorbing(states.occupancy(decoded(s, d) if found is None else found, ["session"]), 0.2)
 
 
 def _absorber_profile(s, d) -> DataFrame:
@@ -198,18 +199,18 @@ def _absorber_profile(s, d) -> DataFrame:
 
 
 def _absorber_table(s, d) -> DataFrame:
-    found, m = decoded(s, d), matrix(s, d)
+    found, m = checkpoint(decoded(s, d)), matrix(s, d)
     means = matrices.centroids(m, "session").withColumnRenamed("session", "state")
     p = found.select("session", F.posexplode("posterior").alias("state", "p"))
     moves = states.transitions(found, ["session"], ["vec_id"], STEP_SEC)
-    table_ = comparison.absorber_table(_absorbing_vectors(s, d), moves, comparison.centroid_distance(m, means, "session"), p, "session", 0.3)
+    table_ = comparison.absorber_table(_absorbing_vectors(s, d, found), moves, comparison.centroid_distance(m, means, "session"), p, "session", 0.3)
     return rounded(table_, "fo", "z_distance", "above", digits=4)
 
 
 def _health(s, d) -> DataFrame:
-    p = path(s, d)
-    fo = states.occupancy(p, SCOPE)
-    kept = statequality.attractors(states.transition_matrix(p, SCOPE, ORDER), 100.0).select("state", F.col("self").alias("self_trans"), F.col("dwell").alias("dwell_analytic"))
+    runs = checkpoint(states.runs(path(s, d), SCOPE, ORDER))
+    fo = checkpoint(states.runs_occupancy(runs, SCOPE))
+    kept = statequality.attractors(states.runs_matrix(runs, SCOPE), 100.0).select("state", F.col("self").alias("self_trans"), F.col("dwell").alias("dwell_analytic"))
     sessions = fo.groupBy("session").agg(F.max("fo").alias("m")).agg(F.count_if(F.col("m") > 0.33).alias("absorbing"), F.count_if(F.col("session") % 2 == 0).alias("go"), F.count_if(F.col("session") % 2 == 1).alias("nogo"))
     given = fo.groupBy("state").agg(F.avg("fo").alias("fo")).join(kept, "state").crossJoin(sessions)  # one row
     checks = statequality.health(given, F.lit(0.7), F.col("absorbing"), F.greatest("go", "nogo"), F.least("go", "nogo"))

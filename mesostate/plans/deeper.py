@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mesostate import streaming
-from mesostate.operators import clustering, comparison, complexity, lags, models, orderstats, stability, statequality, states
+from mesostate.operators import clustering, comparison, complexity, diagnostics, kernels, lags, matrices, models, orderstats, stability, statequality, states
 from mesostate.plans import extended
-from mesostate.plans.assembled import _scores
+from mesostate.plans.assembled import RATE, _scores
 from mesostate.plans.catalogue import _A, _E, _M, _P, _TR, ORDER, SCOPE, epochs, matrix, path, rounded, table, trials
-from mesostate.sources import recordings
+from mesostate.sources import recordings, writers
 from mesostate.storage import checkpoint, scratch
 
 SIDES = ("BUILDING", "MACHINERY")
@@ -129,7 +129,28 @@ def _text_epochs(s, d) -> DataFrame:
     return found.select(F.regexp_extract("file", "session=(-?[0-9]+)/", 1).cast("int").alias("session"), "trial", "channel", F.transform("samples", lambda v: F.round(v, 6)).alias("samples"))
 
 
+def _report(s, d) -> DataFrame:
+    """The whole report of each dimension (SNK15), from the registered diagnostics."""
+    q = extended.QUERIES
+    four = lambda df, *columns: df.withColumns({c: F.round(c, 4) + 0.0 for c in columns})
+    key = lambda df, *columns: df.select(F.col("dim").alias("feature"), *columns)
+    dims = matrix(s, d).select(F.col("dim").alias("feature")).distinct()
+    prior = F.element_at(F.array(*[F.lit(p) for p in PRIORS]), (F.col("feature") % len(PRIORS) + 1).cast("int"))
+    sections = {
+        "Metadata": dims.select("feature", prior.alias("suitability")),
+        "Distribution": key(four(matrices.distribution(matrix(s, d)), "mean", "sd", "skew", "kurt"), "mean", "sd", "skew", "kurt"),
+        "Temporal Smoothness": key(four(q["dg10_smoothness"](s, d).groupBy("dim").agg(F.avg("lag1").alias("lag1"), F.avg("ratio").alias("noise")), "lag1", "noise"), "lag1", "noise"),
+        "Stationarity": key(four(q["dg11_stationarity"](s, d).groupBy("dim").agg(F.avg("slope").alias("slope"), F.avg("shift").alias("shift")), "slope", "shift"), "slope", "shift"),
+        "Inter-Subject Variability": dims.crossJoin(four(q["dg21_between_sessions"](s, d), "fingerprint").select("fingerprint", F.col("label").alias("signature"))),  # one row
+        "HMM Compatibility": key(_priors(s, d), "suitability", "label", "warnings"),
+    }
+    strong = matrices.redundant(matrices.correlations(epochs(s, d), "samples"), 0.05).select("i", "j", F.round("r", 3).alias("r"))
+    pairs = strong.select(F.col("i").alias("feature"), F.col("j").alias("other"), "r").unionByName(strong.select(F.col("j").alias("feature"), F.col("i").alias("other"), "r"))
+    return writers.feature_report(dims, sections, pairs)
+
+
 QUERIES = {
+    "snk15_feature_report": _report,
     "m4_clusters": _clusters,
     "m4_restarts": _restarts,
     "m9_fitted_states": _fitted_states,
@@ -138,6 +159,7 @@ QUERIES = {
     "stream_sessions": _sessions,
     "stream_sessions_appended": _stream_sessions,
     "dg4_quantiles": _quantiles,
+    "qc4_welch_power": lambda s, d: rounded(diagnostics.band_power(epochs(s, d).select("vec_id", F.inline(kernels.welch("samples", RATE))), ["vec_id"], 8.0, 13.0), "power", digits=7),
     "dg12_kpss_auto": lambda s, d: rounded(lags.kpss_auto(matrix(s, d), ["session"], "row"), "kpss", "p", digits=5),
     "dg25_priors": _priors,
     "f14_sample_entropy": lambda s, d: rounded(epochs(s, d).select("vec_id", complexity.sample_entropy(F.col("samples")).alias("entropy")), "entropy", digits=6),
@@ -162,11 +184,35 @@ gp AS (SELECT b, {items}, avg(v) FILTER (lb.side) - avg(v) FILTER (NOT lb.side)
 te AS (SELECT {items}, t.gap AS effect, (count(*) FILTER (abs(g.gap) >= abs(t.gap) - 1e-12) + 1) / (count(g.gap) + 1)::DOUBLE AS p FROM gp g JOIN gp t USING ({items}) WHERE g.b > 0 AND t.b = 0 AND t.gap IS NOT NULL GROUP BY {items}, t.gap)"""
 
 
+_FOUR = "concat('- **{0}**: ', printf('%.4f', round({0}, 4) + 0.0::DOUBLE))"
+
+
+def _lines(*names: str) -> str:
+    return " || chr(10) || ".join(_FOUR.format(n) for n in names)
+
+
+_REPORT = f"""WITH {_M}, ds AS (SELECT DISTINCT dim FROM m), di AS (SELECT dim, avg(x) AS mean, stddev_pop(x) AS sd, skewness(x) AS skew, kurtosis(x) AS kurt FROM m GROUP BY dim),
+sm AS (SELECT dim, avg(lag1) AS lag1, avg(ratio) AS noise FROM ({extended.SQL['dg10_smoothness']}) GROUP BY dim), st AS (SELECT dim, avg(slope) AS slope, avg(shift) AS shift FROM ({extended.SQL['dg11_stationarity']}) GROUP BY dim),
+bt AS (SELECT fingerprint, label AS signature FROM ({extended.SQL['dg21_between_sessions']})), co AS (SELECT a.dim AS i, b.dim AS j, corr(a.x, b.x) AS r FROM m a JOIN m b ON a.row = b.row AND a.dim <> b.dim GROUP BY ALL),
+pa AS (SELECT i AS dim, string_agg('  - ' || i || ' ↔ ' || j || printf(' (corr=%.3f)', round(r, 3)), chr(10) ORDER BY -abs(round(r, 3)), j) AS pairs FROM co WHERE abs(r) >= 0.05 GROUP BY i)
+SELECT ds.dim AS feature, concat_ws(chr(10), '# Feature Diagnostic Report' || chr(10), '## ' || ds.dim || chr(10),
+'## Metadata' || chr(10) || chr(10) || '- **suitability**: ' || coalesce(['high', 'medium', 'low', NULL][ds.dim % 4 + 1], '-') || chr(10),
+'## Distribution' || chr(10) || chr(10) || {_lines("mean", "sd", "skew", "kurt")} || chr(10), '## Temporal Smoothness' || chr(10) || chr(10) || {_lines("lag1", "noise")} || chr(10),
+'## Stationarity' || chr(10) || chr(10) || {_lines("slope", "shift")} || chr(10), '## Redundancy' || chr(10) || chr(10) || coalesce('- **redundant_pairs**:' || chr(10) || pairs, '- **redundant_pairs**: -') || chr(10),
+'## Inter-Subject Variability' || chr(10) || chr(10) || {_lines("fingerprint")} || chr(10) || '- **signature**: ' || signature || chr(10),
+'## HMM Compatibility' || chr(10) || chr(10) || {_lines("suitability")} || chr(10) || '- **label**: ' || hm.label || chr(10) || '- **warnings**: ' || hm.warnings || chr(10)) AS report
+FROM ds JOIN di USING (dim) JOIN sm USING (dim) JOIN st USING (dim) CROSS JOIN bt LEFT JOIN pa USING (dim) JOIN hm USING (dim)"""
+
+
 SQL = {
     # a session is what a gap of over so many hours ends; a stream gives out those that the watermark has passed
     "stream_sessions": f"{_SESSIONS} {_SESSION_ROWS}",
     "stream_sessions_appended": f"{_SESSIONS} {_SESSION_ROWS} WHERE b + INTERVAL {GAP_HOURS} HOUR <= (SELECT max(ts) FROM p) - INTERVAL 1 HOUR",
     "dg4_quantiles": f"WITH {_M} SELECT session, dim, round(quantile_cont(x, 0.05), 6) AS p05, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.75), 6) AS p75, round(quantile_cont(x, 0.95), 6) AS p95 FROM m GROUP BY session, dim",
+    # the spectrum of one window with a raised cosine over all samples, at whole Hertz
+    "qc4_welch_power": f"""WITH {_M}, cd AS (SELECT row, dim AS t, (x - avg(x) OVER (PARTITION BY row)) * (0.5 - 0.5 * cos(2 * pi() * dim / 64)) AS w FROM m),
+cs AS (SELECT row, k, sum(w * cos(2 * pi() * k * t / 64)) AS c, sum(w * sin(2 * pi() * k * t / 64)) AS s FROM cd CROSS JOIN (SELECT unnest(range(8, 14)) AS k) GROUP BY row, k),
+ps AS (SELECT row, k, 2 * (c * c + s * s) / ({RATE} * 24) AS p FROM cs) SELECT a.row AS vec_id, round(sum((a.p + b.p) / 2), 7) AS power FROM ps a JOIN ps b ON a.row = b.row AND b.k = a.k + 1 GROUP BY a.row""",
     "dg12_kpss_auto": f"""WITH {_M}, q AS (SELECT session, dim, row_number() OVER w AS t, count(*) OVER (PARTITION BY session, dim) AS n, x - avg(x) OVER (PARTITION BY session, dim) AS e FROM m WINDOW w AS (PARTITION BY session, dim ORDER BY row)),
 c AS MATERIALIZED (SELECT *, sum(e) OVER (PARTITION BY session, dim ORDER BY t) AS s FROM q), v AS (SELECT session, dim, any_value(n) AS n, sum(e * e) AS sq, sum(s * s) AS pt FROM c GROUP BY ALL),
 r AS MATERIALIZED (SELECT a.session, a.dim, b.t - a.t AS k, sum(a.e * b.e) AS r FROM c a JOIN c b ON a.session = b.session AND a.dim = b.dim AND b.t > a.t GROUP BY ALL),
@@ -193,3 +239,6 @@ SELECT i, j, round(effect, 5) AS effect, round(p, 5) AS p, round(least(1.0::DOUB
     "src2_epochs": """WITH q AS (SELECT label AS session, embedding AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS step FROM embeddings), c AS (SELECT session, step // 5 AS trial, step, unnest(['Fz', 'Cz', 'Pz']) AS channel, unnest([e[1], e[2], e[3]])::DOUBLE AS x FROM q)
 SELECT session, trial, channel, list(round(x, 6) ORDER BY step) AS samples FROM c GROUP BY session, trial, channel HAVING count(*) = 5""",
 }
+
+# the report reads the suitability of the query before it
+SQL["snk15_feature_report"] = _REPORT.replace("SELECT ds.dim AS feature", f", hm AS ({SQL['dg25_priors']}) SELECT ds.dim AS feature", 1)

@@ -112,3 +112,37 @@ def markdown(df: DataFrame, title: Column, sections: dict[str, list[str]], into:
     for section, names in sections.items():
         parts += [F.lit(f"\n## {section}\n"), *[line(n) for n in names]]
     return df.withColumn(into, F.concat_ws("\n", *parts))
+
+
+#: Sections of a feature's report, in their order.
+SECTIONS = ("Metadata", "Distribution", "Temporal Smoothness", "Stationarity", "Redundancy", "Inter-Subject Variability", "HMM Compatibility")
+
+
+def feature_report(features: DataFrame, sections: dict[str, DataFrame], pairs: DataFrame | None = None, key: str = "feature", into: str = "report") -> DataFrame:
+    """``key, report``: the whole report of each feature in Markdown (SNK15).
+
+    ``sections`` has a table with a row a feature for each heading of ``SECTIONS`` that is to be shown; ``pairs`` (``key,
+    other, r``) are listed under Redundancy, strongest first.  Numbers have four digits; what is null shows as a dash.
+    """
+    if unknown := set(sections) - set(SECTIONS):
+        raise ValueError(f"unknown sections {sorted(unknown)}")
+    parts: list[Column] = [F.lit("# Feature Diagnostic Report\n"), F.concat(F.lit("## "), F.col(key).cast("string"), F.lit("\n"))]
+    found = features.select(key)
+    for heading in SECTIONS:
+        if heading not in sections and not (heading == "Redundancy" and pairs is not None):
+            continue
+        lines = []
+        if heading in sections:
+            table = sections[heading]
+            names = [c for c in table.columns if c != key]
+            text = lambda t, c: F.format_string("%.4f", F.col(c)) if t.schema[c].dataType.typeName() in ("double", "float") else F.array_join(c, ", ") if t.schema[c].dataType.typeName() == "array" else F.col(c).cast("string")
+            own = table.select(key, F.concat_ws("\n", *[F.concat(F.lit(f"- **{c}**: "), F.coalesce(F.when(F.col(c).isNotNull(), text(table, c)), F.lit("-"))) for c in names]).alias(f"_{heading}"))
+            found = found.join(own, key, "left")
+            lines.append(F.col(f"_{heading}"))
+        if heading == "Redundancy" and pairs is not None:
+            line = F.concat(F.lit("  - "), F.col(key).cast("string"), F.lit(" ↔ "), F.col("other").cast("string"), F.format_string(" (corr=%.3f)", F.col("r")))
+            listed = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.abs("r")).alias("a"), "other", line.alias("line")))).alias("w"))  # features at most
+            found = found.join(listed.select(key, F.concat_ws("\n", F.lit("- **redundant_pairs**:"), F.array_join(F.col("w.line"), "\n")).alias("_pairs")), key, "left")
+            lines.append(F.coalesce("_pairs", F.lit("- **redundant_pairs**: -")))
+        parts.append(F.concat(F.lit(f"## {heading}\n\n"), F.concat_ws("\n", *lines), F.lit("\n")))
+    return found.select(key, F.concat_ws("\n", *parts).alias(into))

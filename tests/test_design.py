@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mesostate.operators import complexity, stability
-from mesostate.sources import recordings
+from mesostate.operators import complexity, matrices, stability, states
+from mesostate.sources import recordings, writers
 
 
 def plain_alike(x, m, r):
@@ -153,3 +153,55 @@ def test_lines_of_a_file_of_many_splits(spark, tmp_path):
     finally:
         for k in conf:
             spark.conf.unset(k)
+
+
+def test_small_probabilities_keep_their_digits(spark):
+    from math import erf, erfc
+
+    x = [-4.0, -2.5, -0.3, 0.0, 0.7, 2.0, 2.99, 3.01, 5.0, 9.0, 20.0]
+    found = spark.createDataFrame([(v,) for v in x], "x double").select("x", matrices.erfc(F.col("x")).alias("c"), matrices.erf(F.col("x")).alias("e")).collect()
+    for r in found:
+        assert r["c"] == pytest.approx(erfc(r["x"]), rel=1e-7) and r["e"] == pytest.approx(erf(r["x"]), abs=1e-10)
+
+
+def random_path(spark, seed=5):
+    rng = np.random.default_rng(seed)
+    return spark.createDataFrame([(int(s), t, int(v)) for s in range(40) for t, v in enumerate(rng.integers(0, 2, rng.integers(1, 9)))], "s int, t int, state int").repartition(6)
+
+
+def test_figures_from_runs_are_those_of_the_path(spark):
+    path = random_path(spark)
+    runs = states.runs(path, ["s"], ["t"])
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(states.runs_occupancy(runs, ["s"]), states.occupancy(path, ["s"]))
+    assert same(states.runs_matrix(runs, ["s"]), states.transition_matrix(path, ["s"], ["t"]))
+
+
+@pytest.mark.parametrize("parts", [1, 4, 30])
+def test_runs_go_on_over_sessions_and_tasks(spark, parts):
+    path = random_path(spark)
+    whole = [r["state"] for r in path.orderBy("s", "t").collect()]
+    want, at = [], 0
+    for k in range(1, len(whole) + 1):
+        if k == len(whole) or whole[k] != whole[at]:
+            want.append((whole[at], k - at))
+            at = k
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert sorted(map(tuple, states.global_runs(path, "s", ["t"]).select("state", "length").collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_report_of_some_sections(spark):
+    features = spark.createDataFrame([("a",), ("b",)], "feature string")
+    meta = spark.createDataFrame([("a", "high", ["b", "c"]), ("b", None, [])], "feature string, suitability string, redundant_with array<string>")
+    shape = spark.createDataFrame([("a", 1.23456)], "feature string, mean double")
+    pairs = spark.createDataFrame([("a", "b", -0.9)], "feature string, other string, r double")
+    found = {r["feature"]: r["report"] for r in writers.feature_report(features, {"Metadata": meta, "Distribution": shape}, pairs).collect()}
+    head = "# Feature Diagnostic Report\n\n## a\n\n## Metadata\n\n- **suitability**: high\n- **redundant_with**: b, c\n\n"
+    assert found["a"] == head + "## Distribution\n\n- **mean**: 1.2346\n\n## Redundancy\n\n- **redundant_pairs**:\n  - a ↔ b (corr=-0.900)\n"
+    assert "- **suitability**: -" in found["b"] and "- **redundant_pairs**: -" in found["b"]
+    with pytest.raises(ValueError):
+        writers.feature_report(features, {"Other": shape})
