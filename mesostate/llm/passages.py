@@ -49,6 +49,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mesostate.llm.common import MOST_BROADCAST, checkpoint, drop, read, stored
+from mesostate.llm.parsing import blocks
 from mesostate.llm.textops import buffers, mix, ragged, range_hashes, runs, shingle_hashes, word_spans
 
 SHINGLE = 5
@@ -56,8 +57,9 @@ LENGTH = 46
 HASHES = 6
 AGREE = 2
 LEAST = 0.8
-#: Codes of places, and documents that have them, four codes each, that a broadcast may have (12 MB).
-MOST_CODES = 3_000_000
+#: Documents of a run of texts from which on a value counts as common; kinds of rows of common values.
+COMMON = 3
+SHARED, STANDS = 1, 2
 
 _MASKS = mix(np.arange(101, 101 + HASHES, dtype=np.uint64))
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -105,8 +107,12 @@ def text_shingles(column: pa.Array) -> list[np.ndarray]:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """``key, doc_id, w`` of all compact windows of ``docs(doc_id, text)``; ``w`` packs position, runs and hash function."""
-    kinds = "key long, doc_id long, w long"
+    """``route, key, doc_id, w, kind`` of all compact windows of ``docs(doc_id, text)``; ``w`` packs position, runs and hash function.
+
+    Windows whose value ``COMMON`` documents of a run of texts or more have are ``SHARED`` and go anywhere; one row that only ``STANDS``
+    for the value goes to where the value's windows of other runs meet, so a common value has few rows a run there.
+    """
+    kinds = "route long, key long, doc_id long, w long, kind int"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,11 +136,47 @@ def windows(docs: DataFrame) -> DataFrame:
                     c, a, b = compact_windows(values, run_text)
                     if len(c):
                         own = text[c]
-                        yield pa.RecordBatch.from_arrays([pa.array(values[c].view(np.int64)), pa.array(ids[own]), pa.array(packed(c - first[own], c - a, b - a, k))], ["key", "doc_id", "w"])
+                        key, doc = values[c].view(np.int64), ids[own]
+                        codes, names = pd.factorize(key)
+                        holders = np.bincount(np.unique(codes * np.int64(len(ids)) + own) // len(ids), minlength=len(names))
+                        many = holders[codes] >= COMMON
+                        stands = names[holders >= COMMON]
+                        none = np.zeros(len(stands), np.int64)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.append(np.where(many, mix(key.view(np.uint64) ^ mix(doc.view(np.uint64))).view(np.int64), key), stands)), pa.array(np.append(key, stands)), pa.array(np.append(doc, none)),
+                             pa.array(np.append(packed(c - first[own], c - a, b - a, k), none)), pa.array(np.append(np.where(many, SHARED, 0), none + STANDS).astype(np.int32))],
+                            ["route", "key", "doc_id", "w", "kind"],
+                        )
 
     return docs.select("doc_id", "text").mapInArrow(cut, kinds)
 
 
+def held_by_several(cut: DataFrame) -> DataFrame:
+    """``key, doc_id, w, partner`` of the windows whose value several documents have; ``partner`` is the other one of two.
+
+    Windows are moved once, to where those of their value meet, and are looked at in order.
+    """
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "route"):
+            route, key, doc, w, kind = (block.column(x).to_numpy() for x in ("route", "key", "doc_id", "w", "kind"))
+            order = np.lexsort((doc, kind == STANDS, route))
+            route, key, doc, w, kind = route[order], key[order], doc[order], w[order], kind[order]
+            group = np.cumsum(np.append(False, route[1:] != route[:-1]))
+            plain = kind == 0
+            new = plain & np.append(True, (group[1:] != group[:-1]) | (doc[1:] != doc[:-1]) | ~plain[:-1])
+            holders = np.bincount(group, new)
+            common = np.bincount(group, kind == STANDS) > 0
+            keep = (kind == SHARED) | (plain & ((holders[group] > 1) | common[group]))
+            ends = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+            least, last = doc[ends[:-1]], np.maximum.reduceat(np.where(plain, doc, np.iinfo(np.int64).min), ends[:-1])
+            two = plain & (holders[group] == 2) & ~common[group]
+            partner = np.where(doc == least[group], last[group], least[group])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(doc[keep]), pa.array(w[keep]), pa.array(partner[keep], pa.int64(), mask=~two[keep])], ["key", "doc_id", "w", "partner"])
+
+    return cut.repartition("route").sortWithinPartitions("route").mapInArrow(choose, "key long, doc_id long, w long, partner long")
+
+
 def packed(c: np.ndarray, back: np.ndarray, length: np.ndarray, k: int) -> np.ndarray:
     return (c << 15) | (back << 9) | (length << 3) | k
 
@@ -217,8 +259,6 @@ def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         [pa.array(np.concatenate(ids)), pa.array(np.concatenate(codes).astype(np.int32)), pa.array(np.concatenate(starts).astype(np.int32)), lists], ["doc_id", "code", "first", "around"]
                     )
 
-    few = wanted.agg(F.sum(F.size("at") + 4)).first()[0] or 0
-    wanted = F.broadcast(wanted) if few <= MOST_CODES else wanted
     return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(cut, "doc_id long, code int, first int, around array<int>")
 
 
@@ -393,11 +433,7 @@ def release(spark: SparkSession) -> None:
 
 
 def beside(pairs: DataFrame, around: DataFrame, wide: int) -> DataFrame:
-    """``pairs`` with the surroundings of both sides, ``own`` and the leader's, the wide ones or not.
-
-    While there are few pairs they are broadcast, and only surroundings that they name are moved.
-    """
-    pairs = small_side(pairs, MOST_BROADCAST // 4)
+    """``pairs`` with the surroundings of both sides, ``own`` and the leader's, the wide ones or not."""
     side = lambda odd: around.where(f"code % 2 = {odd}")
     block = F.expr("code div 2").cast("int")
     own = side(0).select("doc_id", block.alias("block"), "first", "around")
@@ -426,12 +462,8 @@ def find(docs: DataFrame) -> DataFrame:
     copies = checkpoint(equal_texts(docs))
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("u"))
     distinct = marked.join(small_side(copies.select("doc_id", "u"), MOST_BROADCAST), ["doc_id", "u"], "left_anti").drop("u")
-    cut = windows(distinct)
-    shared = cut.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("least != last")
-    partner = F.when(F.col("n") == 2, F.when(F.col("doc_id") == F.col("least"), F.col("last")).otherwise(F.col("least")))
     spark = docs.sparkSession
-    held, held_at = stored(agreeing(cut.join(shared, "key").select("key", "doc_id", "w", partner.alias("partner"))), "op4-held")
-    del cut, shared
+    held, held_at = stored(agreeing(held_by_several(windows(distinct))), "op4-held")
     release(spark)
     placed = held.withColumns({"block": F.floor(F.col("c") / LENGTH).cast("int"), "rest": F.lit(None).cast("binary")})
     pairs, pairs_at = stored(led(placed, F.sum("one")), "op4-pairs")
