@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mesostate.llm import bpe, decontamination, langid, passages, pii, pretokens, quality, records, sharding, simhash
+from mesostate.llm import bpe, decontamination, langid, licenses, passages, pii, pretokens, quality, records, sharding, simhash
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -515,3 +515,31 @@ def test_long_pre_tokens_cost_no_more_a_byte():
         took[size] = time.perf_counter() - began
         assert found[0] == ordinary().encode_ordinary(words[0].decode())
     assert took[1000] < 3 * took[30] + 0.5
+
+
+def test_licenses_of_least_containment_are_found(spark):
+    """Notices of which 0.8 of the shingles are left, among other words: at least 0.98 are found."""
+    r = random.Random(12)
+    rows, kept = [], []
+    for name, text in sorted(licenses.TEMPLATES.items()):
+        words = licenses.template_words(text)
+        total = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        for _ in range(30):
+            own = list(words)
+            for k in r.sample(range(len(own)), len(own)):
+                changed = [*own[:k], f"zz{r.randint(0, 999)}", *own[k + 1 :]]
+                if len(total & {tuple(changed[j : j + 5]) for j in range(len(changed) - 4)}) < 0.8 * len(total):
+                    break
+                own = changed
+            noise = lambda n: " ".join(f"q{r.randint(0, 9999)}" for _ in range(n))
+            rows.append((len(rows), f"{noise(r.randint(0, 60))} {' '.join(own)} {noise(r.randint(0, 60))}"))
+            kept.append(name)
+    found = {x["doc_id"]: x["licenses"] for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(name in found[k] for k, name in enumerate(kept)) >= 0.98 * len(kept)
+
+
+def test_a_column_of_licenses_is_replaced(spark):
+    text = next(iter(licenses.TEMPLATES.values()))
+    df = spark.createDataFrame([(1, text, "mine"), (2, None, None)], "doc_id long, text string, licenses string")
+    found = licenses.scan(df).orderBy("doc_id").collect()
+    assert len(found[0]["licenses"]) >= 1 and found[1]["licenses"] == []
