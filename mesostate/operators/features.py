@@ -149,7 +149,7 @@ def finite(value: Column) -> Column:
 
 
 def with_envelopes(df: DataFrame, rate: float, theta_log: str = "log1p", samples: str = "samples", into: str = "env") -> DataFrame:
-    """``df`` with a struct of all band envelopes, each made once (F11).  ``theta_log`` ``floor`` keeps the older form of theta."""
+    """``df`` with a struct of all band envelopes, each made once (F11).  ``theta_log`` ``floor`` gives theta its own filter ends and logarithm."""
     found = [kernels.envelope(samples, rate, lo, hi, theta_log if b == "theta" else "log1p").alias(b) for b, (lo, hi) in BANDS.items()]
     return df.select("*", *[f.alias(f"_{b}") for f, b in zip(found, BANDS, strict=True)]).withColumn(into, F.struct(*[finite(F.col(f"_{b}")).alias(b) for b in BANDS])).drop(*[f"_{b}" for b in BANDS])
 

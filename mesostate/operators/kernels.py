@@ -53,11 +53,39 @@ def _odd(x: np.ndarray, n: int) -> np.ndarray:
     return np.hstack([2 * x[:, :1] - x[:, n:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -n - 2 : -1]])
 
 
-def both_ways(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The filter forwards and backwards, so without a phase shift."""
-    pad = 3 * len(a)
-    if x.shape[1] <= pad:
-        raise ValueError(f"signals of {x.shape[1]} samples are too short, over {pad} are needed")
+def ringing(b: np.ndarray, a: np.ndarray, most: int = 100_000) -> int:
+    """Samples until the response to one impulse stays under a thousandth of its greatest value, looked at a thousand at a time."""
+    x, turn = np.zeros((1, 1000)), np.eye(len(a) - 1, k=1)
+    turn[:, 0] -= a[1:]
+    feed, state, x[0, 0] = b[1:] - a[1:] * b[0], np.zeros(len(a) - 1), 1.0
+    least, last = 0.0, 1000
+    for start in range(0, most, 1000):
+        y = np.empty(1000)
+        for t, v in enumerate(x[0]):
+            y[t] = state[0] + b[0] * v
+            state = state @ turn.T + v * feed
+        x[0, 0] = 0.0
+        least = max(least, 0.001 * np.abs(y).max())
+        loud = np.flatnonzero(np.abs(y) > least)
+        if not len(loud):
+            return start - 1000 + last
+        last = int(loud[-1])
+    return most
+
+
+def both_ways(b: np.ndarray, a: np.ndarray, x: np.ndarray, pad: int | None = None) -> np.ndarray:
+    """The filter forwards and backwards, so without a phase shift.
+
+    Signals are continued by ``pad`` values or as far as they reach; by default by three values a coefficient, and shorter ones
+    raise an error.
+    """
+    if pad is None:
+        pad = 3 * len(a)
+        if x.shape[1] <= pad:
+            raise ValueError(f"signals of {x.shape[1]} samples are too short, over {pad} are needed")
+    pad = min(pad, x.shape[1] - 1)
+    if pad < 1:
+        return _run(b, a, _run(b, a, x)[:, ::-1])[:, ::-1]
     y = _run(b, a, _odd(x, pad))
     return _run(b, a, y[:, ::-1])[:, ::-1][:, pad:-pad]
 
@@ -74,11 +102,12 @@ def magnitude(x: np.ndarray) -> np.ndarray:
 
 
 def envelope(samples: Column | str, fs: float, lo: float, hi: float, log: str = "log1p") -> Column:
-    """Mean envelope of a band, as ``log1p(p)`` or, with ``log='floor'``, ``ln(p + 1e-12)``."""
+    """Mean envelope of a band: ``log1p(p)`` (F4, F5) or, with ``log='floor'``, ``ln(p + 1e-12)`` of a filter whose ends reach as far as it rings."""
     b, a = band_pass(fs, lo, hi)
+    pad = None if log == "log1p" else ringing(b, a)
 
     def work(x: np.ndarray) -> np.ndarray:
-        power = magnitude(both_ways(b, a, x)).mean(axis=1)
+        power = magnitude(both_ways(b, a, x, pad)).mean(axis=1)
         return np.log1p(power) if log == "log1p" else np.log(power + 1e-12)
 
     @F.pandas_udf("double")

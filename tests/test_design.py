@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mesostate.operators import complexity, matrices, stability, states
+from mesostate.operators import complexity, kernels, matrices, stability, states
 from mesostate.sources import recordings, writers
 
 
@@ -205,3 +205,19 @@ def test_a_report_of_some_sections(spark):
     assert "- **suitability**: -" in found["b"] and "- **redundant_pairs**: -" in found["b"]
     with pytest.raises(ValueError):
         writers.feature_report(features, {"Other": shape})
+
+
+def test_ends_reach_as_far_as_the_filter_rings(spark):
+    b, a = kernels.band_pass(250.0, 4.0, 8.0)
+    reach = kernels.ringing(b, a)
+    impulse = np.zeros((1, 5000))
+    impulse[0, 1000] = 1.0
+    h = np.abs(kernels._run(b, a, impulse)[0, 1000:])
+    assert (h[reach + 1 : 3000] <= 0.001 * h.max() * (1 + 1e-9)).all() and h[reach] > 0.001 * h.max()
+    x = np.sin(2 * np.pi * 6 * np.arange(300) / 250.0)
+    longer = np.concatenate([2 * x[0] - x[299:0:-1], x, 2 * x[-1] - x[-2:-301:-1]])[None]
+    want = kernels._run(b, a, kernels._run(b, a, longer)[:, ::-1])[:, ::-1][:, 299:-299]
+    assert reach > 299 and np.allclose(kernels.both_ways(b, a, x[None], reach), want)
+    found = spark.createDataFrame([(x.tolist(),), ([1.0],), ([0.5, 1.0, 0.2],)], "s array<double>").select(kernels.envelope(F.col("s"), 250.0, 4.0, 8.0, "floor").alias("e")).collect()
+    assert found[0]["e"] == pytest.approx(np.log(kernels.magnitude(want).mean() + 1e-12)) and all(np.isfinite(r["e"]) for r in found)
+    assert abs(np.exp(found[0]["e"]) - 1) < 0.2  # a wave of 6 Hz passes
