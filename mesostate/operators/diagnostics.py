@@ -97,7 +97,8 @@ KPSS_AT = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
 def kpss(long: DataFrame, scope: list[str], order: str, lags: int | None = None) -> DataFrame:
     """Level stationarity of each dimension within ``scope``: statistic and its probability between 0.01 and 0.10 (DG12).
 
-    The long-run variance has Bartlett weights over ``lags`` lags, by default a fixed power of the length.
+    The long-run variance has Bartlett weights over ``lags`` lags, by default a fixed power of the length.  A series is one
+    array in one task; ``lags.kpss_auto`` cuts long ones into chunks and lets them determine the lags.
     """
     w = Window.partitionBy(*scope, "dim")
     centred = long.select(*scope, "dim", F.col(order).alias("o"), (F.col("x") - F.avg("x").over(w)).alias("e"))

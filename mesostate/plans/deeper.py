@@ -81,6 +81,22 @@ def _stream_sessions(s, d) -> DataFrame:
     return found.select("session", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", *[f"n_{k}" for k in extended.EVENT_TYPES])
 
 
+def _stream_filter(s, d) -> DataFrame:
+    """Probabilities of two states of the events' values, each given once its row has come, by a model that is fitted on the table."""
+    name, out = "spark.sql.streaming.stateStore.providerClass", scratch(s, "filtered")
+    columns = [F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), F.array("value").alias("x")]
+    known = table(s, d, "events")
+    fitted = models.fit_hmm(known.where("value IS NOT NULL").select(*columns), ["session"], "ts", 2, n_iter=10)
+    before = s.conf.get(name)
+    s.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        events = s.readStream.schema(known.schema).parquet(f"{d}/events*.parquet")
+        streaming.appended(streaming.online_filter(events.where("value IS NOT NULL").select(*columns), fitted, "session", "ts", "1 day", 10**12), out, scratch(s, "filter-state"))
+    finally:
+        s.conf.set(name, before)
+    return s.read.parquet(out)
+
+
 def _quantiles(s, d) -> DataFrame:
     found = orderstats.quantiles(matrix(s, d), ["session", "dim"], "x", {"p05": 0.05, "p25": 0.25, "p75": 0.75, "p95": 0.95})
     return rounded(found, "p05", "p25", "p75", "p95")
@@ -156,6 +172,7 @@ QUERIES = {
     "m9_fitted_states": _fitted_states,
     "m10_bic": _criteria,
     "m6_filter": _filter,
+    "stream_filter": _stream_filter,
     "stream_sessions": _sessions,
     "stream_sessions_appended": _stream_sessions,
     "dg4_quantiles": _quantiles,

@@ -99,3 +99,16 @@ def test_filter_against_smoothing(spark):
         assert np.allclose(ahead[t], model().forward_backward(obs[: t + 1])[1][-1])
     split = streaming.filtering.forward(model(), obs[4:], ahead[3])
     assert np.allclose(split, ahead[4:])
+
+
+def test_the_registered_stream_is_the_batch_filter(spark):
+    from pyspark.sql import functions as F
+
+    from mesostate.plans import deeper
+
+    d = "/root/testdata/sf0.001"
+    found = deeper.QUERIES["stream_filter"](spark, d).toPandas().sort_values(["session", "ts"])
+    rows = spark.read.parquet(f"{d}/events.parquet").where("value IS NOT NULL").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), F.array("value").alias("x"))
+    fitted = models.fit_hmm(rows, ["session"], "ts", 2, n_iter=10)
+    want = streaming.filtered(rows, fitted, "session", "ts").toPandas().sort_values(["session", "ts"])
+    assert len(found) == len(want) > 0 and np.allclose(np.stack(found["p"]), np.stack(want["p"]), atol=1e-6)
