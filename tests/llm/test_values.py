@@ -543,3 +543,20 @@ def test_a_column_of_licenses_is_replaced(spark):
     df = spark.createDataFrame([(1, text, "mine"), (2, None, None)], "doc_id long, text string, licenses string")
     found = licenses.scan(df).orderBy("doc_id").collect()
     assert len(found[0]["licenses"]) >= 1 and found[1]["licenses"] == []
+
+
+def test_repeated_lines_do_not_pair_all_places(spark):
+    """Texts that repeat one line among fresh words: no pairs, however often it stands there; shared passages about it are found."""
+    r = random.Random(13)
+    line = " ".join(f"line{k}" for k in range(20))
+    fresh = lambda n: " ".join(f"f{r.randint(0, 10**7)}" for _ in range(n))
+    texts = [" ".join(f"{line} {fresh(20)}" for _ in range(100)) for _ in range(20)]
+    passage = f"{fresh(20)} {line} {fresh(30)}"
+    texts[3], texts[7] = f"{texts[3]} {passage} {fresh(30)}", f"{fresh(9)} {passage} {texts[7]}"
+    texts += [" ".join([line] * 12), f"{fresh(40)} {' '.join([line] * 15)} {fresh(9)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    held = passages.agreeing(passages.held_by_several(passages.windows(df)))
+    placed = held.withColumns({"block": F.floor(F.col("c") / passages.LENGTH).cast("int"), "rest": F.lit(None).cast("binary")})
+    assert passages.led(placed, F.sum("one")).count() < 2000
+    found = {(x["doc_id"], x["rep_doc_id"]) for x in passages.find(df).collect()}
+    assert {(7, 3), (21, 20)} <= found and all(p in ((7, 3), (21, 20)) for p in found)
