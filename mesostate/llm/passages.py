@@ -10,6 +10,10 @@ of a batch at once.  All passages inside a window that hold ``c`` share the
 signature value of ``c``, so about ``2 n / LENGTH`` windows stand for all passages
 of a text of ``n``.
 
+Shingles that a text has ``OFTEN`` times or more come after all others in the
+order of minima, so a line that a text repeats among other words does not stand for
+those words; a run of nothing else is found by them all the same.
+
 Documents with equal texts are one before the search (the least id).  A window is
 searched if its value is held by several documents and an interval join finds a
 window of another hash function (``AGREE`` = 2), also shared, that stands for a
@@ -57,6 +61,8 @@ LENGTH = 46
 HASHES = 6
 AGREE = 2
 LEAST = 0.8
+#: Occurrences of a shingle in one text from which on it is a run's minimum only if the run has no other.
+OFTEN = 8
 #: Documents of a run of texts from which on a value counts as common; kinds of rows of common values.
 COMMON = 3
 SHARED, STANDS = 1, 2
@@ -131,9 +137,11 @@ def windows(docs: DataFrame) -> DataFrame:
                 content = mix(sums[LENGTH:] - sums[:-LENGTH]) ^ mix(run_text.view(np.uint64))
                 run_text[pd.Series(content).duplicated().to_numpy()] = -1
                 ids = np.asarray(run.column("doc_id"), np.int64)
+                own_codes = pd.factorize(mix(shingles ^ mix(text.view(np.uint64))))[0]
+                often = (np.bincount(own_codes) >= OFTEN)[own_codes].astype(np.uint64) << np.uint64(63)
                 for k, mask in enumerate(_MASKS):
-                    values = mix(shingles ^ mask)
-                    c, a, b = compact_windows(values, run_text)
+                    values = mix(shingles ^ mask) >> np.uint64(1)
+                    c, a, b = compact_windows(values | often, run_text)
                     if len(c):
                         own = text[c]
                         key, doc = values[c].view(np.int64), ids[own]
