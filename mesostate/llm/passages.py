@@ -270,30 +270,33 @@ def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(cut, "doc_id long, code int, first int, around array<int>")
 
 
-def unmet(own: np.ndarray, good: np.ndarray, rest: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
-    """New values ``(key, position)`` for the runs of ``own`` that are not ``good`` and touch ``lo .. hi``.
+def unmet(own: np.ndarray, pair: np.ndarray, bad: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """New values and their positions for the ``bad`` runs (by their starts) of the lists ``own`` of all pairs, one after another.
 
     A new value is the least hash of a run among the shingles ``rest`` that no leader so far has, so whoever holds
     the same run and met the same leaders has the same value; a run of which no such shingle is left has the hash of
-    all its shingles.
+    all its shingles.  A value stands once in a pair.
     """
-    start = np.arange(len(good))
-    bad = np.flatnonzero(~good & (start <= hi) & (start + LENGTH > lo))
-    keys: dict[int, int] = {}
-    if len(bad):
-        wide = own.view(np.uint32).astype(np.uint64)
-        left = np.concatenate([np.zeros(1, np.int64), np.cumsum(rest)])
-        some = left[bad + LENGTH] > left[bad]
-        for mask in _MASKS[:AGREE]:
-            values = mix(wide ^ mask) >> np.uint64(1)
-            place = run_minima(np.where(rest, values, _TOP))[bad[some]]
-            keys |= {int(values[p]): p for p in np.unique(place).tolist()}
-        none = bad[~some]
-        if len(none):
-            weights = mix(np.arange(1, LENGTH + 1, dtype=np.uint64)) | np.uint64(1)
-            whole = (np.lib.stride_tricks.sliding_window_view(mix(wide), LENGTH)[none] * weights).sum(axis=1, dtype=np.uint64)
-            keys |= dict(zip((whole >> np.uint64(1)).tolist(), none.tolist(), strict=True))
-    return list(keys.items())
+    wide = own.view(np.uint32).astype(np.uint64)
+    left = np.concatenate([np.zeros(1, np.int64), np.cumsum(rest)])
+    some = left[bad + LENGTH] > left[bad]
+    values, places = [], []
+    for mask in _MASKS[:AGREE]:
+        hashed = mix(wide ^ mask) >> np.uint64(1)
+        place = np.unique(run_minima(np.where(rest, hashed, _TOP))[bad[some]])
+        values.append(hashed[place])
+        places.append(place)
+    none = bad[~some]
+    if len(none):
+        weights = mix(np.arange(1, LENGTH + 1, dtype=np.uint64)) | np.uint64(1)
+        whole = (np.lib.stride_tricks.sliding_window_view(mix(wide), LENGTH)[none] * weights).sum(axis=1, dtype=np.uint64)
+        values.append(whole >> np.uint64(1))
+        places.append(none)
+    value, place = np.concatenate(values), np.concatenate(places)
+    order = np.lexsort((place, value, pair[place]))
+    value, place = value[order], place[order]
+    once = np.append(True, (value[1:] != value[:-1]) | (pair[place[1:]] != pair[place[:-1]])) if len(value) else np.zeros(0, bool)
+    return value[once].view(np.int64), place[once]
 
 
 def first_places(own: np.ndarray, n_own: np.ndarray, rep: np.ndarray, n_rep: np.ndarray) -> np.ndarray:
@@ -341,7 +344,10 @@ def plainly_alike(place: np.ndarray, run: np.ndarray) -> np.ndarray:
     return (distinct >= LEAST * LENGTH) & (found[:, -1] - least < LENGTH)
 
 
-def check_pairs(batch: pa.RecordBatch) -> list[tuple]:
+COMPARED = ["doc_id", "rep_doc_id", "block", "first_shingle", "last_shingle", "key", "c", "rest"]
+
+
+def check_pairs(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
     """Rows of ``compared`` for a batch of pairs.
 
     Runs of which LEAST stand anywhere in the other list are candidates.  Where the first and the last candidate of a pair stand
@@ -360,47 +366,51 @@ def check_pairs(batch: pa.RecordBatch) -> list[tuple]:
     whose, first_at = np.unique(pair[good], return_index=True)
     last_at = np.searchsorted(pair[good], whose, "right") - 1
     plain = plainly_alike(place, good[first_at]) & plainly_alike(place, good[last_at])
-    columns = {x: batch.column(x).to_pylist() for x in ("doc_id", "rep_doc_id", "block", "first", "lo", "hi", "rest")}
-    out, exact = [], {}
-    for k, a, b, sure in zip(whose.tolist(), good[first_at].tolist(), good[last_at].tolist(), plain.tolist(), strict=True):
-        begin = int(ends[k] - n[k])
-        if not sure:
-            exact[k] = alike_runs(own[begin : ends[k]], rep[rep_ends[k] - n_rep[k] : rep_ends[k]])
-            there = np.flatnonzero(exact[k])
-            if not len(there):
-                continue
-            a, b = begin + int(there[0]), begin + int(there[-1])
-        base = columns["first"][k] - begin
-        out.append((columns["doc_id"][k], columns["rep_doc_id"][k], columns["block"][k], base + a, base + b + LENGTH - 1, None, None, None))
-    for k, lo in enumerate(columns["lo"]):
-        if lo is None or n[k] < LENGTH:
-            continue
-        a, b, first, packed_rest = int(ends[k] - n[k]), int(ends[k]), columns["first"][k], columns["rest"][k]
-        rest = ~met[a:b]
-        if packed_rest is not None:
-            rest = rest & np.unpackbits(np.frombuffer(packed_rest, np.uint8), count=b - a).astype(bool)
-        fine = exact[k] if k in exact else hit[a + LENGTH : b + 1] - hit[a : b - LENGTH + 1] >= LEAST * LENGTH
-        keys = unmet(own[a:b], fine, rest, lo - first, columns["hi"][k] - first)
-        if keys:
-            left = np.packbits(rest).tobytes()
-            out += [(columns["doc_id"][k], columns["rep_doc_id"][k], columns["block"][k], None, None, v, first + at, left) for v, at in keys]
-    return out
+    doc, rep_doc, block, first = (np.asarray(batch.column(x).to_numpy()) for x in ("doc_id", "rep_doc_id", "block", "first"))
+    begin = ends - n
+    fine = hit[LENGTH:] - hit[:-LENGTH] >= LEAST * LENGTH if len(pair) >= LENGTH else np.zeros(0, bool)  # of each run
+    a, b = good[first_at], good[last_at]
+    alike = np.ones(len(whose), bool)
+    for at in np.flatnonzero(~plain).tolist():
+        k = int(whose[at])
+        exact = alike_runs(own[begin[k] : ends[k]], rep[rep_ends[k] - n_rep[k] : rep_ends[k]])
+        fine[begin[k] : ends[k] - LENGTH + 1] = exact
+        there = np.flatnonzero(exact)
+        alike[at] = len(there) > 0
+        if len(there):
+            a[at], b[at] = begin[k] + there[0], begin[k] + there[-1]
+    kept, base = whose[alike], (first - begin)[whose[alike]]
+    none = lambda count, kind: pa.nulls(count, kind)
+    parts = [[pa.array(doc[kept]), pa.array(rep_doc[kept]), pa.array(block[kept]), pa.array((base + a[alike]).astype(np.int32)), pa.array((base + b[alike] + LENGTH - 1).astype(np.int32)), none(len(kept), pa.int64()), none(len(kept), pa.int32()), none(len(kept), pa.binary())]]
+    # runs that the leader does not explain, where others have their values too
+    asked = np.asarray(batch.column("lo").is_valid()) & (n >= LENGTH)
+    if asked.any() and len(start):
+        lo, hi = (np.asarray(batch.column(x).fill_null(0).to_numpy(), np.int64) for x in ("lo", "hi"))
+        rest = ~met
+        for k in np.flatnonzero(asked & np.asarray(batch.column("rest").is_valid())).tolist():
+            rest[begin[k] : ends[k]] &= np.unpackbits(np.frombuffer(batch.column("rest")[k].as_buffer(), np.uint8), count=int(n[k])).astype(bool)
+        run_pair = pair[start]
+        place_in = start - begin[run_pair] + first[run_pair]
+        bad = start[asked[run_pair] & ~fine[start] & (place_in <= hi[run_pair]) & (place_in + LENGTH > lo[run_pair])]
+        if len(bad):
+            value, place = unmet(own, pair, bad, rest)
+            who = pair[place]
+            names, code = np.unique(who, return_inverse=True)
+            bits = pa.array([np.packbits(rest[begin[k] : ends[k]]).tobytes() for k in names.tolist()], pa.binary())
+            at = (place - begin[who] + first[who]).astype(np.int32)
+            parts.append([pa.array(doc[who]), pa.array(rep_doc[who]), pa.array(block[who]), none(len(who), pa.int32()), none(len(who), pa.int32()), pa.array(value), pa.array(at), bits.take(pa.array(code))])
+    return [pa.RecordBatch.from_arrays(p, COMPARED) for p in parts if len(p[0])]
 
 
 def compared(pairs: DataFrame) -> DataFrame:
     """Places with a run of LENGTH shingles of which 0.8 stand near the leader's (``key`` is null), and the new values of runs without (``first_shingle`` is null)."""
-    kinds = "doc_id long, rep_doc_id long, block int, first_shingle int, last_shingle int, key long, c int, rest binary"
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-    names = [k.split()[0] for k in kinds.split(", ")]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                out = check_pairs(batch.slice(at, 4096))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                yield from check_pairs(batch.slice(at, 4096))
 
-    return pairs.mapInArrow(check, kinds)
+    return pairs.mapInArrow(check, "doc_id long, rep_doc_id long, block int, first_shingle int, last_shingle int, key long, c int, rest binary")
 
 
 def led(held: DataFrame, holders: Column) -> DataFrame:

@@ -466,7 +466,7 @@ def test_pairs_are_precise():
     texts += [" ".join([word() for _ in range(r.randint(0, 40))] + [word() if r.random() < 0.02 * k else w for w in shared] + [word() for _ in range(20)]) for k in range(8)]
     texts += [" ".join(w for _ in range(3) for w in shared[:20] + [word() for _ in range(15)]) for _ in range(3)]
     own, at, batch = pairs_of(texts)
-    found = {(row[0], row[1]) for row in passages.check_pairs(batch)}
+    found = {(row["doc_id"], row["rep_doc_id"]) for part in passages.check_pairs(batch) for row in part.to_pylist()}
     assert found == {(i, j) for i, j in at if any(plain_runs(own[i].tolist(), own[j].tolist()))}
     assert (0, 1) not in found and (1, 0) not in found and (0, 2) in found
 
