@@ -12,7 +12,9 @@ words: the item's distinct shingles found in the whole document, at least 0.8.
 Items go to the executors in blocks of bounded size; a larger benchmark takes
 more passes.  An item of fewer than five words is one shingle of all its words;
 items and texts that are null or have no words match nothing.  Repeated rows are
-searched one by one; an empty table on either side gives an empty result.
+searched one by one; an empty table on either side gives an empty result.  Texts
+of any length are searched whole.  ``search`` reads no further columns; ``clean``
+passes them through, whatever their names.
 """
 
 from __future__ import annotations

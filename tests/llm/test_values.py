@@ -560,3 +560,21 @@ def test_repeated_lines_do_not_pair_all_places(spark):
     assert passages.led(placed, F.sum("one")).count() < 2000
     found = {(x["doc_id"], x["rep_doc_id"]) for x in passages.find(df).collect()}
     assert {(7, 3), (21, 20)} <= found and all(p in ((7, 3), (21, 20)) for p in found)
+
+
+def test_twenty_megabytes_for_fingerprints_items_and_records(spark):
+    from tokenizers import Tokenizer
+
+    text = long_text()
+    assert len(text) > 15_000_000
+    item = "this test item has ten words that stand nowhere else"
+    df = spark.createDataFrame([(1, f"{text} {item} {text[:50]}"), (2, "short")], "doc_id long, text string")
+    found = decontamination.search(df, spark.createDataFrame([(5, item), (6, f"{item} but longer by many other words than that")], "item_id long, text string"))
+    assert [(r["doc_id"], r["item_id"]) for r in found.collect()] == [(1, 5)]
+    words = text.lower().split()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(" ".join(words[k : k + 4]), 42) for k in range(len(words) - 3)), np.uint64, len(words) - 3)
+    want = sum(1 << b for b in range(64) if 2 * int(((hashes >> np.uint64(b)) & np.uint64(1)).sum()) > len(hashes))
+    fp = simhash.with_fingerprint(spark.createDataFrame([(text,)], "text string"), into="fp").first()["fp"]
+    assert fp % 2**64 == want
+    library = Tokenizer.from_file(records.TOKENIZER)
+    assert records.encoder_of(records.TOKENIZER)(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
