@@ -29,7 +29,10 @@ def raw_profiles(long: DataFrame, state: str) -> DataFrame:
 
 
 def profile_table(profile: DataFrame, columns: DataFrame, share: float = 0.98) -> DataFrame:
-    """``state, feature, part, channel, z, limit``: profiles by what their dimensions are, with the colour limit of a feature (CMP5)."""
+    """``state, feature, part, channel, z, limit``: profiles by what their dimensions are, with the colour limit of a feature (CMP5).
+
+    A profile has a row a state and dimension, so the exact limit is of few values.
+    """
     named = profile.join(F.broadcast(columns), "dim")  # one row a dimension
     limits = named.groupBy("feature").agg(F.percentile(F.abs("z"), share).alias("limit"))
     return named.join(limits, "feature").select("state", "feature", "part", "channel", "z", "limit")

@@ -17,7 +17,8 @@ def wide(occupancy: DataFrame, dwell: DataFrame, session: str, names: list[str],
 def dwell_statistics(runs: DataFrame, step: float) -> DataFrame:
     """Mean, median and 95th percentile of the run lengths of each state, in ``step`` units (ST7, ST8).
 
-    Runs are of whatever scope they were cut in: one trial, one session, or the whole path.
+    Runs are of whatever scope they were cut in: one trial, one session, or the whole path.  Exact percentiles hold a number a
+    distinct length, of which ``n`` windows have at most ``sqrt(2 n)``.
     """
     ms = F.col("length") * step
     return runs.groupBy("state").agg(F.avg(ms).alias("mean"), F.percentile(ms, 0.5).alias("median"), F.percentile(ms, 0.95).alias("p95"), F.count(F.lit(1)).alias("n_runs"), F.sum("length").alias("n_windows"))

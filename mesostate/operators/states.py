@@ -137,7 +137,10 @@ def off_diagonal(matrix: DataFrame) -> DataFrame:
 
 
 def dwell_histogram(run_table: DataFrame, state: str = "state") -> DataFrame:
-    """Runs of each state by length, dwell quantiles, and percentages of runs of one window and of over ten (ST17)."""
+    """Runs of each state by length, dwell quantiles, and percentages of runs of one window and of over ten (ST17).
+
+    Exact quantiles hold a number a distinct length, of which ``n`` windows have at most ``sqrt(2 n)``.
+    """
     n = F.col("length")
     bucket = lambda name, cond: F.sum(cond.cast("long")).alias(name)
     share = lambda name, cond: (100 * F.avg(cond.cast("double"))).alias(name)
