@@ -359,4 +359,15 @@ def op13_deduplication(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_deduplication": op13_deduplication}
-SQL: dict[str, str] = {}
+#: Bytes are pairs of hexadecimal digits; every string of 200 bytes is told from others by its MD5.
+SQL = {
+    "op13_deduplication": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+w AS (SELECT rid, i, md5(substr(h, 2 * i + 1, 400)) AS g FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d)),
+u AS (SELECT rid, i FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)),
+k AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS k FROM (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM u)),
+s AS (SELECT rid, min(i) AS a, max(i) + 200 AS b FROM k GROUP BY rid, k),
+p AS (SELECT rid, a, b, lag(b, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS c FROM s),
+t AS (SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest FROM p JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM d LEFT JOIN t USING (rid)"""
+}
