@@ -71,13 +71,13 @@ def split_half(rows: DataFrame, subject: str, sequence: list[str], order: str, k
 def relabelled(subjects: DataFrame, subject: str, side: str, replicates: int, seed: int = 42, most: int = 5000) -> tuple[DataFrame, bool]:
     """``b, subject, side``: the true labels (``b`` 0) and relabellings with as many subjects on either side, and whether these are all there are.
 
-    With at most ``most`` ways to choose them, all are made, each once; otherwise those subjects are on the first side whose
+    With at most ``most`` ways to choose them, and ``20 most`` labels in all of them, all are made, each once; otherwise those subjects are on the first side whose
     hash is among the least, up to the rank that the threshold of the replicate has.
     """
     known = checkpoint(subjects.select(subject, F.col(side).cast("boolean").alias("side")).distinct())
     n, first = known.agg(F.count(F.lit(1)), F.count_if("side")).first()
     spark = subjects.sparkSession
-    if n and comb(n, first) <= most:
+    if n and comb(n, first) <= most and n * comb(n, first) <= 20 * most:
         names = [r[0] for r in known.orderBy(subject).collect()]  # few, as there are few ways
         ways = [(b + 1, s, k in chosen) for b, chosen in enumerate(map(set, combinations(range(n), first))) for k, s in enumerate(names)]
         ways = spark.createDataFrame(ways, f"b int, `{subject}` {known.schema[subject].dataType.simpleString()}, side boolean")
