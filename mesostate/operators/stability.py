@@ -99,11 +99,10 @@ def relabelling_test(values: DataFrame, subject: str, side: str, items: list[str
     each = values.select(subject, *items, F.col(value).cast("double").alias("_v")).join(labels, subject).groupBy("b", *items)
     gap = each.agg((F.avg(F.when(F.col("side"), F.col("_v"))) - F.avg(F.when(~F.col("side"), F.col("_v")))).alias("gap"))
     gap = checkpoint(gap)
-    true = gap.where("b = 0").select(*items, F.col("gap").alias("effect"))
+    true = gap.where("b = 0 AND gap IS NOT NULL").select(*items, F.col("gap").alias("effect"))
     as_large = F.count_if(F.abs("gap") >= F.abs("effect") - 1e-12)
     n = F.count("gap")
-    found = gap.where("b > 0").join(true, items).groupBy(*items, "effect").agg((as_large / n if all_ways else (as_large + 1) / (n + 1)).alias("p"))
-    return found.where("effect IS NOT NULL")
+    return gap.where("b > 0").join(true, items).groupBy(*items, "effect").agg((as_large / n if all_ways else (as_large + 1) / (n + 1)).alias("p"))
 
 
 def interaction(values: DataFrame, subject: str, group: str, condition: str, conditions: tuple[str, str], items: list[str], value: str, groups: tuple[str, str], **how) -> DataFrame:

@@ -94,6 +94,13 @@ def test_p_is_that_of_all_relabellings(spark):
     assert all(abs(drawn[i] - want[i][1]) < 0.05 for i in want)
 
 
+def test_one_side_or_none(spark):
+    df = spark.createDataFrame([(k, True, "a", float(k)) for k in range(4)], "s int, side boolean, item string, v double")
+    for most in (0, 5000):
+        assert stability.relabelling_test(df, "s", "side", ["item"], "v", replicates=9, most=most).count() == 0
+        assert stability.relabelling_test(df.limit(0), "s", "side", ["item"], "v", replicates=9, most=most).count() == 0
+
+
 def test_drawn_relabellings_keep_the_sizes(spark):
     df = spark.range(50).select(F.col("id").alias("s"), (F.col("id") < 17).alias("side"))
     made, all_ways = stability.relabelled(df, "s", "side", 30)
