@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 MARKED, PLAIN = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ", "AAAAAAEEEEIIIIOOOOOUUUUNCY"
 #: What file names add to a subject.
 FILE_WORDS = ("_SIN_CONTEXTO", "_EPO", "_LENGTHS.NPY", ".NPY")
+#: Letters of a subject that a part of a name must begin with before it is looked for among all subjects.
+HEAD = 3
 
 
 def plain(name: Column) -> Column:
@@ -58,19 +60,29 @@ def without_prefixes(df: DataFrame, name: str, prefixes: list[str]) -> DataFrame
     return df.where(~hit)
 
 
+def _parts(files: DataFrame, labels: DataFrame, file: str, subject: str, at: str) -> DataFrame:
+    """``file, condition, _part``: the parts of each name that begin as some subject of their length does, each once.
+
+    The beginnings that are sent to all tasks are no more than ``HEAD`` letters can be written in, for each length.
+    """
+    name, whole = F.upper(file), F.upper(subject)
+    heads = labels.where(F.length(whole) > 0).select(F.left(whole, F.lit(HEAD)).alias("_head"), F.length(whole).alias("_n")).distinct()
+    sizes = heads.agg(F.collect_set(F.length("_head")).alias("_sizes"))  # one row of up to HEAD lengths
+    fitting = F.filter("_sizes", lambda n: n <= F.length(name))
+    starts = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda a: F.struct(a.alias("_a"), F.substring(name, a, n).alias("_head")))))
+    begun = files.select(file, at).crossJoin(F.broadcast(sizes)).select(file, at, F.inline(starts)).join(F.broadcast(heads), "_head")
+    part = F.substring(name, F.col("_a"), F.col("_n"))
+    return begun.where((F.length(part) == F.col("_n")) & (F.position(part, name) == F.col("_a"))).select(file, at, part.alias("_part"))
+
+
 def match_names(files: DataFrame, labels: DataFrame, file: str = "file", subject: str = "subject", at: str = "condition") -> DataFrame:
     """``file, condition, subject, reason``: the label of the same condition whose subject stands in the file's name.
 
-    The subject is null and the reason says why if none or several do.  The parts of a name that are as long as some
-    subject meet the subjects by an equi-join, so labels and files are never crossed.
+    The subject is null and the reason says why if none or several do.  Parts of a name that may be a subject meet the
+    subjects by an equi-join, so labels and files are never crossed.
     """
-    name = F.upper(file)
-    sizes = labels.agg(F.collect_set(F.length(F.upper(subject))).alias("_sizes"))  # one row of a few lengths
-    fitting = F.filter("_sizes", lambda n: (n > 0) & (n <= F.length(name)))
-    parts = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda a: F.substring(name, a, n))))
-    cut = files.select(file, at).crossJoin(F.broadcast(sizes)).select(file, at, F.explode(F.array_distinct(parts)).alias("_part"))
     known = labels.select(F.upper(subject).alias("_part"), F.col(at), F.col(subject).alias("_subject"))
-    hits = cut.join(known, ["_part", at]).groupBy(file, at).agg(F.count(F.lit(1)).alias("n"), F.min("_subject").alias("s"))
+    hits = _parts(files, labels, file, subject, at).join(known, ["_part", at]).groupBy(file, at).agg(F.count(F.lit(1)).alias("n"), F.min("_subject").alias("s"))
     found = files.select(file, at).join(hits, [file, at], "left")
     n = F.coalesce("n", F.lit(0))
     return found.select(file, at, F.when(n == 1, F.col("s")).alias(subject), F.when(n == 0, "no match").when(n > 1, "several matches").alias("reason"))
