@@ -11,6 +11,8 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,10 +120,11 @@ class Hmm:
         if self.covariance == "diag":
             return np.stack([-0.5 * (((obs - m) ** 2 / v).sum(axis=1) + np.log(2 * np.pi * v).sum()) for m, v in zip(self.mean, self.var, strict=True)], axis=1)
         out = np.empty((len(obs), len(self.mean)))
+        lower = np.linalg.cholesky(self.var)
         for k, mean in enumerate(self.mean):
-            lower = np.linalg.cholesky(self.var[k] if self.covariance == "full" else self.var)
-            gap = np.linalg.solve(lower, (obs - mean).T)
-            out[:, k] = -0.5 * ((gap**2).sum(axis=0) + len(mean) * np.log(2 * np.pi)) - np.log(np.diag(lower)).sum()
+            own = lower[k] if self.covariance == "full" else lower
+            gap = (obs - mean) @ np.linalg.inv(own).T
+            out[:, k] = -0.5 * ((gap**2).sum(axis=1) + len(mean) * np.log(2 * np.pi)) - np.log(np.diag(own)).sum()
         return out
 
     def record(self, spark: SparkSession) -> DataFrame:
@@ -166,54 +169,96 @@ class Hmm:
 
     def viterbi(self, obs: np.ndarray) -> np.ndarray:
         """Most likely states of one sequence (M5)."""
-        dens, step = self.log_density(obs), np.log(self.step + TINY)
-        score, came = np.log(self.start + TINY) + dens[0], np.zeros(dens.shape, int)
-        for t in range(1, len(dens)):
-            ways = score[:, None] + step
-            came[t] = ways.argmax(axis=0)
-            score = ways.max(axis=0) + dens[t]
-        path = np.empty(len(dens), int)
-        path[-1] = score.argmax()
-        for t in range(len(dens) - 1, 0, -1):
-            path[t - 1] = came[t, path[t]]
+        return self.paths(obs, np.ones(len(obs), int))
+
+    def paths(self, obs: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Most likely states of sequences side by side, which are given as to ``smoothed``."""
+        score, step = self.log_density(obs), np.log(self.step + TINY)
+        came, path, at = np.zeros(score.shape, np.int32), np.empty(len(score), np.int32), np.concatenate([[0], np.cumsum(active)])
+        score[: active[0]] += np.log(self.start + TINY)
+        for t in range(1, len(active)):
+            here = slice(at[t], at[t + 1])
+            ways = score[at[t - 1] : at[t - 1] + active[t], :, None] + step
+            came[here] = ways.argmax(axis=1)
+            score[here] += ways.max(axis=1)
+        for t in range(len(active) - 1, -1, -1):
+            n = active[t + 1] if t + 1 < len(active) else 0  # the others end here
+            path[at[t] + n : at[t + 1]] = score[at[t] + n : at[t + 1]].argmax(axis=1)
+            path[at[t] : at[t] + n] = came[np.arange(at[t + 1], at[t + 1] + n), path[at[t + 1] : at[t + 1] + n]]
         return path
 
     def decode(self, rows: DataFrame, sequence: list[str], order: str, x: str = "x") -> DataFrame:
-        """``sequence, order, state, posterior`` of all rows; a sequence (one trial) is one group."""
+        """``sequence, order, state, posterior`` of all rows; many sequences (trials) are worked on side by side."""
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*sequence, order).schema) + ", state int, posterior array<double>"
 
-        def one(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(order)
-            obs = np.stack(group[x].to_numpy())
-            return group[[*sequence, order]].assign(state=self.viterbi(obs).astype("int32"), posterior=list(self.forward_backward(obs)[1]))
+        def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                obs, lengths = _laid_out(batch.column("x"))
+                state, posterior = np.empty(len(obs), np.int32), np.empty((len(obs), len(self.mean)))
+                for at, active in _arranged(lengths, obs.shape[1]):
+                    state[at], posterior[at] = self.paths(obs[at], active), self.smoothed(obs[at], active)[1]
+                each = pa.array(np.repeat(np.arange(batch.num_rows), lengths))
+                ends = pa.array(np.arange(len(obs) + 1, dtype=np.int32) * posterior.shape[1])
+                columns = [*[batch.column(c).take(each) for c in sequence], batch.column("o").flatten(), pa.array(state), pa.ListArray.from_arrays(ends, pa.array(posterior.ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, [*sequence, order, "state", "posterior"])
+
+        return _grouped(rows, sequence, order, F.col(x)).select(*sequence, F.col("w.o").alias("o"), F.col("w.x").alias("x")).mapInArrow(decoded, kinds)
+
+
+#: Values of observations that are worked on side by side.
+SIDE_BY_SIDE = 1 << 19
+#: Values for which a task of a fit is worth starting.
+WORTH = 1 << 16
+
+
+def _grouped(rows: DataFrame, sequence: list[str], order: str, x: Column) -> DataFrame:
+    """``sequence, w``: the rows of each sequence in their order."""
+    return rows.select(*sequence, F.col(order).alias("o"), x.alias("x")).groupBy(*sequence).agg(F.array_sort(F.collect_list(F.struct("o", "x"))).alias("w"))
+
 
-        return rows.select(*sequence, order, x).groupBy(*sequence).applyInPandas(one, kinds)
+def _laid_out(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of all sequences of a column of lists of arrays, and how many each has."""
+    rows = column.flatten()
+    return rows.flatten().to_numpy().reshape(len(rows), -1), pc.list_value_length(column).to_numpy()
 
 
-#: Values of observations and posteriors that are worked on side by side.
-SIDE_BY_SIDE = 1 << 21
+def _arranged(lengths: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the rows of sequences that stand one after another, as ``Hmm.smoothed`` takes them, the longest first, in groups of bounded size or one longer sequence."""
+    starts, order = np.cumsum(lengths) - lengths, np.argsort(-lengths, kind="stable")
+    before = (np.cumsum(lengths[order]) - lengths[order]) * width
+    for group in np.split(order, np.flatnonzero(np.diff(before // SIDE_BY_SIDE)) + 1):
+        n = lengths[group]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield (np.repeat(starts[group], n) + step)[np.argsort(step, kind="stable")], np.searchsorted(-n, -np.arange(n[0]))
 
 
 def _side_by_side(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sequences as ``Hmm.smoothed`` takes them, the longest first, in groups of bounded size or one longer sequence."""
-    order = sorted(range(len(sequences)), key=lambda k: -len(sequences[k]))
-    group: list[np.ndarray] = []
-    for place, k in enumerate(order):
-        group.append(sequences[k])
-        if place + 1 == len(order) or sum(map(len, group)) * group[0].shape[1] >= SIDE_BY_SIDE:
-            lengths = np.array(list(map(len, group)))
-            active = (lengths[:, None] > np.arange(lengths[0])).sum(axis=0)
-            step = np.concatenate([np.arange(n) for n in lengths])
-            yield np.concatenate(group)[np.argsort(step, kind="stable")], active
-            group = []
-
-
-def _expectation(fits: list[Hmm]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each model: log-likelihood, start, transition counts, weights, sums and sums of squares of a partition's sequences, in a row each."""
+    """Sequences as ``Hmm.smoothed`` takes them."""
+    rows = np.concatenate(sequences)
+    for at, active in _arranged(np.array(list(map(len, sequences))), rows.shape[1]):
+        yield rows[at], active
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of sequences side by side as bytes, so that no step of a fit takes lists of lists apart again."""
+    for batch in batches:
+        if batch.num_rows:
+            rows, lengths = _laid_out(batch.column("obs"))
+            for at, active in _arranged(lengths, rows.shape[1]):
+                yield pa.RecordBatch.from_arrays([pa.array([rows[at].tobytes()]), pa.array([active.astype(np.int64).tobytes()])], ["obs", "active"])
+
+
+def _expectation(fits: list[Hmm]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    width = fits[0].mean.shape[1]
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each model: log-likelihood, start, transition counts, weights, sums and sums of squares of a partition's sequences, in one row of all."""
         total = None
         for batch in batches:
-            for obs, active in _side_by_side([np.stack(w) for w in batch["obs"]]):
+            for packed, sizes in zip(batch.column("obs"), batch.column("active"), strict=True):
+                obs, active = np.frombuffer(packed.as_buffer()).reshape(-1, width), np.frombuffer(sizes.as_buffer(), np.int64)
                 parts = []
                 for model in fits:
                     ll, post, counts = model.smoothed(obs, active)
@@ -225,7 +270,7 @@ def _expectation(fits: list[Hmm]) -> Callable[[Iterator[pd.DataFrame]], Iterator
                 parts = np.concatenate(parts)
                 total = parts if total is None else total + parts
         if total is not None:
-            yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["v"])
 
     return expect
 
@@ -266,24 +311,26 @@ def along_axis(mean: np.ndarray, cov: np.ndarray, k: int) -> np.ndarray:
     return mean + spread[:, None] * axis
 
 
-def fit_many(rows: DataFrame, sequence: list[str], order: str, starts: list[Hmm], n_iter: int = 500, tol: float = 1e-3, x: str = "x", floor: float = 1e-3) -> list[Hmm]:
+def fit_many(rows: DataFrame, sequence: list[str], order: str, starts: list[Hmm], n_iter: int = 500, tol: float = 1e-3, x: str = "x", floor: float = 1e-3, known: tuple | None = None) -> list[Hmm]:
     """Expectation maximisation from many starts at once, each as a fit of its own would go.
 
     Starts may differ in states and covariances; eigenvalues of covariances are ``floor`` at least.  Sequences are
-    grouped and checkpointed once, less the mean of all rows; a step is one job that serves all models that have not
-    converged, so jobs depend on the slowest fit alone.  A fit has converged when its log-likelihood gains less than ``tol``.
+    grouped, packed and checkpointed once, less the mean of all rows, in at most as many partitions as there are cores; a step is one
+    job of one stage that serves all models that have not converged, so jobs depend on the slowest fit alone.  The driver
+    gets a row of sums a partition.  A fit has converged when its log-likelihood gains less than ``tol``.  ``known`` is what
+    ``co_moments`` says of the rows, if that has been asked before.
     """
-    n, centre, moments = co_moments(rows, x)
+    n, centre, moments = known or co_moments(rows, x)
     if not n:
         raise ValueError("nothing to fit")
     less = F.array(*[F.col(x)[d] - float(c) for d, c in enumerate(centre)])
-    grouped = rows.withColumn(x, less).groupBy(*sequence).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).alias("x")))).alias("w"))
-    sequences = checkpoint(grouped.select(F.col("w.x").alias("obs")))
+    grouped = _grouped(rows, sequence, order, less).select(F.col("w.x").alias("obs")).mapInArrow(_packed, "obs binary, active binary")
+    sequences = checkpoint(grouped.repartition(min(rows.sparkSession.sparkContext.defaultParallelism, 1 + n * len(centre) // WORTH)))
     fits = [replace(m, mean=m.mean - centre, history=(), converged=False) for m in starts]
     going = list(range(len(fits)))
     for _ in range(n_iter):
-        stats = sequences.mapInPandas(_expectation([fits[r] for r in going]), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
-        rest, still = stats.sort_values("at")["v"].to_numpy(), []
+        sums = sequences.mapInArrow(_expectation([fits[r] for r in going]), "v binary").collect()
+        rest, still = np.sum([np.frombuffer(r["v"]) for r in sums], axis=0), []
         for r in going:
             fits[r], rest = _improved(fits[r], rest, moments, n, floor)
             h = fits[r].history
@@ -314,7 +361,7 @@ def fit_hmm(
     if start not in ("axis", "clusters"):
         raise ValueError(f"unknown start {start}")
     means = [along_axis(mean, moments / n, k)] if start == "axis" else [c.points for c in k_means(rows, k, [seed + r for r in range(restarts)], x)]
-    fits = fit_many(rows, sequence, order, [starting(m, moments / n, covariance, floor) for m in means], n_iter, tol, x, floor)
+    fits = fit_many(rows, sequence, order, [starting(m, moments / n, covariance, floor) for m in means], n_iter, tol, x, floor, (n, mean, moments))
     return max(fits, key=lambda m: m.history[-1])
 
 
@@ -322,8 +369,8 @@ def restarted(rows: DataFrame, sequence: list[str], order: str, k: int, seeds: l
     """Fits from the cluster centres of each seed, and ``seed, log_likelihood, n_iter, converged, gap, best`` of them; ``gap`` is to the best (M4)."""
     from mesostate.operators.clustering import k_means
 
-    n, _, moments = co_moments(rows, x)
-    fits = fit_many(rows, sequence, order, [starting(c.points, moments / n, covariance) for c in k_means(rows, k, seeds, x)], x=x, n_iter=n_iter)
+    n, mean, moments = co_moments(rows, x)
+    fits = fit_many(rows, sequence, order, [starting(c.points, moments / n, covariance) for c in k_means(rows, k, seeds, x)], x=x, n_iter=n_iter, known=(n, mean, moments))
     ends = [m.history[-1] for m in fits]
     table = [(int(s), float(e), len(m.history), m.converged, float(max(ends) - e), e == max(ends)) for s, e, m in zip(seeds, ends, fits, strict=True)]
     return rows.sparkSession.createDataFrame(table, "seed int, log_likelihood double, n_iter int, converged boolean, gap double, best boolean"), fits
