@@ -138,7 +138,7 @@ def _scores(s, d) -> DataFrame:
 
 def _fit(covariance: str, k: int = 3):
     def query(s, d) -> DataFrame:
-        rows = _scores(s, d)
+        rows = checkpoint(_scores(s, d))
         fitted = models.fit_hmm(rows, ["session", "trial"], "vec_id", k, covariance=covariance)
         return fitted.decode(rows, ["session", "trial"], "vec_id")
 
@@ -146,7 +146,7 @@ def _fit(covariance: str, k: int = 3):
 
 
 def _convergence(s, d) -> DataFrame:
-    return models.fit_hmm(_scores(s, d), ["session", "trial"], "vec_id", 2, covariance="tied").record(s)
+    return models.fit_hmm(checkpoint(_scores(s, d)), ["session", "trial"], "vec_id", 2, covariance="tied").record(s)
 
 
 def _lengths(s, d) -> DataFrame:
