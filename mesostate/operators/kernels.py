@@ -1,7 +1,7 @@
 """Filters, envelopes, resampling and spectra of ``array<double>`` signals, in Arrow batches.
 
-Each kernel is a function of a column; rows of equal length in a batch are one NumPy matrix, so a
-batch bounds the memory.  Null signals stay null.
+Each kernel is a function of a column; rows of equal length in a batch are one NumPy matrix, so many at a time that
+a batch and ``AT_ONCE`` values bound the memory.  Null signals stay null.
 """
 
 from __future__ import annotations
@@ -14,14 +14,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Values of signals of one length that a kernel works on at once.
+AT_ONCE = 1 << 16
+
+
 def _by_length(column: pd.Series, work: Callable[[np.ndarray], np.ndarray]) -> pd.Series:
-    """``work`` on a matrix of all signals of each length; its result has a row a signal."""
+    """``work`` on matrices of signals of one length, of ``AT_ONCE`` values or one longer signal; its result has a row a signal.
+
+    Results of a matrix are copied, as rows that are part of a wider array would keep all of it.
+    """
     out = pd.Series([None] * len(column), dtype=object)
     lengths = np.array([-1 if v is None else len(v) for v in column])
     for n in np.unique(lengths[lengths >= 0]):
         at = np.flatnonzero(lengths == n)
-        for k, row in zip(at, work(np.stack([np.asarray(column.iloc[k], float) for k in at])), strict=True):
-            out.iat[k] = row
+        for few in np.split(at, range(step := max(AT_ONCE // max(int(n), 1), 1), len(at), step)):
+            found = work(np.stack([np.asarray(column.iloc[k], float) for k in few]))
+            for k, row in zip(few, found.copy() if isinstance(found, np.ndarray) else found, strict=True):
+                out.iat[k] = row
     return out
 
 

@@ -3,8 +3,9 @@
 import time
 
 import numpy as np
+import pandas as pd
 
-from mesostate.operators import labels, models
+from mesostate.operators import kernels, labels, models
 
 
 def test_names_meet_few_parts(spark):
@@ -84,3 +85,20 @@ def test_a_step_of_a_fit_is_one_stage(spark):
         stages[n] = sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(f"steps{n}"))
     context._jsc.clearJobGroup()
     assert stages[7] - stages[2] == 5
+
+
+def test_kernels_work_on_few_signals_at_once(monkeypatch):
+    """Before, a matrix had all signals of a length of a batch, and a result that was cut out of a wider array kept that array."""
+    monkeypatch.setattr(kernels, "AT_ONCE", 100)
+    r, most, wide = np.random.default_rng(6), [], []
+
+    def work(x):
+        most.append(x.size)
+        wide.append(np.hstack([x, x, x]))
+        return wide[-1][:, : x.shape[1]]
+
+    signals = pd.Series([None if k % 7 == 0 else r.normal(size=(5, 30, 0, 400)[k % 4]) for k in range(200)])
+    found = kernels._by_length(signals, work)
+    assert max(most) == 400 and sorted(set(most))[-2] <= 100
+    for got, given in zip(found, signals, strict=True):
+        assert (got is None) == (given is None) and (given is None or (np.array_equal(got, given) and not any(np.shares_memory(got, w) for w in wide)))
