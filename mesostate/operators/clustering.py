@@ -13,11 +13,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mesostate.operators.models import co_moments
+from mesostate.operators.models import WORTH, as_matrix, co_moments
+from mesostate.storage import checkpoint
 
 #: Rows drawn a round for each centre that is asked for, and rounds.
 OVERSAMPLE, ROUNDS = 2, 5
@@ -49,54 +50,84 @@ def uniform(x: np.ndarray, seed: int) -> np.ndarray:
     return ((total >> np.uint64(11)).astype(float) + 0.5) / 2**53
 
 
-def _drawn(rows: DataFrame, points: list[np.ndarray | None], n: int, seeds: list[int], x: str) -> list[np.ndarray]:
-    """``n`` distinct rows for each start, drawn by their squared distance to its points (by chance alone without points)."""
+def _packed(rows: DataFrame, n: int, centre: np.ndarray, x: str) -> DataFrame:
+    """``obs, once``: the ``n`` rows less ``centre`` as bytes, a batch in one, and which of them are the first of equal ones of their batch.
+
+    Made once, in at most as many partitions as there are cores, so no pass takes lists apart or sorts rows again, and the driver gets a row a partition.
+    """
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros((0, 0)))] * len(points)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            m = np.unique(np.stack(batch[x].to_numpy()), axis=0)
+            if batch.num_rows:
+                m = as_matrix(batch.column("x")) - centre
+                once = np.zeros(len(m), bool)
+                once[np.unique(m, axis=0, return_index=True)[1]] = True
+                yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()]), pa.array([once.tobytes()])], ["obs", "once"])
+
+    packed = rows.select(F.col(x).alias("x")).mapInArrow(pack, "obs binary, once binary")
+    return checkpoint(packed.repartition(min(rows.sparkSession.sparkContext.defaultParallelism, 1 + n * len(centre) // WORTH)))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for obs, once in zip(batch.column("obs"), batch.column("once"), strict=True):
+            yield np.frombuffer(obs.as_buffer()).reshape(-1, width), np.frombuffer(once.as_buffer(), bool)
+
+
+def _least(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` distinct rows of the least keys, which depend on the rows alone; ties by the rows."""
+    first = np.lexsort((*rows.T, keys))
+    keys, rows = keys[first], rows[first]
+    new = np.append(np.ones(min(1, len(rows)), bool), (rows[1:] != rows[:-1]).any(axis=1))
+    return keys[new][:n], rows[new][:n]
+
+
+def _drawn(packed: DataFrame, points: list[np.ndarray | None], n: int, seeds: list[int], width: int) -> list[np.ndarray]:
+    """``n`` distinct rows for each start, drawn by their squared distance to its points (by chance alone without points)."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros((0, width)))] * len(points)
+        for rows, once in _unpacked(batches, width):
+            m = rows[once]
             for r, known in enumerate(points):
                 weight = np.ones(len(m)) if known is None else squared_distances(m, known).min(axis=1)
                 with np.errstate(divide="ignore"):
                     key = np.where(weight > 0, -np.log(uniform(m, seeds[r])) / weight, np.inf)
-                keys, held = np.append(best[r][0], key), np.concatenate([best[r][1], m]) if len(best[r][1]) else m
-                first = np.lexsort((*held.T, keys))[: 2 * n]
-                best[r] = keys[first], held[first]
+                some = np.flatnonzero(key <= np.partition(key, n - 1)[n - 1]) if len(key) > n else np.arange(len(key))
+                some = some[np.isfinite(key[some])]
+                best[r] = _least(np.append(best[r][0], key[some]), np.concatenate([best[r][1], m[some]]), n)
         for r, (keys, held) in enumerate(best):
-            keep = np.isfinite(keys)
-            if keep.any():
-                yield pd.DataFrame({"r": r, "key": keys[keep], "x": list(held[keep])})
-
-    found = rows.select(x).mapInPandas(draw, "r int, key double, x array<double>").dropDuplicates(["r", "x"])
-    first = found.withColumn("place", F.row_number().over(Window.partitionBy("r").orderBy("key", "x"))).where(F.col("place") <= n).toPandas()
-    return [np.stack(sorted(map(tuple, g))) if len(g := first.loc[first["r"] == r, "x"]) else np.zeros((0, 0)) for r in range(len(points))]
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([keys.tobytes()]), pa.array([held.tobytes()])], ["r", "keys", "held"])
+
+    found = packed.mapInArrow(draw, "r int, keys binary, held binary").collect()
+    out = []
+    for r in range(len(points)):
+        own = [f for f in found if f["r"] == r]
+        keys = np.concatenate([np.zeros(0), *[np.frombuffer(f["keys"]) for f in own]])
+        held = np.concatenate([np.zeros((0, width)), *[np.frombuffer(f["held"]).reshape(-1, width) for f in own]])
+        kept = _least(keys, held, n)[1]
+        out.append(kept[np.lexsort(kept.T[::-1])])
+    return out
 
 
-def _assigned(rows: DataFrame, points: list[np.ndarray], x: str) -> list[tuple[np.ndarray, np.ndarray, float]]:
+def _assigned(packed: DataFrame, points: list[np.ndarray], width: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """For each start: how many rows are nearest to each point, their sums, and the cost."""
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            m = np.stack(batch[x].to_numpy())
+        for m, _ in _unpacked(batches, width):
             parts = []
             for p in points:
                 d = squared_distances(m, p)
                 near = d.argmin(axis=1)
-                sums = np.zeros_like(p)
-                np.add.at(sums, near, m)
+                sums = np.stack([np.bincount(near, column, len(p)) for column in m.T], axis=1)
                 parts += [np.bincount(near, minlength=len(p)).astype(float), sums.ravel(), [d[np.arange(len(m)), near].sum()]]
             parts = np.concatenate(parts)
             total = parts if total is None else total + parts
         if total is not None:
-            yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["v"])
 
-    v = rows.select(x).mapInPandas(assign, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas().sort_values("at")["v"].to_numpy()
+    v = np.sum([np.frombuffer(r["v"]) for r in packed.mapInArrow(assign, "v binary").collect()], axis=0)
     out, at = [], 0
     for p in points:
         n, s = len(p), p.size
@@ -131,27 +162,29 @@ def reduced(points: np.ndarray, weight: np.ndarray, k: int, seed: int, tries: in
     return best[1]
 
 
-def k_means(rows: DataFrame, k: int, seeds: list[int] = (42,), x: str = "x", most: int = 50, tol: float = 1e-6) -> list[Centres]:
+def k_means(rows: DataFrame, k: int, seeds: list[int] = (42,), x: str = "x", most: int = 50, tol: float = 1e-6, known: tuple | None = None) -> list[Centres]:
     """Centres of the arrays in ``x`` for each seed, in the order of the seeds (M4).
 
     A start draws ``OVERSAMPLE * k`` rows in each of ``ROUNDS`` rounds, weights all of them by the rows that are nearest, reduces
     them to ``k``, and then takes the means of the nearest rows until the cost falls by less than ``tol`` of itself.
     Equal rows count as one when rows are drawn and each by itself in weights and means.  With fewer than ``k`` distinct rows
-    there are as many centres as distinct rows.  ``rows`` is read in every pass: checkpoint what is costly to make.
+    there are as many centres as distinct rows.  ``rows`` is read once, and once more without ``known``, which is what
+    ``co_moments`` says of the rows.
     """
-    n, centre, _ = co_moments(rows, x)
+    n, centre, _ = known or co_moments(rows, x)
     if not n:
         raise ValueError("nothing to cluster")
-    less = rows.select(F.array(*[F.col(x)[d] - float(c) for d, c in enumerate(centre)]).alias(x))
+    width = len(centre)
+    less = _packed(rows, n, centre, x)
     drawn: list[np.ndarray | None] = [None] * len(seeds)
     for turn in range(ROUNDS + 1):
-        new = _drawn(less, drawn, OVERSAMPLE * k if turn else 1, [seed * (ROUNDS + 1) + turn for seed in seeds], x)
+        new = _drawn(less, drawn, OVERSAMPLE * k if turn else 1, [seed * (ROUNDS + 1) + turn for seed in seeds], width)
         drawn = [a if b is None else np.concatenate([b, a]) if len(a) else b for a, b in zip(new, drawn, strict=True)]
-    starts = [reduced(p, w, k, seed) for p, (w, _, _), seed in zip(drawn, _assigned(less, drawn, x), seeds, strict=True)]
+    starts = [reduced(p, w, k, seed) for p, (w, _, _), seed in zip(drawn, _assigned(less, drawn, width), seeds, strict=True)]
     out = [Centres(p, np.inf) for p in starts]
     moving = list(range(len(seeds)))
     for _ in range(most):
-        found = _assigned(less, [out[r].points for r in moving], x)
+        found = _assigned(less, [out[r].points for r in moving], width)
         still = []
         for r, (weight, sums, cost) in zip(moving, found, strict=True):
             gain = out[r].cost - cost

@@ -31,6 +31,14 @@ def merged(a: tuple | None, b: tuple) -> tuple:
     return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
 
 
+def as_matrix(column: pa.ListArray) -> np.ndarray:
+    """The arrays of a column as rows of doubles; all must be there and equally long."""
+    lengths = pc.list_value_length(column)
+    if column.null_count or pc.min(lengths) != pc.max(lengths):
+        raise ValueError("arrays are missing or differ in length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
 def co_moments(rows: DataFrame, x: str = "x") -> tuple[int, np.ndarray, np.ndarray]:
     """Number, mean and ``sum (x - mean)(x - mean)^T`` of the arrays in ``x``.
 
@@ -38,16 +46,16 @@ def co_moments(rows: DataFrame, x: str = "x") -> tuple[int, np.ndarray, np.ndarr
     offset of all rows costs no precision.  Partitions are merged in ``MERGED`` groups on executors, then on the driver.
     """
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            if len(batch):
-                m = np.stack(batch[x].to_numpy()).astype(float)
+            if batch.num_rows:
+                m = as_matrix(batch.column(x))
                 mean = m.mean(axis=0)
                 mean += (m - mean).mean(axis=0)
                 total = merged(total, (len(m), mean, (m - mean).T @ (m - mean)))
         if total is not None:
-            yield pd.DataFrame({"n": [total[0]], "mean": [total[1]], "c": [total[2].ravel()]})
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({"n": [total[0]], "mean": [total[1]], "c": [total[2].ravel()]}), preserve_index=False)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -58,7 +66,7 @@ def co_moments(rows: DataFrame, x: str = "x") -> tuple[int, np.ndarray, np.ndarr
             yield pd.DataFrame({"n": [total[0]], "mean": [total[1]], "c": [total[2].ravel()]})
 
     kind = "n long, mean array<double>, c array<double>"
-    parts = rows.select(x).mapInPandas(part, kind).repartition(MERGED).mapInPandas(merge, kind).toPandas()
+    parts = rows.select(x).mapInArrow(part, kind).repartition(MERGED).mapInPandas(merge, kind).toPandas()
     found = next(merge(iter([parts])), None)
     if found is None:
         return 0, np.zeros(0), np.zeros((0, 0))
@@ -360,7 +368,7 @@ def fit_hmm(
         raise ValueError("nothing to fit")
     if start not in ("axis", "clusters"):
         raise ValueError(f"unknown start {start}")
-    means = [along_axis(mean, moments / n, k)] if start == "axis" else [c.points for c in k_means(rows, k, [seed + r for r in range(restarts)], x)]
+    means = [along_axis(mean, moments / n, k)] if start == "axis" else [c.points for c in k_means(rows, k, [seed + r for r in range(restarts)], x, known=(n, mean, moments))]
     fits = fit_many(rows, sequence, order, [starting(m, moments / n, covariance, floor) for m in means], n_iter, tol, x, floor, (n, mean, moments))
     return max(fits, key=lambda m: m.history[-1])
 
@@ -370,7 +378,7 @@ def restarted(rows: DataFrame, sequence: list[str], order: str, k: int, seeds: l
     from mesostate.operators.clustering import k_means
 
     n, mean, moments = co_moments(rows, x)
-    fits = fit_many(rows, sequence, order, [starting(c.points, moments / n, covariance) for c in k_means(rows, k, seeds, x)], x=x, n_iter=n_iter, known=(n, mean, moments))
+    fits = fit_many(rows, sequence, order, [starting(c.points, moments / n, covariance) for c in k_means(rows, k, seeds, x, known=(n, mean, moments))], x=x, n_iter=n_iter, known=(n, mean, moments))
     ends = [m.history[-1] for m in fits]
     table = [(int(s), float(e), len(m.history), m.converged, float(max(ends) - e), e == max(ends)) for s, e, m in zip(seeds, ends, fits, strict=True)]
     return rows.sparkSession.createDataFrame(table, "seed int, log_likelihood double, n_iter int, converged boolean, gap double, best boolean"), fits

@@ -48,13 +48,15 @@ def split_half(rows: DataFrame, subject: str, sequence: list[str], order: str, k
     decoded = parts[0].unionByName(parts[1]).join(halved.drop("half"), [*sequence, order])
     n = F.count(F.lit(1)).cast("double")
     sums = decoded.select(subject, "half", "state", F.posexplode(x).alias("dim", "v")).groupBy(subject, "half", "state", "dim").agg(n.alias("n"), F.sum("v").alias("s"))
+    subjects = sums.groupBy(subject).agg(F.collect_list(F.struct("half", "state", "dim", "n", "s")).alias("g"))  # states by dimensions
+    # made once and spread over all cores, as little of it stands for many replicates
+    subjects = checkpoint(subjects.repartition(rows.sparkSession.sparkContext.defaultParallelism, subject))
     u, e = F.col("u"), float(np.exp(-1))
     below = np.cumsum([e / float(np.prod(range(1, j + 1))) for j in range(12)]).tolist()
     poisson = F.aggregate(F.lit(below).cast("array<double>"), F.lit(0), lambda a, p: a + (u >= p).cast("int"))
-    subjects = sums.select(subject).distinct().select(subject, F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("b"))
-    drawn = subjects.withColumn("u", uniform(F.lit(f"{seed}:boot"), F.col("b").cast("string"), F.col(subject).cast("string")))
-    weights = drawn.select(subject, "b", F.when(F.col("b") == 0, 1).otherwise(poisson).alias("w")).where("w > 0")  # replicate 0 has every subject once
-    totals = sums.join(weights, subject).groupBy("b", "half", "state", "dim").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("s")).alias("s")).toPandas()
+    drawn = subjects.select("g", subject, F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("b")).withColumn("u", uniform(F.lit(f"{seed}:boot"), F.col("b").cast("string"), F.col(subject).cast("string")))
+    weighted = drawn.select("b", F.when(F.col("b") == 0, 1).otherwise(poisson).alias("w"), "g").where("w > 0").select("b", "w", F.inline("g"))  # replicate 0 has every subject once
+    totals = weighted.groupBy("b", "half", "state", "dim").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("s")).alias("s")).toPandas()
     dims = int(totals["dim"].max()) + 1
     count, total = np.zeros((replicates + 1, 2, k)), np.zeros((replicates + 1, 2, k, dims))
     at = tuple(totals[c].to_numpy() for c in ("b", "half", "state", "dim"))

@@ -47,6 +47,32 @@ def test_centres_of_few_distinct_rows(spark):
         clustering.k_means(rows.limit(0), 3)
 
 
+def test_centres_read_their_rows_twice_however_many_passes_they_take(spark):
+    _, x = blobs()
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = sequences(spark, x).select("x").mapInArrow(counted, "x array<double>")
+    assert max(c.passes for c in clustering.k_means(rows, 5, [1, 2])) > 2 and read.value == 2 * len(x)  # moments, and packing
+
+
+def test_copies_take_no_draws_from_other_rows(spark):
+    values = [[float(k), float(k * k)] for k in range(12)] * 20
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, 12)
+    try:
+        packed = clustering._packed(spark.createDataFrame([(v,) for v in values], "x array<double>").coalesce(1), len(values), np.zeros(2), "x")
+        drawn = clustering._drawn(packed, [None, np.array([[0.0, 0.0]])], 5, [3, 4], 2)
+    finally:
+        spark.conf.set(batch, before)
+    assert [len(set(map(tuple, d))) for d in drawn] == [5, 5] and [0.0, 0.0] not in drawn[1].tolist()
+
+
 def test_clusters_start_beats_the_axis_and_is_as_good_as_any(spark):
     places, x = blobs(n=24)
     rows = sequences(spark, x, 24)
