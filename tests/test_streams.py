@@ -92,6 +92,35 @@ def test_idle_sequences_start_anew(spark, tmp_path, rocks):
     assert not np.allclose(first, second) and len(found) == 6 and progress
 
 
+def test_sequences_share_calls_and_state(spark, tmp_path, rocks):
+    """Ninety sequences, and one without a name, in four groups and two batches, with sequences that come later, begin anew and take late rows."""
+    r = np.random.default_rng(5)
+    schema = "k long, ts timestamp, x array<double>"
+    rows = [(k if k else None, at(t), r.normal(size=2).tolist()) for k in range(91) for t in range(k % 7, 12)]
+    batches = [[v for v in rows if v[1] < at(6) and v[0] != 50], [v for v in rows if v[1] >= at(6) or v[0] == 50] + [(3, at(4), [9.0, 9.0])]]
+    stream = files(spark, tmp_path / "in", batches, schema)
+    progress = streaming.appended(streaming.online_filter(stream, model(), "k", "ts", "30 seconds", 60_000, dealt=4), str(tmp_path / "out"), str(tmp_path / "c"))
+    found = spark.read.parquet(str(tmp_path / "out")).toPandas().sort_values(["k", "ts"])
+    want = streaming.filtered(spark.createDataFrame(rows, schema), model(), "k", "ts").toPandas().sort_values(["k", "ts"])
+    assert len(found) == len(rows) and found["k"].isna().sum() == 12 and np.allclose(np.stack(found["p"]), np.stack(want["p"]))
+    assert max(p["state_rows"] for p in progress) < 30  # values and timers of five groups, not of ninety-one sequences
+
+
+def test_filters_side_by_side_are_single_filters():
+    r = np.random.default_rng(6)
+    lengths = np.array([3, 1, 8, 5])
+    obs, anew, ahead = r.normal(size=(17, 2)), r.random(17) < 0.2, r.dirichlet([1, 1], 4)
+    ends = np.cumsum(lengths)
+    found = streaming.filtering.forward_all(model(), obs, lengths, anew, ahead)
+    for a, b, v in zip(ends - lengths, ends, ahead, strict=True):
+        want = v
+        for t in range(a, b):
+            dens = np.exp(model().log_density(obs[t : t + 1])[0])
+            want = dens * (model().start if anew[t] else want @ model().step)
+            want = want / want.sum()
+            assert np.allclose(found[t], want)
+
+
 def test_filter_against_smoothing(spark):
     obs = np.random.default_rng(2).normal(size=(9, 2))
     ahead = streaming.filtering.forward(model(), obs, None)
