@@ -11,7 +11,7 @@ each segment.
 
 The sample has at most ``DOCS`` labelled documents a language and ends with the
 one that reaches ``SAMPLE_CHARS`` characters.  They are taken in order of a hash
-of their ids, those of more than ``LONG_TEXT`` characters last and of each a piece of so many.
+of their ids, those of more than ``LONG_TEXT`` characters last, and of each at most a piece of ``PIECE``.
 
 Texts that are null or hold no letter are ``und`` with score 0, and so is every
 text if nothing is labelled; a null id counts as held out; repeated rows are
@@ -35,8 +35,8 @@ from mesostate.llm.common import new_columns, read
 from mesostate.llm.pretokens import LETTER, _classes
 from mesostate.llm.textops import buffers, ragged, runs
 
-#: The sample: documents a language, characters at which it ends, length from which a document comes last.
-DOCS, SAMPLE_CHARS, LONG_TEXT = 48, 48_000, 4096
+#: The sample: documents a language, characters at which it ends, length from which a document comes last, most characters of one.
+DOCS, SAMPLE_CHARS, LONG_TEXT, PIECE = 48, 48_000, 4096, 4096
 SEGMENT = 256
 #: Byte that stands for everything that is no letter.
 NO_LETTER = 0x20
@@ -172,18 +172,18 @@ def held_out(key: str = "doc_id"):
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model of a bounded sample of labelled documents, none of them held out.
 
-    Of a document of over ``LONG_TEXT`` characters, a piece of so many from a place that its id determines is learned; predictions
+    Of a document of over ``PIECE`` characters, a piece of so many from a place that its id determines is learned; predictions
     are of whole texts.
     """
     labelled = docs.where(F.col(lang).isNotNull() & ~held_out(key) & F.col(text).rlike(r"\p{L}")).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.length(text).alias("n"))
     order = [F.col("n") > LONG_TEXT, F.xxhash64("key"), "key", "n"]
     ranked = labelled.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= DOCS)
-    before = F.sum(F.least("n", F.lit(LONG_TEXT))).over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum(F.least("n", F.lit(PIECE))).over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
     chosen = ranked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SAMPLE_CHARS).select("key", "lang", "n").distinct()
     rows = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.length(text).alias("n"))
     texts = rows.join(F.broadcast(chosen), ["key", "lang", "n"], "left_semi")  # DOCS ids a language
-    place = F.pmod(F.xxhash64("key"), F.greatest(F.col("n") - LONG_TEXT + 1, F.lit(1))).cast("int") + 1
-    texts = texts.withColumn("text", F.substring(F.col("text"), place, F.lit(LONG_TEXT)))
+    place = F.pmod(F.xxhash64("key"), F.greatest(F.col("n") - PIECE + 1, F.lit(1))).cast("int") + 1
+    texts = texts.withColumn("text", F.substring(F.col("text"), place, F.lit(PIECE)))
     samples: dict[str, list[str]] = {}
     for row in texts.groupBy("key", "lang", "n").agg(F.min("text").alias("text")).orderBy("lang", F.xxhash64("key"), "key", "n").collect():
         samples.setdefault(row["lang"], []).append(row["text"])
